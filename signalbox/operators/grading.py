@@ -32,10 +32,15 @@ def row_gold() -> Column:
 
 
 def explode_responses(results: DataFrame, keep: Sequence[str] | None = None, outer: bool = False) -> DataFrame:
-    """One row per response with its 0-based ``response_idx``; only ``keep`` columns travel."""
+    """One row per response with its 0-based ``response_idx``; only ``keep`` columns travel.
+
+    The outer explode with a test afterwards reads the array once; a plain explode would first
+    filter on its size and so compute a derived array twice.
+    """
     kept = [c for c in (keep or results.columns) if c != "responses"]
-    explode = F.posexplode_outer if outer else F.posexplode
-    rows = results.select(*kept, explode("responses").alias("response_idx", "_response"))
+    rows = results.select(*kept, F.posexplode_outer("responses").alias("response_idx", "_response"))
+    if not outer:
+        rows = rows.filter(F.col("response_idx").isNotNull())
     return rows.select(*kept, "response_idx", "_response.*")
 
 

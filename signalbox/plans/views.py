@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbox.functions.answers import answers_equal, choice_letter, extract_answer
+from signalbox.functions.text import bind
 from signalbox.operators.grading import LLM_JUDGE, MATH_VERIFY, REGEX_FALLBACK, grade_in_place, row_gold
 
 
@@ -31,6 +32,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.col("text").alias("problem"),
         F.col("lang").alias("category"),
+        "source",
         mcq.alias("is_mcq"),
         F.when(mcq, options).alias("choices"),
         F.when(mcq, (doc % 4).cast("int")).alias("choice_index_correct"),
@@ -79,10 +81,7 @@ def judged_results(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFram
     """Graded results in which a fixed rule stands for the judge, so all methods occur."""
     doc = F.col("doc_id")
 
-    def judged(text: Column, i: Column) -> Column:
-        kind = response_kind(doc, i, shift)
-        answer = extract_answer(text)
-        correct = answers_equal(F.col("_gold"), answer)
+    def verdict(text: Column, kind: Column, answer: Column, correct: Column) -> Column:
         asked = kind.isin(5, 6)
         return F.struct(
             text.alias("full_response"),
@@ -95,6 +94,15 @@ def judged_results(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFram
             F.when(~correct & asked, F.concat(F.lit("judged: "), answer)).alias("judge_explanation"),
         )
 
+    def judged(text: Column, i: Column) -> Column:
+        kind = response_kind(doc, i, shift)
+        return bind(
+            extract_answer(text),
+            lambda answer: bind(
+                answers_equal(F.col("_gold"), answer), lambda correct: verdict(text, kind, answer, correct)
+            ),
+        )
+
     with_gold = raw_results(spark, sf_dir, shift).withColumn("_gold", row_gold())
     return with_gold.withColumn(
         "responses", F.transform("responses", lambda r, i: judged(r["full_response"], i))
