@@ -10,24 +10,24 @@ _SHORT_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t
 _OTHER_CONTROLS = [chr(c) for c in range(32) if chr(c) not in _SHORT_ESCAPES]
 
 
+def _escaped_by_hand(text: Column) -> Column:
+    for raw, mark in _SHORT_ESCAPES.items():
+        text = F.replace(text, F.lit(raw), F.lit(mark))
+    for raw in _OTHER_CONTROLS:
+        text = F.replace(text, F.lit(raw), F.lit(f"\\u{ord(raw):04x}"))
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
 def json_string(text: Column) -> Column:
     """JSON string literal with non-ASCII kept and lower-case ``\\u00xx`` escapes.
 
-    Spark's own ``to_json`` writes upper-case hex and no spaces, which would change the hash.
-    The long chain of rare control characters runs only for texts that hold one.
+    Spark's JSON writer does the work in one pass. It spells rare control characters with
+    upper-case hex, which would change the hash, so texts that show such an escape are escaped
+    by replacement instead.
     """
-    short = text
-    for raw, escaped in _SHORT_ESCAPES.items():
-        short = F.replace(short, F.lit(raw), F.lit(escaped))
-    full = short
-    for raw in _OTHER_CONTROLS:
-        full = F.replace(full, F.lit(raw), F.lit(f"\\u{ord(raw):04x}"))
-    escaped = (
-        F.when(text.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), full)
-        .when(text.rlike(r'[\x08-\x0d"\\]'), short)
-        .otherwise(text)
-    )
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    wrapped = F.to_json(F.struct(text.alias("v")))
+    literal = F.substr(wrapped, F.lit(len('{"v":') + 1), F.length(wrapped) - len('{"v":}'))
+    return F.when(wrapped.contains("\\u00"), _escaped_by_hand(text)).when(text.isNotNull(), literal)
 
 
 def json_value(column: Column, data_type: T.DataType) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,33 +27,47 @@ def threshold_sweep(
 ) -> DataFrame:
     """One row per threshold: think share and counts, and accuracy over labelled rows.
 
-    All thresholds are conditional counts of a single scan that combine on the map side; the
-    one resulting row is unfolded afterwards, so the input is never multiplied by thresholds.
+    A row is described by how many thresholds it reaches and by its label, so one scan counts
+    rows into a few dozen groups on the map side. Only those groups meet the thresholds: the
+    input is never multiplied by them, and more thresholds cost no more passes.
     """
-    score, label = F.col("think_probability"), F.col("label")
-    sums: list[Column] = [F.count(F.lit(1)).alias("n")]
+    cuts = sorted(float(t) for t in thresholds)
+    score = F.col("think_probability")
+    reached = reduce(add, [at_least(score, t).cast("int") for t in cuts])
+    groups = {"_reached": reached}
     if labelled:
-        sums.append(F.count("label").alias("labelled"))
-    for i, t in enumerate(thresholds):
-        sums.append(F.count_if(at_least(score, t)).alias(f"think_{i}"))
-        if labelled:
-            sums.append(F.count_if(pick(score, t) == label).alias(f"hits_{i}"))
-
-    def entry(i: int, t: float) -> Column:
-        think, n = F.col(f"think_{i}"), F.col("n")
-        columns = [
-            F.lit(float(t)).alias("threshold"),
-            (ratio(think, n) * 100).alias("think_percentage"),
-            (100 - ratio(think, n) * 100).alias("no_think_percentage"),
-            think.alias("think_count"),
-            (n - think).alias("no_think_count"),
-        ]
-        if labelled:
-            columns.append(ratio(F.col(f"hits_{i}"), F.col("labelled")).alias("accuracy"))
-        return F.struct(*columns)
+        label = F.col("label")
+        known = label.isin(THINK, NO_THINK)
+        groups["_label"] = F.when(label.isNull() | known, label).otherwise(F.lit("other"))
+    counted = predictions.groupBy(*[c.alias(n) for n, c in groups.items()]).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    spread = counted.select(
+        "*", F.posexplode(F.array(*[F.lit(t) for t in cuts])).alias("_i", "threshold")
+    )
+    think = F.col("_i") < F.col("_reached")
+
+    def rows_where(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("_n"))), F.lit(0))
 
-    rows = F.array(*[entry(i, t) for i, t in enumerate(thresholds)])
-    return predictions.agg(*sums).select(F.inline(rows))
+    sums = [F.sum("_n").alias("_rows"), rows_where(think).alias("think_count")]
+    if labelled:
+        picked = F.when(think, F.lit(THINK)).otherwise(F.lit(NO_THINK))
+        sums += [
+            rows_where(F.col("_label").isNotNull()).alias("_labelled"),
+            rows_where(picked == F.col("_label")).alias("_hits"),
+        ]
+    share = ratio(F.col("think_count"), F.col("_rows")) * 100
+    columns = [
+        F.col("threshold"),
+        share.alias("think_percentage"),
+        (100 - share).alias("no_think_percentage"),
+        F.col("think_count"),
+        (F.col("_rows") - F.col("think_count")).alias("no_think_count"),
+    ]
+    if labelled:
+        columns.append(ratio(F.col("_hits"), F.col("_labelled")).alias("accuracy"))
+    return spread.groupBy("threshold").agg(*sums).select(*columns)
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:

@@ -114,38 +114,56 @@ def _joined_in_order(name: str, order: str) -> Column:
     return F.array_join(F.transform(rows, lambda r: r[name]), "")
 
 
-def assemble_final(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Final text per request, concatenated per block first and then over the blocks."""
-    blocks = (
+def _block_texts(chunks: DataFrame, block: int) -> DataFrame:
+    """Text of each block of a request; no task holds more than one block at a time."""
+    return (
         chunks.withColumn("_block", F.floor(F.col("seq") / block))
         .groupBy("request_id", "_block")
         .agg(
-            _joined_in_order("content", "seq").alias("content"),
-            _joined_in_order("reasoning", "seq").alias("reasoning"),
+            _joined_in_order("content", "seq").alias("_content"),
+            _joined_in_order("reasoning", "seq").alias("_reasoning"),
         )
     )
-    whole = blocks.groupBy("request_id").agg(
-        _joined_in_order("content", "_block").alias("content"),
-        _joined_in_order("reasoning", "_block").alias("reasoning"),
+
+
+def _final_of_blocks(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("request_id").agg(
+        _joined_in_order("_content", "_block").alias("content"),
+        _joined_in_order("_reasoning", "_block").alias("reasoning"),
     )
+
+
+def assemble_final(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Final text per request, concatenated per block first and then over the blocks."""
+    whole = _final_of_blocks(_block_texts(chunks, block))
     return whole.withColumn("has_reasoning", F.col("reasoning") != "")
 
 
 def assemble_running(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
     """Cumulative rows as a reader of the stream sees them, and one final row per request.
 
-    Each row repeats the text so far. Use :func:`assemble_offsets` where that is too much.
+    Rows meet their text block by block, so even one dominant request is spread over tasks.
+    Each row repeats the text so far; use :func:`assemble_offsets` where that is too much.
     """
-    final = assemble_final(chunks, block)
-    seen = assemble_offsets(chunks, block).drop("has_reasoning")
-    steps = seen.join(final.select("request_id", "content", "reasoning"), "request_id").select(
-        "request_id",
-        "seq",
-        F.lit(False).alias("is_final"),
-        F.left("content", "content_length").alias("content"),
-        F.left("reasoning", "reasoning_length").alias("reasoning"),
+    blocks = _block_texts(chunks, block)
+    before = Window.partitionBy("request_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    started = blocks.select(
+        "*",
+        *[F.array_join(F.collect_list(f"_{n}").over(before), "").alias(f"_{n}_before") for n in ("content", "reasoning")],
+    )
+    within = (
+        Window.partitionBy("request_id", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    rows = chunks.filter(_updated()).withColumn("_block", F.floor(F.col("seq") / block))
+
+    def so_far(name: str) -> Column:
+        seen = F.sum(_length(name)).over(within).cast("int")
+        return F.concat(f"_{name}_before", F.left(f"_{name}", seen)).alias(name)
+
+    steps = rows.join(started, ["request_id", "_block"]).select(
+        "request_id", "seq", F.lit(False).alias("is_final"), so_far("content"), so_far("reasoning")
     )
-    last = final.select(
+    last = _final_of_blocks(blocks).select(
         "request_id", F.lit(None).cast("long").alias("seq"), F.lit(True).alias("is_final"),
         "content", "reasoning",
     )

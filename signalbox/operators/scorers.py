@@ -53,11 +53,12 @@ class TextHeads:
 
     def classify(self, df: DataFrame, labels: tuple[str, str], head: str) -> DataFrame:
         """Add ``{label}_probability`` for a two-class head, first label for class 0."""
-        scored = self.score(df)
         score = F.col(f"{head}_score")
-        return scored.withColumn(f"{labels[0]}_probability", 1.0 - score).withColumn(
-            f"{labels[1]}_probability", score
-        ).drop(f"{head}_score")
+        return TextHeads(self.text_col, self.features, {head: self.heads[head]}).score(df).select(
+            *df.columns,
+            (1.0 - score).alias(f"{labels[0]}_probability"),
+            score.alias(f"{labels[1]}_probability"),
+        )
 
 
 def fit_text_heads(

@@ -22,7 +22,7 @@ _RATIO = "round(coalesce(count(*) filter (is_correct) / nullif(count(*), 0), 0),
 
 def _rows(spark, d, *keep, shift=0):
     """Judged responses, one row each, without the response text."""
-    rows = grading.explode_responses(views.judged_results(spark, d, shift), ["unique_id", *keep, "responses"], outer=True)
+    rows = grading.explode_responses(views.stored_results(spark, d, shift), ["unique_id", *keep, "responses"], outer=True)
     return rows.drop("full_response")
 
 
@@ -163,7 +163,7 @@ def by_method(spark, d):
 def _model_rows(spark, d):
     """Judged rows with the model taken from a result file name per source and language."""
     file = F.concat_ws("_", "source", "category", F.lit("results.jsonl"))
-    results = views.judged_results(spark, d).withColumn("model", jsonl.model_of_file(file))
+    results = views.stored_results(spark, d).withColumn("model", jsonl.model_of_file(file))
     rows = grading.explode_responses(results, ["model", "category", "responses"])
     return rows.drop("full_response")
 
@@ -207,17 +207,17 @@ select unique_id, cast(count(*) filter (is_correct) as integer) as no_think_corr
        round(count(*) filter (is_correct) / count(*), 6) as no_think_accuracy
 from judged group by unique_id""")
 def question_accuracy(spark, d):
-    results = views.judged_results(spark, d).select("unique_id", "responses")
+    results = views.stored_results(spark, d).select("unique_id", "responses")
     return rounded(metrics.question_accuracy(results, "no_think"), "no_think_accuracy")
 
 
-@query("weak_failures", with_views(*GRADED) + """
+@query("weak_failures", with_views(*JUDGED) + """
 select unique_id, problem, category, round(1 - c / n, 6) as failure_rate
 from (select unique_id, problem, category, least(count(*), 3) as n, least(count(*) filter (is_correct), 3) as c
-      from graded group by unique_id, problem, category)
+      from judged group by unique_id, problem, category)
 where 1 - c / n > 0.5""")
 def weak(spark, d):
-    failed = resume.weak_failures(views.graded_results(spark, d), failure_threshold=0.5, k=3)
+    failed = resume.weak_failures(views.stored_results(spark, d), failure_threshold=0.5, k=3)
     return rounded(failed.select("unique_id", "problem", "category", "failure_rate"), "failure_rate")
 
 
@@ -261,14 +261,14 @@ from questions q join wide w on q.unique_id = w.unique_id join statistics s on q
 
 @query("publish_wide", with_views(*JUDGED, STATISTICS, _WIDE_ROWS) + _WIDE_SELECT.format(lead=""))
 def wide(spark, d):
-    return _flat(publish.publish_wide(views.judged_results(spark, d)))
+    return _flat(publish.publish_wide(views.stored_results(spark, d)))
 
 
 @query("publish_all_splits", with_views(*JUDGED, STATISTICS, _WIDE_ROWS)
        + _WIDE_SELECT.format(lead="case q.doc_id % 3 when 0 then 'train' when 1 then 'validation' else 'test' end as split, "))
 def all_splits(spark, d):
     """Three split frames in, one padded schema out."""
-    results = views.judged_results(spark, d)
+    results = views.stored_results(spark, d)
     names = {0: "train", 1: "val", 2: "test"}
     splits = {name: results.filter(F.col("doc_id") % 3 == rest) for rest, name in names.items()}
     return _flat(publish.publish_splits(splits))
@@ -283,11 +283,11 @@ def most_responses(spark, d):
 @query("method_counts", with_views(*JUDGED) + """
 select unique_id, extraction_method, count(*) as n from judged group by unique_id, extraction_method""")
 def method_counts(spark, d):
-    return publish.method_counts(views.judged_results(spark, d).select("unique_id", "responses"))
+    return publish.method_counts(views.stored_results(spark, d).select("unique_id", "responses"))
 
 
 def _statistics(spark, d):
-    return publish.question_statistics(views.judged_results(spark, d))
+    return publish.question_statistics(views.stored_results(spark, d))
 
 
 @query("perfect_questions", with_views(*JUDGED, STATISTICS) + """
@@ -320,7 +320,7 @@ def weighted(spark, d):
 select unique_id, response_idx + 1 as response_number, left(coalesce(judge_explanation, ''), 200) as explanation
 from judged where extraction_method = 'llm_judge'""")
 def judge_used(spark, d):
-    return publish.judge_used(views.judged_results(spark, d).select("unique_id", "responses"))
+    return publish.judge_used(views.stored_results(spark, d).select("unique_id", "responses"))
 
 
 @query("grade_job", with_views(*GRADED) + f"""

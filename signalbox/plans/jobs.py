@@ -13,7 +13,7 @@ from signalbox.operators.publish import publish_splits
 from signalbox.operators.splits import batch_index, dense_index
 from signalbox.operators.stages import Generator, Judge, all_failed, generate_nested
 from signalbox.schemas import RESULT_COLUMNS
-from signalbox.sources.store import BatchLog, ResultStore, materialize
+from signalbox.sources.store import BatchLog, ResultStore
 
 
 def grade_job(
@@ -70,7 +70,7 @@ def _collect_batches(
     for number in range(batches):
         if number in done:
             continue
-        part = planned.filter(F.col("batch") == number).drop("batch")
+        part = with_prompts(planned.filter(F.col("batch") == number).drop("batch"))
         fresh = generate_nested(part, generator, k, max_workers)
         stored = log.commit(number, _stored_form(fresh))
         if all_failed(stored) and on_all_failed == "stop":
@@ -96,8 +96,9 @@ def collect_job(
 ) -> DataFrame:
     """Collect ``k`` responses per open question and upsert them into the result store.
 
-    The plan of a run is written once, partitioned by batch; each batch is generated, committed
-    and never redone, and the store is rewritten once per run rather than once per batch. A run
+    The plan of a run is written once, partitioned by batch, so a batch reads only its own rows;
+    each batch is generated, committed and never redone, and the store is rewritten once per run
+    rather than once per batch. A run
     that was interrupted continues when called again with the same ``run_path``.
     """
     spark: SparkSession = dataset.sparkSession
@@ -111,10 +112,9 @@ def collect_job(
             empty = spark.createDataFrame([], "unique_id string, status string, failed_slots array<int>")
             status = resume.response_status(existing) if existing is not None else empty
             plan = resume.resume_plan(resume.with_default_id(dataset, order_col), status, retry_failed, k)
-        prompts = materialize(with_prompts(plan), "collect-plan")
-        numbered = dense_index(prompts, order_col, name="_row")
+        numbered = dense_index(plan, order_col, name="_row")
         batched = numbered.withColumn("batch", batch_index(F.col("_row"), batch_size)).drop("_row")
-        planned = plan_store.replace(batched)
+        planned = plan_store.replace(batched, partition_by="batch")
     batches = (planned.agg(F.max("batch").alias("m")).first().m or 0) + 1
     merged = _collect_batches(
         planned, BatchLog(spark, run_path), existing, generator, k, batches, max_workers, on_all_failed

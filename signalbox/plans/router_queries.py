@@ -115,8 +115,8 @@ def diffs(spark, d):
 
 def _both_modes(spark, d):
     """Per-question accuracy of two models' results side by side."""
-    no_think = views.judged_results(spark, d).select("unique_id", "category", "responses")
-    think = views.judged_results(spark, d, shift=4).select("unique_id", "category", "responses")
+    no_think = views.stored_results(spark, d).select("unique_id", "category", "responses")
+    think = views.stored_results(spark, d, shift=4).select("unique_id", "category", "responses")
     return evaluation.pair_modes(
         metrics.question_accuracy(no_think, "no_think"), metrics.question_accuracy(think, "think")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from signalbox.functions.answers import answers_equal, choice_letter, extract_answer
 from signalbox.functions.text import bind
 from signalbox.operators.grading import LLM_JUDGE, MATH_VERIFY, REGEX_FALLBACK, grade_in_place, row_gold
+from signalbox.session import fresh_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +110,23 @@ def judged_results(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFram
     ).drop("_gold")
 
 
+_STORED: dict[tuple[str, str, int], str] = {}
+
+
+def stored_results(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    """The judged results as a stored table, which is what later steps read in practice.
+
+    Written to the shared folder on first use in an application. Reading it back gives column
+    and nested-field pruning, and filters that do not repeat the grading.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, shift)
+    if key not in _STORED:
+        path = fresh_dir(spark, "judged")
+        judged_results(spark, sf_dir, shift).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Router scores per document with quality scores and a label where one is known."""
     doc, chars = F.col("doc_id"), F.col("n_chars")

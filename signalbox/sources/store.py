@@ -40,9 +40,12 @@ class ResultStore:
             return None
         return self.spark.read.parquet(f"{self.root}/v={current}")
 
-    def replace(self, df: DataFrame) -> DataFrame:
+    def replace(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         number = (self.version() or 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/v={number}")
+        writer = df.write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
+        writer.parquet(f"{self.root}/v={number}")
         return self.read()
 
     def upsert(self, fresh: DataFrame) -> DataFrame:
