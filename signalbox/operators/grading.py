@@ -14,6 +14,7 @@ from signalbox.functions.answers import (
     extraction_failed,
     gold_answer,
 )
+from signalbox.functions.arrays import response_fields
 from signalbox.functions.text import bind
 from signalbox.operators.stages import Judge, judge_stage
 
@@ -31,14 +32,22 @@ def row_gold() -> Column:
     return gold_answer(F.col("is_mcq"), F.col("choice_index_correct"), F.col("answer_correct"))
 
 
-def explode_responses(results: DataFrame, keep: Sequence[str] | None = None, outer: bool = False) -> DataFrame:
-    """One row per response with its 0-based ``response_idx``; only ``keep`` columns travel.
+def explode_responses(
+    results: DataFrame,
+    keep: Sequence[str] | None = None,
+    outer: bool = False,
+    fields: Sequence[str] | None = None,
+) -> DataFrame:
+    """One row per response with its 0-based ``response_idx``.
+
+    Only ``keep`` columns and ``fields`` of the responses travel, or all of them by default.
 
     The outer explode with a test afterwards reads the array once; a plain explode would first
     filter on its size and so compute a derived array twice.
     """
     kept = [c for c in (keep or results.columns) if c != "responses"]
-    rows = results.select(*kept, F.posexplode_outer("responses").alias("response_idx", "_response"))
+    array = response_fields(*fields) if fields else F.col("responses")
+    rows = results.select(*kept, F.posexplode_outer(array).alias("response_idx", "_response"))
     if not outer:
         rows = rows.filter(F.col("response_idx").isNotNull())
     return rows.select(*kept, "response_idx", "_response.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalbox.functions.arrays import correct_count, graded_count
 from signalbox.functions.scores import ratio
 
 # Fixed value: method of a response that names none.
@@ -85,10 +86,9 @@ def accuracy_grouping_sets(graded: DataFrame) -> DataFrame:
 def question_accuracy(results: DataFrame, mode: str) -> DataFrame:
     """Per question ``{mode}_correct_count``, ``_total_count``, ``_accuracy``; responses dropped.
 
-    Counts are taken inside the array. A question without responses has a null accuracy.
+    Counts are taken inside the array and read its flags only. A question without responses has a null accuracy.
     """
-    correct = F.size(F.filter("responses", lambda r: F.coalesce(r["is_correct"], F.lit(False))))
-    total = F.size("responses")
+    correct, total = correct_count(), graded_count()
     return (
         results.withColumn(f"{mode}_correct_count", correct)
         .withColumn(f"{mode}_total_count", total)

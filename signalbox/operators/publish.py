@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalbox.functions.arrays import correct_count, graded_count, response_fields
 from signalbox.functions.scores import ratio
 from signalbox.operators.grading import LLM_JUDGE, METHODS
 from signalbox.operators.metrics import UNKNOWN_METHOD
@@ -19,7 +20,7 @@ EXPLANATION_PREVIEW = 200
 
 def max_responses(*splits: DataFrame) -> int:
     """Largest number of responses over all splits; needed to fix the column list."""
-    largest = [s.agg(F.max(F.size("responses")).alias("m")).first().m or 0 for s in splits]
+    largest = [s.agg(F.max(graded_count()).alias("m")).first().m or 0 for s in splits]
     return max(largest, default=0)
 
 
@@ -27,6 +28,10 @@ def _responses() -> Column:
     return F.col("responses")
 
 
+def _verdicts() -> Column:
+    return response_fields("is_correct", "extraction_method")
+
+
 def _correct(response: Column) -> Column:
     return F.coalesce(response["is_correct"], F.lit(False))
 
@@ -36,15 +41,18 @@ def _method(response: Column) -> Column:
 
 
 def _with_method(method: str) -> Column:
-    return F.filter(_responses(), lambda r: r["extraction_method"] == method)
+    return F.filter(_verdicts(), lambda r: r["extraction_method"] == method)
 
 
 def method_counts_map() -> Column:
     """Map from method to its count within one question, counted inside the array."""
-    used = F.array_distinct(F.transform(_responses(), _method))
+    methods = F.transform(
+        F.col("responses.extraction_method"), lambda name: F.coalesce(name, F.lit(UNKNOWN_METHOD))
+    )
+    used = F.array_distinct(methods)
 
     def entry(name: Column) -> Column:
-        hits = F.filter(_responses(), lambda r: _method(r) == name)
+        hits = F.filter(methods, lambda method: method == name)
         return F.struct(name, F.size(hits).cast("long"))
 
     return F.map_from_entries(F.transform(used, entry))
@@ -81,8 +89,8 @@ def _slot_columns(slot: int) -> list[Column]:
 
 def statistics_columns() -> list[Column]:
     """Totals and per-method counts and accuracies of one question."""
-    total = F.size(_responses()).cast("long")
-    correct = F.size(F.filter(_responses(), _correct)).cast("long")
+    total = graded_count().cast("long")
+    correct = correct_count().cast("long")
     columns = [
         total.alias("total_responses"),
         correct.alias("correct_responses"),
@@ -176,7 +184,8 @@ def method_weighted_accuracy(stats: DataFrame) -> DataFrame:
 
 def judge_used(graded: DataFrame, preview: int = EXPLANATION_PREVIEW) -> DataFrame:
     """Every judged response with the head of the judge's explanation."""
-    rows = graded.select("unique_id", F.posexplode("responses").alias("pos", "r"))
+    fields = response_fields("extraction_method", "judge_explanation")
+    rows = graded.select("unique_id", F.posexplode(fields).alias("pos", "r"))
     return rows.filter(F.col("r.extraction_method") == LLM_JUDGE).select(
         "unique_id",
         (F.col("pos") + 1).alias("response_number"),

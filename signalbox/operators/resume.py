@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalbox.functions.arrays import correct_count, graded_count
 from signalbox.functions.text import is_failed_response
 
 FULLY_FAILED, PARTIALLY_FAILED, OK = "fully_failed", "partially_failed", "ok"
@@ -153,11 +154,8 @@ def weak_failures(results: DataFrame, failure_threshold: float = 0.5, k: int = 1
     At most ``k`` responses count, correct ones first, so ``min`` of the counts replaces a sort.
     With ``k = 1`` one correct sample among many is therefore a pass.
     """
-    total = F.least(F.size("responses"), F.lit(k))
-    correct = F.least(
-        F.size(F.filter("responses", lambda r: F.coalesce(r["is_correct"], F.lit(False)))), F.lit(k)
-    )
-    usable = F.col("unique_id").isNotNull() & (F.col("unique_id") != "") & (F.size("responses") > 0)
+    total, correct = F.least(graded_count(), F.lit(k)), F.least(correct_count(), F.lit(k))
+    usable = F.col("unique_id").isNotNull() & (F.col("unique_id") != "") & (graded_count() > 0)
     return (
         results.filter(usable)
         .withColumn("failure_rate", 1.0 - correct / total)

@@ -22,8 +22,9 @@ _RATIO = "round(coalesce(count(*) filter (is_correct) / nullif(count(*), 0), 0),
 
 def _rows(spark, d, *keep, shift=0):
     """Judged responses, one row each, without the response text."""
-    rows = grading.explode_responses(views.stored_results(spark, d, shift), ["unique_id", *keep, "responses"], outer=True)
-    return rows.drop("full_response")
+    return grading.explode_responses(
+        views.stored_results(spark, d, shift), ["unique_id", *keep], True, ["is_correct", "extraction_method"]
+    )
 
 
 @query("scan_results", with_views(*RAW) + """
@@ -47,7 +48,7 @@ def scan_results(spark, d):
 @query("extract_answer", with_views(*RAW, extracted()) + """
 select unique_id, response_idx, extracted_answer from extracted""")
 def extract(spark, d):
-    rows = grading.explode_responses(views.raw_results(spark, d), ["unique_id", "responses"])
+    rows = grading.explode_responses(views.raw_results(spark, d), ["unique_id"])
     return rows.select(
         "unique_id", "response_idx", extract_answer(F.col("full_response")).alias("extracted_answer")
     )
@@ -86,7 +87,7 @@ def math_only(spark, d):
 @query("grade_no_judge", with_views(*GRADED) + """
 select unique_id, response_idx, extracted_answer, is_correct, 'math_verify' as extraction_method from graded""")
 def no_judge(spark, d):
-    rows = grading.explode_responses(views.graded_results(spark, d), ["unique_id", "responses"])
+    rows = grading.explode_responses(views.graded_results(spark, d), ["unique_id"])
     return rows.select("unique_id", "response_idx", "extracted_answer", "is_correct", "extraction_method")
 
 
@@ -148,7 +149,7 @@ def by_category(spark, d):
     """Flagship: extract, verify and aggregate every response in one narrow pass and one small shuffle."""
     rows = grading.explode_responses(
         views.raw_results(spark, d),
-        ["category", "is_mcq", "choice_index_correct", "answer_correct", "responses"], outer=True,
+        ["category", "is_mcq", "choice_index_correct", "answer_correct"], outer=True,
     )
     return rounded(metrics.accuracy_by_category(grading.grade_rows(rows)), "accuracy")
 
@@ -164,8 +165,9 @@ def _model_rows(spark, d):
     """Judged rows with the model taken from a result file name per source and language."""
     file = F.concat_ws("_", "source", "category", F.lit("results.jsonl"))
     results = views.stored_results(spark, d).withColumn("model", jsonl.model_of_file(file))
-    rows = grading.explode_responses(results, ["model", "category", "responses"])
-    return rows.drop("full_response")
+    return grading.explode_responses(
+        results, ["model", "category"], fields=["is_correct", "extraction_method"]
+    )
 
 
 @query("accuracy_by_model", with_views(*JUDGED) + f"""
