@@ -16,6 +16,7 @@ from signalbox.functions.answers import (
 )
 from signalbox.functions.arrays import response_fields
 from signalbox.functions.text import bind
+from signalbox.operators.prompts import judge_prompt
 from signalbox.operators.stages import Judge, judge_stage
 
 # Names of the extraction methods in stored results.
@@ -107,16 +108,18 @@ def grade_three_phase(
     compat: bool = False,
     resolved_method: str = MATH_VERIFY,
     keep: Sequence[str] = (),
+    with_prompt: bool = False,
 ) -> DataFrame:
     """Regex first, judge for the rest, one row per response.
 
     The judge runs only over unresolved rows and its stage passes their keys through, so the
-    two parts meet in a union: no join and no shuffle. Write the result once before using it
+    two parts meet in a union: no join and no shuffle. ``with_prompt`` also hands the judge its
+    rendered prompt as ``judge_prompt``. Write the result once before using it
     twice; the judge may be neither cheap nor deterministic.
     """
     base = ["unique_id", "problem", "is_mcq", "choices", "choice_index_correct", "answer_correct"]
     columns = [*base, *[c for c in keep if c not in base]]
-    checked = grade_math_only(explode_responses(results, [*columns, "responses"]))
+    checked = grade_math_only(explode_responses(results, columns))
     out = ["unique_id", "response_idx", *[c for c in keep if c != "unique_id"], "full_response",
            "extracted_answer", "is_correct", "extraction_method", "judge_explanation"]
     resolved = (
@@ -125,12 +128,14 @@ def grade_three_phase(
         .withColumn("judge_explanation", F.lit(None).cast("string"))
         .select(*out)
     )
-    judged = judge_stage(
-        checked.filter(F.col("needs_judge")).withColumn("correct_answer", row_gold()),
-        judge,
-        max_workers=max_workers,
-        compat=compat,
-    )
+    tasks = checked.filter(F.col("needs_judge")).withColumn("correct_answer", row_gold())
+    if with_prompt:
+        prompt = judge_prompt(
+            F.col("problem"), F.col("full_response"), F.col("correct_answer"), F.col("choices"),
+            F.col("is_mcq"), compat,
+        )
+        tasks = tasks.withColumn("judge_prompt", prompt)
+    judged = judge_stage(tasks, judge, max_workers=max_workers, compat=compat)
     return resolved.unionByName(judged.select(*out))
 
 

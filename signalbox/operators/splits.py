@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from itertools import accumulate
 from math import lcm
 
 import pandas as pd
@@ -16,40 +17,48 @@ _MAX_LITERAL_PATTERN = 20_000
 _REPLAY_BLOCK = 65_536
 
 
+def _quantile_cuts(df: DataFrame, key: Column, buckets: int) -> list[float]:
+    """At most ``buckets - 1`` increasing cut points with about equally many rows between them."""
+    if buckets < 2:
+        return []
+    shares = [i / buckets for i in range(1, buckets)]
+    sketch = F.percentile_approx(key, shares, max(10_000, 10 * buckets))
+    return sorted(set(df.agg(sketch.alias("cuts")).first().cuts or []))
+
+
 def dense_index(
     df: DataFrame, order_col: str, name: str = "idx", buckets: int | None = None
 ) -> DataFrame:
     """Number rows 0, 1, 2, ... by a unique numeric order column.
 
-    The driver sees one quantile sketch and one count per bucket, both of fixed size. Buckets
-    are a pure function of the key, so a recomputed task lands on the same numbers, and each
-    bucket holds about ``rows / buckets`` rows however the keys are spread.
+    The driver sees one quantile sketch and one count per bucket, whose number is set by the
+    shuffle partitions and not by the data. Buckets are a pure function of the key, so a
+    recomputed task lands on the same numbers, and each bucket holds about ``rows / buckets``
+    rows however the keys are spread. Both passes before the last read the order column only.
     """
-    wanted = buckets or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    key = F.col(order_col)
-    cuts: list[float] = []
-    if wanted > 1:
-        shares = [i / wanted for i in range(1, wanted)]
-        found = df.agg(F.percentile_approx(key.cast("double"), shares, 10_000).alias("c")).first().c
-        cuts = sorted(set(found or []))
+    spark = df.sparkSession
+    key = F.col(order_col).cast("double")
+    wanted = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = _quantile_cuts(df, key, wanted)
     if cuts:
         splitter = Bucketizer(
             splits=[float("-inf"), *cuts, float("inf")], inputCol="_key", outputCol="_bucket"
         )
-        bucketed = splitter.transform(df.withColumn("_key", key.cast("double"))).drop("_key")
+        bucketed = splitter.transform(df.withColumn("_key", key)).drop("_key")
     else:
         bucketed = df.withColumn("_bucket", F.lit(0.0))
 
-    counts = {r["_bucket"]: r["n"] for r in bucketed.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
-    offsets, seen = [], 0
-    for bucket in sorted(counts):
-        offsets += [F.lit(bucket), F.lit(seen)]
-        seen += counts[bucket]
-    if not offsets:
-        return bucketed.drop("_bucket").withColumn(name, F.lit(0).cast("long"))
-    start = F.create_map(*offsets)[F.col("_bucket")]
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
-    return bucketed.withColumn(name, (start + within - 1).cast("long")).drop("_bucket")
+    sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("_bucket").collect()
+    ends = accumulate(row.n for row in sizes)
+    starts = [(row["_bucket"], end - row.n) for row, end in zip(sizes, ends)]
+    offsets = spark.createDataFrame(starts, "_bucket double, _start long")
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(order_col))
+    return (
+        bucketed.withColumn("_within", within)
+        .join(F.broadcast(offsets), "_bucket")
+        .withColumn(name, (F.col("_start") + F.col("_within") - 1).cast("long"))
+        .drop("_bucket", "_start", "_within")
+    )
 
 
 def batch_index(index: Column, batch_size: int) -> Column:

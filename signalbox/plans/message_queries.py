@@ -15,7 +15,7 @@ from signalbox.session import ship_package
 from signalbox.streaming.assembly import assemble_stream
 from signalbox.streaming.history import history_stream
 from signalbox.streaming.routing import route_stream
-from signalbox.streaming.sinks import latest_updates, read_slices, run_append, run_updates, write_in_slices
+from signalbox.streaming.sinks import latest_updates, replay_in_slices, run_append, run_updates
 
 
 def _literal(text: str) -> str:
@@ -236,26 +236,27 @@ def running(spark, d):
 def stream_route(spark, d):
     """The selector over a stream of stored requests; the rows of the batch query."""
     docs = views.table(spark, d, "documents")
-    stream = route_stream(requests_of(read_slices(docs, write_in_slices(docs, "doc_id", 3, "requests"))))
-    out = run_append(stream, "routed")
-    return spark.read.parquet(out).select("doc_id", "model_selection", "model_key", "error", "use_reasoning")
+    routed = replay_in_slices(docs, "doc_id", lambda rows: route_stream(requests_of(rows)), run_append, "routed")
+    return routed.select("doc_id", "model_selection", "model_key", "error", "use_reasoning")
 
 
 @query("stream_assemble", with_views(CHUNKS, _FINAL_SQL) + """
 select f.request_id, c.last_seq, content, reasoning, reasoning <> '' as has_reasoning
 from final f join (select request_id, max(seq) as last_seq from chunks group by request_id) c on f.request_id = c.request_id""")
 def stream_assemble(spark, d):
-    """Chunks in three micro-batches; the last update of each request is its final text."""
+    """Chunks in three runs; the last update of each request is its final text."""
     ship_package(spark)
     events = views.table(spark, d, "events").select("event_id", "user_id", "event_type")
-    stream = views.chunks_of(read_slices(events, write_in_slices(events, "event_id", 3, "chunks")))
-    return latest_updates(spark.read.parquet(run_updates(assemble_stream(stream), "assembled")), "request_id")
+    updates = replay_in_slices(
+        events, "event_id", lambda rows: assemble_stream(views.chunks_of(rows)), run_updates, "assembled"
+    )
+    return latest_updates(updates, "request_id")
 
 
 @query("stream_history", _history_sql(2))
 def stream_history(spark, d):
-    """Conversations cut by turn into micro-batches, so every state is carried over."""
+    """Conversations cut by turn into three runs, so every state is carried over."""
     ship_package(spark)
     rows = views.conversations(spark, d)
-    stream = read_slices(rows, write_in_slices(rows, "turn", 3, "turns"))
-    return latest_updates(spark.read.parquet(run_updates(history_stream(stream, last=2), "recent")), "conv_id")
+    updates = replay_in_slices(rows, "turn", lambda turns: history_stream(turns, last=2), run_updates, "recent")
+    return latest_updates(updates, "conv_id")

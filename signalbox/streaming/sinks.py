@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalbox.session import fresh_dir
 
 
-def run_append(stream: DataFrame, label: str) -> str:
-    """Write a stateless stream to Parquet until the available input is used up."""
-    spark = stream.sparkSession
-    out, checkpoint = fresh_dir(spark, label), fresh_dir(spark, f"{label}-checkpoint")
+def run_append(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Write what a stateless stream has available to Parquet, then stop."""
     query = (
         stream.writeStream.outputMode("append")
         .format("parquet")
@@ -21,16 +21,13 @@ def run_append(stream: DataFrame, label: str) -> str:
         .start()
     )
     query.awaitTermination()
-    return out
 
 
-def run_updates(stream: DataFrame, label: str) -> str:
-    """Write every micro-batch of an update stream to its own folder.
+def run_updates(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Write every available micro-batch of an update stream to its own folder, then stop.
 
     The folder is named by the batch number, so a repeated batch replaces its first attempt.
     """
-    spark = stream.sparkSession
-    out, checkpoint = fresh_dir(spark, label), fresh_dir(spark, f"{label}-checkpoint")
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -43,7 +40,6 @@ def run_updates(stream: DataFrame, label: str) -> str:
         .start()
     )
     query.awaitTermination()
-    return out
 
 
 def latest_updates(df: DataFrame, key: str) -> DataFrame:
@@ -52,30 +48,31 @@ def latest_updates(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("_rank", F.rank().over(newest)).filter("_rank = 1").drop("_rank", "batch")
 
 
-def write_in_slices(df: DataFrame, order: str, slices: int, label: str) -> str:
-    """Store a table as consecutive slices of ``order``, oldest files first.
+def replay_in_slices(
+    df: DataFrame,
+    order: str,
+    build: Callable[[DataFrame], DataFrame],
+    run: Callable[[DataFrame, str, str], None],
+    label: str,
+    slices: int = 3,
+) -> DataFrame:
+    """Feed a stored table to a stream in consecutive slices of ``order`` and read what came out.
 
-    Used to replay a stored table as a stream: one micro-batch per slice, so state has to carry
-    over. Every row belongs to exactly one slice.
+    After each slice the query runs to the end of its input and is restarted from its checkpoint,
+    so state has to survive. Every row belongs to exactly one slice, written by as many tasks as
+    hold its rows.
     """
     spark = df.sparkSession
-    path = fresh_dir(spark, label)
-    shares = [i / slices for i in range(1, slices)]
-    cuts = sorted(set(df.agg(F.percentile_approx(order, shares).alias("c")).first().c or []))
+    source, out, checkpoint = (fresh_dir(spark, f"{label}-{part}") for part in ("in", "out", "checkpoint"))
     key = F.col(order)
-    bounds = [None, *cuts, None]
-    for low, high in zip(bounds, bounds[1:]):
+    shares = [i / slices for i in range(1, slices)]
+    cuts = sorted(set(df.agg(F.percentile_approx(key, shares).alias("c")).first().c or []))
+    for low, high in zip([None, *cuts], [*cuts, None]):
         part = df
         if low is not None:
             part = part.filter(key > low)
         if high is not None:
             part = part.filter(key <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
-def read_slices(df: DataFrame, path: str) -> DataFrame:
-    """Stream over stored slices with the schema of ``df``, one file per micro-batch."""
-    return (
-        df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    )
+        part.write.mode("append").parquet(source)
+        run(build(spark.readStream.schema(df.schema).parquet(source)), out, checkpoint)
+    return spark.read.parquet(out)

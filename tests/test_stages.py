@@ -48,6 +48,14 @@ def test_three_phases(spark):
     }
 
 
+def test_judge_can_get_its_prompt(spark):
+    def read_prompt(task):
+        return task["judge_prompt"].split("Correct Answer: ")[1], True, ""
+
+    got = by_key(grading.grade_three_phase(results(spark, ROWS), read_prompt, with_prompt=True))
+    assert got[("b", 0)] == ("2", True, "llm_judge", None)
+
+
 def test_judge_errors_in_compat_mode(spark):
     checked = grading.grade_math_only(grading.explode_responses(results(spark, ROWS)))
     tasks = checked.filter("needs_judge").withColumn("correct_answer", grading.row_gold())
