@@ -45,10 +45,11 @@ def turn_pairs(messages: DataFrame, block: int = BLOCK) -> DataFrame:
     other roles are ignored.
     """
     opens = F.when(F.col("role") == "user", F.lit(1)).otherwise(F.lit(0))
-    numbered = running_totals(messages, "conv_id", "turn", {"pair_id": opens}, block)
+    spoken = messages.filter(F.col("role").isin("user", "assistant"))
+    numbered = running_totals(spoken, "conv_id", "turn", {"pair_id": opens}, block)
     is_reply = F.col("role") == "assistant"
     return (
-        numbered.filter((F.col("pair_id") > 0) & F.col("role").isin("user", "assistant"))
+        numbered.filter(F.col("pair_id") > 0)
         .groupBy("conv_id", "pair_id")
         .agg(
             F.max(F.when(F.col("role") == "user", F.col("text"))).alias("user"),

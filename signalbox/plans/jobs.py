@@ -13,6 +13,7 @@ from signalbox.operators.publish import publish_splits
 from signalbox.operators.splits import batch_index, dense_index
 from signalbox.operators.stages import Generator, Judge, all_failed, generate_nested
 from signalbox.schemas import RESULT_COLUMNS
+from signalbox.sources.jsonl import fill_defaults
 from signalbox.sources.store import BatchLog, ResultStore
 
 
@@ -47,12 +48,9 @@ def grade_job(
 
 
 def _stored_form(results: DataFrame) -> DataFrame:
-    """Stored columns of a collected question, with text defaults filled in."""
-    text = [c for c in ("explanation_correct", "answer_correct", "category") if c in results.columns]
-    filled = results
-    for name in text:
-        filled = filled.withColumn(name, F.coalesce(name, F.lit("")))
-    return filled.select(*[c for c in RESULT_COLUMNS if c in results.columns], "responses")
+    """Stored columns of a collected question, defaults filled in."""
+    kept = [c for c in RESULT_COLUMNS if c in results.columns]
+    return fill_defaults(results).select(*kept, "responses")
 
 
 def _collect_batches(
@@ -148,7 +146,10 @@ def cascade_job(
 
 
 def publish_job(splits: Mapping[str, DataFrame], out: str) -> DataFrame:
-    """Write all present splits in the shared wide schema, one folder per split."""
+    """Write all present splits in the shared wide schema, one folder per split.
+
+    ``splits`` is a mapping of frames, such as ``read_split_folder`` gives.
+    """
     wide = publish_splits(splits)
     wide.write.mode("errorifexists").partitionBy("split").parquet(out)
     return wide.sparkSession.read.parquet(out)

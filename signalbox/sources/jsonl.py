@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import logging
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from signalbox.functions.text import is_blank
+from signalbox.sources.store import matching_paths
+
+# Split names and the file stems that hold them.
+SPLIT_STEMS = {"train": ("train",), "validation": ("val", "validation"), "test": ("test",)}
+
+_log = logging.getLogger(__name__)
 
 
 def read_strict(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
@@ -38,7 +46,39 @@ def read_tolerant(spark: SparkSession, path: str | list[str], schema: T.StructTy
     return good, bad
 
 
-def model_of_file(file_name) -> F.Column:
+def fill_defaults(results: DataFrame) -> DataFrame:
+    """Values of missing keys: not multiple choice, empty texts, no responses."""
+    filled = results
+    for name in ("explanation_correct", "answer_correct", "category"):
+        if name in results.columns:
+            filled = filled.withColumn(name, F.coalesce(name, F.lit("")))
+    if "is_mcq" in results.columns:
+        filled = filled.withColumn("is_mcq", F.coalesce("is_mcq", F.lit(False)))
+    if "responses" in results.columns:
+        none = F.array().cast(results.schema["responses"].dataType)
+        filled = filled.withColumn("responses", F.coalesce("responses", none))
+    return filled
+
+
+def read_split_folder(spark: SparkSession, path: str, schema: T.StructType) -> dict[str, DataFrame]:
+    """Splits of a folder by file stem; a missing one is logged, none at all is an error.
+
+    Accepts ``train.jsonl`` as well as ``<anything>_train.jsonl``, and ``val`` for validation.
+    Bad lines are dropped; read a file with :func:`read_tolerant` to see them.
+    """
+    splits = {}
+    for name, stems in SPLIT_STEMS.items():
+        files = [f for stem in stems for form in (stem, f"*_{stem}") for f in matching_paths(spark, f"{path}/{form}.jsonl")]
+        if files:
+            splits[name] = fill_defaults(read_tolerant(spark, files, schema)[0])
+        else:
+            _log.warning("no %s data in %s", name, path)
+    if not splits:
+        raise ValueError(f"no split files in {path}")
+    return splits
+
+
+def model_of_file(file_name: Column) -> Column:
     """Model name of a result file: the text before its first underscore."""
     return F.split_part(file_name, F.lit("_"), F.lit(1))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names under which producers store the row id and the two probabilities.
@@ -13,7 +13,7 @@ THINK_NAMES = ("think_probability", "think_score")
 NO_THINK_NAMES = ("no_think_probability", "no_think_score")
 
 
-def _first_present(df: DataFrame, names: tuple[str, ...], kind: str) -> F.Column:
+def _first_present(df: DataFrame, names: tuple[str, ...], kind: str) -> Column:
     present = [F.col(n).cast(kind) for n in names if n in df.columns]
     return F.coalesce(*present) if present else F.lit(None).cast(kind)
 

@@ -14,14 +14,17 @@ from signalbox.operators.resume import upsert
 from signalbox.session import fresh_dir
 
 
+def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Existing paths of a glob on whatever file system it names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(found.getPath().toString() for found in (fs.globStatus(path) or []))
+
+
 def _finished(spark: SparkSession, root: str, prefix: str) -> list[int]:
     """Numbers of the finished ``<prefix>=<number>`` folders below ``root``."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    marks = fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, f"{prefix}=*/_SUCCESS"))
-    names = [mark.getPath().getParent().getName() for mark in (marks or [])]
-    return sorted(int(name.split("=")[1]) for name in names)
+    marks = matching_paths(spark, f"{root}/{prefix}=*/_SUCCESS")
+    return sorted(int(mark.split("/")[-2].split("=")[1]) for mark in marks)
 
 
 class ResultStore:

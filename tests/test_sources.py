@@ -113,3 +113,15 @@ def test_images(spark, tmp_path):
 def test_question_schema_round_trip(spark, tmp_path):
     path = lines(tmp_path / "q.jsonl", {"unique_id": "u", "question": "q", "category": "c", "choices": ["a"], "choice_index_correct": 0, "explanation_correct": None, "answer_correct": "a"})
     assert jsonl.read_strict(spark, path, QUESTION).first().choices == ["a"]
+
+
+def test_split_folder(spark, tmp_path):
+    lines(tmp_path / "train.jsonl", GOOD, "{broken")
+    lines(tmp_path / "bank_val.jsonl", {"unique_id": "z", "problem": "p"})
+    splits = jsonl.read_split_folder(spark, str(tmp_path), RAW_RESULT)
+    assert set(splits) == {"train", "validation"} and splits["train"].count() == 1
+    row = splits["validation"].first()
+    assert (row.is_mcq, row.category, row.responses) == (False, "", [])
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(ValueError):
+        jsonl.read_split_folder(spark, str(tmp_path / "empty"), RAW_RESULT)
