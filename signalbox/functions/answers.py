@@ -59,27 +59,43 @@ def extraction_failed(extracted: Column) -> Column:
     return extracted.isNull() | (extracted == NOT_FOUND) | (strip(extracted) == "")
 
 
+def _unwrapped(answer: Column) -> Column:
+    """Content of the last box, or the answer itself."""
+    boxed = F.coalesce(last_boxed(answer), answer)
+    return F.when(
+        boxed.startswith("\\boxed{"), F.regexp_replace(boxed, r"^\\boxed\{([\s\S]*)\}$", "$1")
+    ).otherwise(boxed)
+
+
+def _respelled(text: Column) -> Column:
+    plain = F.regexp_replace(text, r"\\text\{([^{}]*)\}", "$1")
+    tight = F.regexp_replace(
+        plain, r"\\left|\\right|\\,|\\!|\\%|%|\^\{\\circ\}|\^\\circ|°|\$|\s", ""
+    )
+    frac = F.regexp_replace(tight, r"\\[dt]frac", r"\\frac")
+    value = F.regexp_replace(frac, r"^\\?[A-Za-z][A-Za-z0-9_]*=([^=]+)$", "$1")
+    return bind(
+        value,
+        lambda v: F.when(
+            v.rlike(r"^[-+]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"), F.replace(v, F.lit(","))
+        ).otherwise(v),
+    )
+
+
 def normalize_answer(answer: Column) -> Column:
     """Canonical spelling of a short final answer.
 
     Unwraps the last box and text macros, drops math delimiters, spacing, percent and degree
     marks, keeps the right side of ``name = value``, unifies fraction macros and removes
-    thousands commas.
+    thousands commas. Plain words and numbers, which no rule touches, skip the rules.
     """
-    boxed = F.coalesce(last_boxed(answer), answer)
-    inner = F.regexp_replace(boxed, r"^\\boxed\{([\s\S]*)\}$", "$1")
-    plain = F.regexp_replace(inner, r"\\text\{([^{}]*)\}", "$1")
-    tight = F.regexp_replace(
-        plain, r"\\left|\\right|\\,|\\!|\\%|%|\^\{\\circ\}|\^\\circ|°|\$|\s", ""
+    return bind(
+        _unwrapped(answer),
+        lambda inner: F.when(inner.rlike(r"^[A-Za-z0-9.+-]*$"), inner).otherwise(_respelled(inner)),
     )
-    frac = F.regexp_replace(tight, r"\\[dt]frac", r"\\frac")
-    value = F.regexp_replace(frac, r"^\\?[A-Za-z][A-Za-z0-9_]*=([^=]+)$", "$1")
-    return F.when(
-        value.rlike(r"^[-+]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"), F.replace(value, F.lit(","))
-    ).otherwise(value)
 
 
-_NUMBER = r"[-+]?(?:[0-9]{1,12}(?:\.[0-9]{0,6})?|\.[0-9]{1,6})"
+_NUMBER = r"^[-+]?(?:[0-9]{1,12}(?:\.[0-9]{0,6})?|\.[0-9]{1,6})$"
 _FRACTION = r"^([-+]?)\\frac\{([-+]?[0-9]{1,12})\}\{([-+]?[0-9]{1,12})\}$"
 _RATIO = r"^([-+]?[0-9]{1,12})/([0-9]{1,12})$"
 
@@ -88,37 +104,38 @@ def _decimal(text: Column) -> Column:
     return text.try_cast("decimal(18,6)")
 
 
-def _numerator(norm: Column) -> Column:
-    """Exact numerator of a number or fraction, null for anything else.
+def _quotient(norm: Column) -> Column:
+    """Exact numerator and denominator of a number or fraction, null for anything else.
 
-    Longer numbers than the pattern admits are compared as text only, so the decimal
-    arithmetic below is always exact.
+    Longer numbers than the patterns admit are compared as text only, so the decimal
+    arithmetic on the parts is always exact.
     """
-    signed = F.when(F.regexp_extract(norm, _FRACTION, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    return (
-        F.when(norm.rlike(f"^{_NUMBER}$"), _decimal(norm))
-        .when(
-            norm.rlike(_FRACTION),
-            (_decimal(F.regexp_extract(norm, _FRACTION, 2)) * signed).cast("decimal(18,6)"),
-        )
-        .when(norm.rlike(_RATIO), _decimal(F.regexp_extract(norm, _RATIO, 1)))
-    )
 
+    def parts(top: Column, bottom: Column) -> Column:
+        return F.struct(top.cast("decimal(18,6)").alias("top"), bottom.cast("decimal(18,6)").alias("bottom"))
+
+    def group(pattern: str, number: int) -> Column:
+        return _decimal(F.regexp_extract(norm, pattern, number))
 
-def _denominator(norm: Column) -> Column:
+    sign = F.when(norm.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
     return (
-        F.when(norm.rlike(_FRACTION), _decimal(F.regexp_extract(norm, _FRACTION, 3)))
-        .when(norm.rlike(_RATIO), _decimal(F.regexp_extract(norm, _RATIO, 2)))
-        .otherwise(F.lit(1).cast("decimal(18,6)"))
+        F.when(norm.rlike(_NUMBER), parts(_decimal(norm), F.lit(1)))
+        .when(norm.rlike(_RATIO), parts(group(_RATIO, 1), group(_RATIO, 2)))
+        .when(norm.rlike(_FRACTION), parts(group(_FRACTION, 2) * sign, group(_FRACTION, 3)))
     )
 
 
+def _same_number(left: Column, right: Column) -> Column:
+    def cross(a: Column, b: Column) -> Column:
+        return (a["bottom"] != 0) & (b["bottom"] != 0) & (a["top"] * b["bottom"] == b["top"] * a["bottom"])
+
+    equal = bind(_quotient(left), lambda a: bind(_quotient(right), lambda b: cross(a, b)))
+    digits = left.rlike(r"[0-9]") & right.rlike(r"[0-9]")
+    return F.when(digits, F.coalesce(equal, F.lit(False))).otherwise(F.lit(False))
+
+
 def _same_value(left: Column, right: Column) -> Column:
-    cross = (_denominator(left) != 0) & (_denominator(right) != 0) & (
-        _numerator(left) * _denominator(right) == _numerator(right) * _denominator(left)
-    )
-    numeric = F.when(left.rlike(r"[0-9]") & right.rlike(r"[0-9]"), cross)
-    return (left != "") & (right != "") & ((left == right) | F.coalesce(numeric, F.lit(False)))
+    return (left != "") & (right != "") & ((left == right) | _same_number(left, right))
 
 
 def answers_equal(expected: Column, given: Column) -> Column:

@@ -71,7 +71,7 @@ def _collect_batches(
         part = with_prompts(planned.filter(F.col("batch") == number).drop("batch"))
         fresh = generate_nested(part, generator, k, max_workers)
         stored = log.commit(number, _stored_form(fresh))
-        if all_failed(stored) and on_all_failed == "stop":
+        if on_all_failed == "stop" and all_failed(stored):
             break
     collected = log.read()
     if collected is None or existing is None:

@@ -54,7 +54,8 @@ def whole_plans(spark):
 
 
 def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """Physical plan as planned, also for a frame that has already run."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
 
 
 # Stages in which user Python runs by design.
