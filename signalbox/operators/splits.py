@@ -112,6 +112,20 @@ def _replay(val: float, test: float, state: tuple[float, float], rows: int):
         yield split, (owed_val, owed_test)
 
 
+def float_pattern(val: float, test: float) -> tuple[int, list[str]] | None:
+    """Row from which binary accumulation repeats itself and the rows up to its first repeat.
+
+    None when no state recurs among the first rows, as for 0.05.
+    """
+    seen, pattern, state = {(0.0, 0.0): 0}, [], (0.0, 0.0)
+    for split, state in _replay(val, test, state, _MAX_LITERAL_PATTERN):
+        pattern.append(split)
+        if state in seen:
+            return seen[state], pattern
+        seen[state] = len(pattern)
+    return None
+
+
 def _replayed_splits(df: DataFrame, val: float, test: float, rows: int) -> DataFrame:
     """``(idx, split)`` for ``rows`` rows: the driver keeps one state per block, tasks expand it."""
     states, state = [], (0.0, 0.0)
@@ -132,6 +146,17 @@ def _replayed_splits(df: DataFrame, val: float, test: float, rows: int) -> DataF
     return spread.mapInPandas(expand, "idx long, split string")
 
 
+def _by_pattern(df: DataFrame, index: str, start: int, pattern: list[str]) -> DataFrame:
+    """Assign splits from a pattern that repeats from row ``start`` on."""
+    row, period = F.col(index), len(pattern) - start
+    slot = F.when(row < start, row).otherwise(start + (row - start) % period)
+    if len(pattern) <= _MAX_LITERAL_PATTERN:
+        lookup = F.split(F.lit(",".join(pattern)), ",")
+        return df.withColumn("split", F.get(lookup, slot.cast("int")))
+    table = df.sparkSession.createDataFrame(list(enumerate(pattern)), "_slot long, split string")
+    return df.withColumn("_slot", slot.cast("long")).join(table, "_slot").drop("_slot")
+
+
 def deterministic_split(
     df: DataFrame,
     index: str = "idx",
@@ -139,25 +164,24 @@ def deterministic_split(
     test_fraction: float = 0.10,
     mode: str = "exact",
 ) -> DataFrame:
-    """Add ``split`` by row number alone; no shuffle in the exact mode.
+    """Add ``split`` by row number alone; a repeating pattern needs no shuffle.
 
     ``mode="exact"`` treats 0.1 as one tenth. ``mode="float"`` repeats binary accumulation,
-    where ten additions of 0.1 stay below 1, for parity with files split that way earlier.
+    where ten additions of 0.1 stay below 1, for parity with files split that way earlier. Its
+    default fractions repeat after eleven rows; where none do, the driver replays the sums once.
     """
     _check(val_fraction, test_fraction)
-    if mode == "float":
-        rows = (df.agg(F.max(index).alias("m")).first().m or 0) + 1
-        return df.join(_replayed_splits(df, val_fraction, test_fraction, rows).withColumnRenamed("idx", index), index)
-    if mode != "exact":
+    if mode == "exact":
+        period, pattern = exact_pattern(val_fraction, test_fraction)
+        return _by_pattern(df, index, period, pattern)
+    if mode != "float":
         raise ValueError(f"unknown mode {mode!r}")
-    period, pattern = exact_pattern(val_fraction, test_fraction)
-    row = F.col(index)
-    slot = F.when(row < period, row).otherwise(period + row % period)
-    if len(pattern) <= _MAX_LITERAL_PATTERN:
-        lookup = F.array(*[F.lit(s) for s in pattern]) if len(pattern) <= 64 else F.split(F.lit(",".join(pattern)), ",")
-        return df.withColumn("split", F.get(lookup, slot.cast("int")))
-    table = df.sparkSession.createDataFrame(list(enumerate(pattern)), "_slot long, split string")
-    return df.withColumn("_slot", slot.cast("long")).join(table, "_slot").drop("_slot")
+    found = float_pattern(val_fraction, test_fraction)
+    if found is not None:
+        return _by_pattern(df, index, *found)
+    rows = (df.agg(F.max(index).alias("m")).first().m or 0) + 1
+    replayed = _replayed_splits(df, val_fraction, test_fraction, rows)
+    return df.join(replayed.withColumnRenamed("idx", index), index)
 
 
 def split_counts(df: DataFrame) -> DataFrame:

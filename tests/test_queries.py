@@ -61,7 +61,6 @@ def plan(df) -> str:
 # Stages in which user Python runs by design.
 PYTHON_STAGES = {
     "grade_three_phase", "judge_stage", "generate_k", "drop_failed", "score_prompts_callable", "win_rate_scores",
-    "deterministic_split_float",
 }
 
 

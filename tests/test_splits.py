@@ -50,6 +50,13 @@ def test_float_split_replays_binary_sums(spark, monkeypatch):
     assert got.index("validation") == 10
 
 
+@pytest.mark.parametrize(("val", "test"), [(0.1, 0.1), (0.25, 0.5), (0.0, 0.0)])
+def test_float_split_by_pattern(spark, val, test):
+    assert splits.float_pattern(val, test) is not None
+    df = spark.range(2000).withColumnRenamed("id", "idx")
+    assert assigned(splits.deterministic_split(df, "idx", val, test, mode="float")) == replay(val, test, 2000)
+
+
 def test_default_first_validation_row(spark):
     df = spark.range(30).withColumnRenamed("id", "idx")
     assert assigned(splits.deterministic_split(df)).index("validation") == 9
