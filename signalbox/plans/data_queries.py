@@ -446,7 +446,7 @@ def _prompts(spark, d):
 @query("generate_k", with_views(_GENERATED) + """
 select unique_id, string_agg(t, '|' order by i) as responses, bool_or(kind <> 0) as success from generated group by unique_id""")
 def generated(spark, d):
-    ship_package(spark)
+    ship_package()
     made = generate_nested(_prompts(spark, d), echo_generator, k=2, max_workers=4)
     return _joined_responses(made.withColumn("unique_id", F.struct("unique_id", "success"))).select(
         "unique_id.*", "responses"
@@ -456,7 +456,7 @@ def generated(spark, d):
 @query("drop_failed", """
 select md5(cast(doc_id as varchar)) as unique_id from documents where doc_id % 5 <> 0""")
 def dropped(spark, d):
-    ship_package(spark)
+    ship_package()
     made = generate_nested(_prompts(spark, d), echo_generator, k=1, max_workers=4)
     return drop_failed_prompts(made).select("unique_id")
 
@@ -467,7 +467,7 @@ def collected(spark, d):
     """The composed collection job on an empty store, in three committed batches."""
     from signalbox.plans.jobs import collect_job
 
-    ship_package(spark)
+    ship_package()
     dataset = views.questions(spark, d)
     size = -(-dataset.count() // 3)
     made = collect_job(
@@ -486,7 +486,7 @@ def cascaded(spark, d):
     """The strong model runs only on what the weak results fail."""
     from signalbox.plans.jobs import cascade_job
 
-    ship_package(spark)
+    ship_package()
     weak = materialize(views.graded_results(spark, d), "weak")
     made = cascade_job(
         weak, fresh_dir(spark, "cascade"), echo_generator, fresh_dir(spark, "failed"),

@@ -118,7 +118,7 @@ from graded"""
 
 @query("grade_three_phase", with_views(*GRADED) + _JUDGE_SQL)
 def three_phase(spark, d):
-    ship_package(spark)
+    ship_package()
     graded_rows = grading.grade_three_phase(views.raw_results(spark, d), containment_judge)
     return graded_rows.drop("full_response")
 
@@ -126,7 +126,7 @@ def three_phase(spark, d):
 @query("judge_stage", with_views(*GRADED) + f"select * from ({_JUDGE_SQL}) where extraction_method <> 'math_verify'")
 def judged_only(spark, d):
     """The judge over the unresolved rows alone."""
-    ship_package(spark)
+    ship_package()
     checked = grading.grade_math_only(grading.explode_responses(views.raw_results(spark, d)))
     tasks = checked.filter("needs_judge").withColumn("correct_answer", grading.row_gold())
     out = judge_stage(tasks, containment_judge)

@@ -245,7 +245,7 @@ select f.request_id, c.last_seq, content, reasoning, reasoning <> '' as has_reas
 from final f join (select request_id, max(seq) as last_seq from chunks group by request_id) c on f.request_id = c.request_id""")
 def stream_assemble(spark, d):
     """Chunks in three runs; the last update of each request is its final text."""
-    ship_package(spark)
+    ship_package()
     events = views.table(spark, d, "events").select("event_id", "user_id", "event_type")
     updates = replay_in_slices(
         events, "event_id", lambda rows: assemble_stream(views.chunks_of(rows)), run_updates, "assembled"
@@ -256,7 +256,7 @@ def stream_assemble(spark, d):
 @query("stream_history", _history_sql(2))
 def stream_history(spark, d):
     """Conversations cut by turn into three runs, so every state is carried over."""
-    ship_package(spark)
+    ship_package()
     rows = views.conversations(spark, d)
     updates = replay_in_slices(rows, "turn", lambda turns: history_stream(turns, last=2), run_updates, "recent")
     return latest_updates(updates, "conv_id")

@@ -256,7 +256,7 @@ def win_rate(spark, d):
 select doc_id, case when text = '' then 0.5 else 1.0 / (1.0 + length(text) / 1000.0) end as confidence from documents""")
 def win_rates(spark, d):
     """A per-text scorer over whole texts that fails on empty ones."""
-    ship_package(spark)
+    ship_package()
     docs = views.table(spark, d, "documents").select("doc_id", "text")
     return win_rate_scores(docs, "text", length_win_rate).drop("text")
 
@@ -380,7 +380,7 @@ select doc_id, round(1 / (1 + exp(-(length(text) - 1000) / 1000.0)), 6) as think
        round(1 - 1 / (1 + exp(-(length(text) - 1000) / 1000.0)), 6) as no_think_probability from documents""")
 def score_callable(spark, d):
     """A user's batch scorer over whole texts."""
-    ship_package(spark)
+    ship_package()
     docs = views.table(spark, d, "documents").select("doc_id", "text")
     scored = score_with(docs, "text", length_scorer, ["no_think", "think"]).drop("text")
     return rounded(scored, "think_probability", "no_think_probability")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
+import sys
 import tempfile
 import uuid
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
-_SHIPPED: set[str] = set()
 
 
 def local_session(cores: str = "8", name: str = "signalbox", memory: str = "8g") -> SparkSession:
@@ -53,18 +52,10 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of a session started without it.
+def ship_package() -> None:
+    """Send this package's functions to the Python workers by value.
 
-    A cluster normally gets it through ``--py-files`` or an installed wheel; then this adds an
-    unused archive and nothing else.
+    For a session whose workers cannot import the package. A cluster that got it through
+    ``--py-files`` or a wheel does not need this.
     """
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent
-    archive = shutil.make_archive(
-        str(Path(tempfile.mkdtemp(prefix="signalbox-py-")) / package.name), "zip", package.parent, package.name
-    )
-    spark.sparkContext.addPyFile(archive)
-    _SHIPPED.add(app)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])

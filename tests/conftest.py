@@ -14,6 +14,6 @@ from signalbox.session import local_session, ship_package  # noqa: E402
 def spark():
     session = local_session("4", "signalbox-tests", memory="4g")
     session.sparkContext.setLogLevel("OFF")
-    ship_package(session)
+    ship_package()
     yield session
     session.stop()
