@@ -111,3 +111,11 @@ def test_statistics_never_read_the_response_texts(spark):
     for name in ("average_accuracy", "method_counts", "weak_failures", "topk_responses", "accuracy_by_model", "judge_used"):
         schema = re.search(r"ReadSchema: (\S+)", plan(built(spark, name)))[1]
         assert "full_response" not in schema, name
+
+
+def test_running_totals_never_gather_a_whole_key(spark):
+    """Rows with text shuffle by key and block; only partial sums meet by key."""
+    text = plan(history.turn_pairs(views.conversations(spark, SF_DIR)))
+    window = text.index("Window [sum(_v_pair_id")
+    exchange = text[window:].split("Exchange hashpartitioning(")[1].split(")")[0]
+    assert "conv_id" in exchange and "_block" in exchange
