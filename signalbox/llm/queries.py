@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from signalbox.llm import ngram_join
+from signalbox.llm import language_mixture, ngram_join, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,3 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op5_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality_rules(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.quality_rules(docs, labels.where("quality = 1").select("doc_id"))
+
+
+def held_out(column: str, folds: int, fold: int):
+    """True for rows of the fold that learning never sees."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds == fold
+
+
+@query
+def op4_language_mixture(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language_mixture.identify(docs, docs.where(~held_out("doc_id", 4, 2)))
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "mixture")
