@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import language_mixture, ngram_join, quality_rules
+from signalbox.llm import language_mixture, ngram_join, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +44,19 @@ def op4_language_mixture(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = language_mixture.identify(docs, docs.where(~held_out("doc_id", 4, 2)))
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "mixture")
+
+
+@query
+def op7_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+
+    def counted(kind: str):
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+
+    base = F.filter("findings", lambda f: f["kind"] != "literal")
+    return found.select(
+        "doc_id", counted("assign"), counted("access"), counted("hex"),
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"), counted("literal"))
