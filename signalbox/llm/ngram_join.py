@@ -8,8 +8,9 @@ Method. Order the shingles of all sets alike. A text of n shingles that links wi
 least a = ceil(n * percent / 100) of them, so the two share at least m shingles among the first
 n - a + m of each (the m-prefix); prefixes of different m share the smaller m. The order is cheap
 shingles first, by hash, then costly ones. A text whose first n - a + 1 shingles hold c costly ones
-(by estimated list length) lengthens its prefix by c and asks for c + 1 matches. A pair is verified
-exactly once it shares as many prefix shingles as the less demanding of the two asks for.
+(by estimated list length) lengthens its prefix by c, and by a share of n, since long texts meet by
+chance most often and cost most to verify; lengthened by e, it asks for e + 1 matches. A pair is
+verified exactly once it shares as many prefix shingles as the less demanding of the two asks for.
 
 Scale. Equal sets meet by digest first. Texts that share low hashes are then linked with one leader
 and verified, so that a group of near copies is one class before lists are paired: lists hold classes,
@@ -37,6 +38,8 @@ LOW = 8
 BLOCK = 3 << 20
 #: A shingle in this many texts is costly; so many costly shingles are known to every task.
 COSTLY, COSTLY_KNOWN = 8, 1 << 18
+#: A prefix is lengthened by one shingle for so many of the text.
+LENGTHEN = 32
 #: Bits of the bitmap of wanted ids.
 WANTED_BITS = 1 << 23
 #: Prefix shingles in one bucket, about.
@@ -97,7 +100,7 @@ def _poster(k: int, percent: int, buckets: int, costly: np.ndarray, schema: pa.S
         if len(costly):
             is_costly = costly[np.minimum(at, len(costly) - 1)] == s
         ordered = np.concatenate([s[~is_costly], s[is_costly]])
-        more = min(max(0, size - int((~is_costly).sum())), len(s) - size)
+        more = min(max(0, size - int((~is_costly).sum())) + len(s) // LENGTHEN, len(s) - size)
         return ordered[:size + more], more + 1
 
     def post(batches):
