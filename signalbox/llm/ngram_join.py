@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from signalbox.llm.graph import components
 from signalbox.llm.textkit import mix64, shingle_sets, slices, stream64
+from signalbox.llm.wanted import held, id_bitmap, with_place
 from signalbox.sources.store import materialize
 
 #: Low hashes of a text by which it looks for a leader.
@@ -40,8 +41,6 @@ BLOCK = 3 << 20
 COSTLY, COSTLY_KNOWN = 8, 1 << 18
 #: A prefix is lengthened by one shingle for so many of the text.
 LENGTHEN = 32
-#: Bits of the bitmap of wanted ids.
-WANTED_BITS = 1 << 23
 #: Prefix shingles in one bucket, about.
 BUCKET = 1 << 20
 
@@ -140,26 +139,10 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"token": flat[0].take(keep), "id": flat[1].take(keep), "need": flat[2].take(keep)})
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Bitmap, of fixed size, of the hashed ids."""
-    place = F.pmod(F.xxhash64("id"), F.lit(WANTED_BITS))
-    rows = (
-        ids.select(place.alias("place"))
-        .groupBy(F.bitmap_bucket_number("place").alias("number"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()
-    )
-    bits = np.zeros((WANTED_BITS // 32768 + 2, 4096), dtype=np.uint8)
-    for row in rows:
-        bits[row.number] = np.frombuffer(bytes(row.bits), dtype=np.uint8)
-    return bits
-
-
-def _set_reader(k: int, bits: np.ndarray, number, position, schema: pa.Schema):
+def _set_reader(k: int, bits: np.ndarray, schema: pa.Schema):
     def read(batches):
         for batch in batches:
-            at = np.asarray(batch.column(number)), np.asarray(batch.column(position))
-            there = (bits[at[0], at[1] >> 3] >> (at[1] & 7)) & 1
-            for part in slices(batch.filter(pa.array(there.astype(bool))), "text"):
+            for part in slices(held(bits, batch), "text"):
                 sets = shingle_sets(part.column("text"), k)
                 yield pa.RecordBatch.from_pydict(
                     {"id": part.column("id"), "n": [len(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]}, schema=schema)
@@ -170,13 +153,11 @@ def _set_reader(k: int, bits: np.ndarray, number, position, schema: pa.Schema):
 def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int, id_type, id_arrow) -> DataFrame:
     """The pairs ``a, b`` whose sets meet the threshold, by counting shared shingles exactly."""
     pairs = materialize(pairs, "pairs")
-    bits = _bitmap(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    place = F.pmod(F.xxhash64("id"), F.lit(WANTED_BITS))
+    bits = id_bitmap(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
     schema = pa.schema([("id", id_arrow), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
     sets = materialize(
-        texts.where("id is not null").select(
-            "id", "text", F.bitmap_bucket_number(place).alias("number"), F.bitmap_bit_position(place).alias("position"))
-        .mapInArrow(_set_reader(k, bits, "number", "position", schema), f"id {id_type}, n long, tokens array<long>"), "sets")
+        with_place(texts.where("id is not null"))
+        .mapInArrow(_set_reader(k, bits, schema), f"id {id_type}, n long, tokens array<long>"), "sets")
     left, right = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
     shared = F.size(F.array_intersect("ta", "tb"))
     met = 100 * shared >= percent * (F.col("na") + F.col("nb") - shared)

@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from signalbox.llm.multinomial import BITS, class_counts, collected, log_probabilities
 from signalbox.llm.textkit import SPACE, grams, mix64, slices, span_hashes, spans, words
+from signalbox.llm.wanted import read_again
 
 #: A document is kept from this mean log-likelihood ratio on.
-THRESHOLD = -0.15
+THRESHOLD = -0.1
+#: Counts added to each place of both multinomials.
+SMOOTHING = 16.0
 #: Base rules: fewer words fail, and so do repeated words beyond this percentage.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -74,16 +77,20 @@ def features(texts: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarray,
 def trusted_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Log-likelihood ratio of each place, from all of ``docs`` and those whose id is in ``trusted``.
 
-    The raw corpus includes the trusted documents. Without trusted documents the ratio is 0.
+    Raw counts are scaled to the trusted total and both get ``SMOOTHING`` counts a place, so a place
+    too rare to be expected among few trusted documents says nothing. The raw corpus includes the trusted documents. Only texts of trusted ids are shuffled, by a merge
+    join at every size. Without trusted documents the ratio is 0.
     """
-    marks = trusted.select(F.col(id_col).alias("id"), F.lit("trusted").alias("part")).where("id is not null").distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id", "left")
-    counts = collected(class_counts(rows.select(F.coalesce("part", F.lit("other")).alias("part"), "text"), word_places))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    raw = collected(class_counts(rows.select(F.lit("raw").alias("part"), "text"), word_places))
+    ids = trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    chosen = read_again(rows, ids).join(ids.hint("merge"), "id", "left_semi")
+    counts = collected(class_counts(chosen.select(F.lit("trusted").alias("part"), "text"), word_places))
     none = np.zeros(1 << BITS)
     if "trusted" not in counts:
         return none
-    raw = counts["trusted"] + counts.get("other", none)
-    return log_probabilities(counts["trusted"]) - log_probabilities(raw)
+    scaled = raw["raw"] * (counts["trusted"].sum() / raw["raw"].sum())
+    return log_probabilities(counts["trusted"], SMOOTHING) - log_probabilities(scaled, SMOOTHING)
 
 
 def _scorer(ratio: np.ndarray, schema: pa.Schema):
