@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import language_mixture, ngram_join, quality_rules, secret_scan
+from signalbox.llm import language_mixture, license_scan, ngram_join, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,3 +60,18 @@ def op7_secret_scan(spark, sf_dir):
     return found.select(
         "doc_id", counted("assign"), counted("access"), counted("hex"),
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"), counted("literal"))
+
+
+@query
+def op6_license_scan(spark, sf_dir):
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["template"] < len(license_scan.PHRASES))
+
+    def labels(spans):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    starts = F.transform(base, lambda s: s["first"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"))
