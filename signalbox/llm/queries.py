@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import decontaminate, language_mixture, license_scan, ngram_join, quality_rules, secret_scan
+from signalbox.llm import decontaminate, language_mixture, license_scan, ngram_join, quality_rules, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,3 +80,10 @@ def op6_license_scan(spark, sf_dir):
 @query
 def op10_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score(docs, docs, labels.where(~held_out("doc_id", 5, 0)))
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
