@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import decontaminate, language_mixture, license_scan, ngram_join, quality_rules, secret_scan, toxicity
+from signalbox.llm import decontaminate, language_mixture, license_scan, mixing, ngram_join, quality_rules, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,18 @@ def op1_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = toxicity.score(docs, docs, labels.where(~held_out("doc_id", 5, 0)))
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+#: Shares of tokens that the mixture should have, by the domains of the labelled table.
+MIX_TARGETS = {"quality1_toxic0": 0.85, "quality1_toxic1": 0.05, "quality0_toxic0": 0.09, "quality0_toxic1": 0.01}
+
+
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    return labels.where("quality is not null and toxic is not null").select(
+        "doc_id", F.concat(F.lit("quality"), "quality", F.lit("_toxic"), "toxic").alias("domain"))
+
+
+@query
+def op3_soft_mixing(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return mixing.mixing_rates(docs, labelled_domains(labels), MIX_TARGETS)
