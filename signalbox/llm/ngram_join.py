@@ -10,7 +10,8 @@ n - a + m of each (the m-prefix); prefixes of different m share the smaller m. T
 shingles first, by hash, then costly ones. A text whose first n - a + 1 shingles hold c costly ones
 (by estimated list length) lengthens its prefix by c, and by a share of n, since long texts meet by
 chance most often and cost most to verify; lengthened by e, it asks for e + 1 matches. A pair is
-verified exactly once it shares as many prefix shingles as the less demanding of the two asks for.
+verified exactly once it shares as many prefix shingles as the less demanding of the two asks for,
+counting only those that stand early enough in both for the two sizes at hand.
 
 Scale. Equal sets meet by digest first. Texts that share low hashes are then linked with one leader
 and verified, so that a group of near copies is one class before lists are paired: lists hold classes,
@@ -36,7 +37,7 @@ from signalbox.sources.store import materialize
 #: Low hashes of a text by which it looks for a leader.
 LOW = 8
 #: Shingles counted together in one block, and kept at once in a task.
-BLOCK = 3 << 20
+BLOCK = 3 << 19
 #: A shingle in this many texts is costly; so many costly shingles are known to every task.
 COSTLY, COSTLY_KNOWN = 8, 1 << 18
 #: A prefix is lengthened by one shingle for so many of the text.
@@ -115,6 +116,7 @@ def _poster(k: int, percent: int, buckets: int, costly: np.ndarray, schema: pa.S
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
             own_ids = pa.array([ids[i] for i in different], type=schema.field("ids").type.value_type)
             needs = np.array([c[1] for c in chosen], dtype=np.int32)
+            rank = np.concatenate([np.arange(len(c[0]), dtype=np.int32) for c in chosen])
             full = np.flatnonzero(np.diff(bounds))
             token, owner = token[order], owner[order]
             offsets = pa.array(np.concatenate([bounds[full], bounds[-1:]]), type=pa.int32())
@@ -123,6 +125,7 @@ def _poster(k: int, percent: int, buckets: int, costly: np.ndarray, schema: pa.S
                 pa.ListArray.from_arrays(offsets, pa.array(token.view(np.int64))),
                 pa.ListArray.from_arrays(offsets, own_ids.take(pa.array(owner))),
                 pa.ListArray.from_arrays(offsets, pa.array(needs[owner])),
+                pa.ListArray.from_arrays(offsets, pa.array(rank[order])),
             ], schema=schema)
 
     return post
@@ -130,13 +133,13 @@ def _poster(k: int, percent: int, buckets: int, costly: np.ndarray, schema: pa.S
 
 def _repeated(table: pa.Table) -> pa.Table:
     """Rows of the shingles that stand in more than one list entry of a bucket."""
-    flat = [table.column(name).combine_chunks().flatten() for name in ("tokens", "ids", "needs")]
+    flat = [table.column(name).combine_chunks().flatten() for name in ("tokens", "ids", "needs", "ranks")]
     token = np.asarray(flat[0])
     order = np.argsort(token, kind="stable")
     equal = token[order][1:] == token[order][:-1]
     keep = order[np.concatenate([[False], equal]) | np.concatenate([equal, [False]])]
     keep = pa.array(keep)
-    return pa.table({"token": flat[0].take(keep), "id": flat[1].take(keep), "need": flat[2].take(keep)})
+    return pa.table({name: column.take(keep) for name, column in zip(("token", "id", "need", "rank"), flat)})
 
 
 def _set_reader(k: int, bits: np.ndarray, schema: pa.Schema):
@@ -220,29 +223,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .orderBy(F.desc("seen"), "token").limit(COSTLY_KNOWN).select("token").collect()), dtype=np.uint64)
     total = named.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (100 - percent) / 100 / BUCKET))
-    schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.list_(pa.int64())), ("ids", pa.list_(id_arrow)), ("needs", pa.list_(pa.int32()))])
+    schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.list_(pa.int64())), ("ids", pa.list_(id_arrow)), ("needs", pa.list_(pa.int32())), ("ranks", pa.list_(pa.int32()))])
     repeated = materialize(
         texts.where("id is not null")
         .mapInArrow(_poster(k, percent, buckets, costly, schema),
-                    f"bucket int, tokens array<long>, ids array<{id_type}>, needs array<int>")
-        .groupBy("bucket").applyInArrow(_repeated, f"token long, id {id_type}, need int"), "repeated")
-    own = members.where("id <> rep").select("id", "rep").distinct()
-    named_by = repeated.join(own, "id", "left").select("token", F.coalesce("rep", "id").alias("id"), "need")
-    classed = named_by.join(classes, "id", "left").select("token", F.coalesce("component", "id").alias("class"), "need")
-    lists = materialize(classed.groupBy("token", "class").agg(F.min("need").alias("need")), "lists")
-    several = lists.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token")
+                    f"bucket int, tokens array<long>, ids array<{id_type}>, needs array<int>, ranks array<int>")
+        .groupBy("bucket").applyInArrow(_repeated, f"token long, id {id_type}, need int, rank int"), "repeated")
+    own = members.select("id", "rep", "n").distinct()
+    in_class = single.select(F.col("id").alias("rep"), "n").distinct().join(classes.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "rep", "n", F.coalesce("component", "rep").alias("class"))
+    classed = repeated.join(own, "id").join(in_class, ["rep", "n"])
+    lists = materialize(
+        classed.groupBy("token", "class", "n")
+        .agg(F.min("need").alias("least"), F.max("need").alias("most"), F.min("rank").alias("rank")), "lists")
+    several = lists.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
     lists = materialize(lists.join(several, "token", "left_semi"), "lists")
-    other = lists.select("token", F.col("class").alias("other"), F.col("need").alias("other_need"))
+    other = lists.select("token", *(F.col(c).alias(f"other_{c}") for c in ("class", "n", "least", "most", "rank")))
+    # Sets of n and m shingles that link share t of them, so of the first n - t + e of each they share e.
+    shared = F.ceil(F.lit(percent) * (F.col("n") + F.col("other_n")) / (100 + percent))
+    asked = F.least("most", "other_most")
+    inside = (F.col("rank") < F.col("n") - shared + asked) & (F.col("other_rank") < F.col("other_n") - shared + asked)
     met = (
-        lists.join(other, "token").where("class < other")
-        .groupBy("class", "other").agg(F.count("*").alias("common"), F.min(F.least("need", "other_need")).alias("need"))
-        .where("common >= need").select("class", "other")
+        lists.join(other, "token").where(F.col("class") < F.col("other_class"))
+        .where(_similar_size("n", "other_n", percent) & inside)
+        .groupBy("class", "n", "other_class", "other_n")
+        .agg(F.count("*").alias("common"), F.min(F.least("least", "other_least")).alias("need"))
+        .where("common >= need").drop("common", "need")
     )
-    in_class = single.select("id", "n").distinct().join(classes, "id", "left").select("id", "n", F.coalesce("component", "id").alias("class"))
-    in_other = in_class.select(F.col("id").alias("other_id"), F.col("n").alias("other_n"), F.col("class").alias("other"))
+    in_other = in_class.select(F.col("rep").alias("b"), F.col("n").alias("other_n"), F.col("class").alias("other_class"))
     pairs = (
-        met.join(in_class, "class").join(in_other, "other").where(_similar_size("n", "other_n", percent))
-        .select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).where("a <> b").distinct()
+        met.join(in_class.withColumnRenamed("rep", "a"), ["class", "n"]).join(in_other, ["other_class", "other_n"])
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     )
     more_links = _verified(texts, pairs, k, percent, id_type, id_arrow)
 
