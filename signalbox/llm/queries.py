@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import decontaminate, language_mixture, license_scan, mixing, ngram_join, quality_rules, secret_scan, toxicity
+from signalbox.llm import decontaminate, language_mixture, license_scan, mixing, ngram_join, quality_rules, secret_scan, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,3 +102,15 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
 def op3_soft_mixing(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return mixing.mixing_rates(docs, labelled_domains(labels), MIX_TARGETS)
+
+
+@query
+def op9_warc_transactions(spark, sf_dir):
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    found = found.where("main is not null").select(
+        "capture_id", "main.*", F.size("requests").alias("n_requests"),
+        F.element_at(F.element_at("metadata", 1)["fields"], "page-id").cast("long").alias("page_id"))
+    response = found.where("type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("response_page"))
+    return found.join(response, "refers_to", "left").select(
+        "page_id", "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
+        F.col("type").alias("record_type"), F.col("response_page").alias("refers_to"), F.col("uri").alias("url"), "n_requests")
