@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import decontaminate, language_mixture, license_scan, mixing, ngram_join, quality_rules, secret_scan, toxicity, warc
+from signalbox.llm import decontaminate, language_mixture, license_scan, mixing, ngram_join, quality_rules, secret_scan, toxicity, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,3 +114,54 @@ def op9_warc_transactions(spark, sf_dir):
     return found.join(response, "refers_to", "left").select(
         "page_id", "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
         F.col("type").alias("record_type"), F.col("response_page").alias("refers_to"), F.col("uri").alias("url"), "n_requests")
+
+
+#: Time of a page and a number of a text, in words both engines know: pages have no fetch time, lists no table.
+_FETCHED = "cast(page_id * 7919 % 730 as bigint)"
+_NUMBER = "(length({0}) * 31 + ascii(substr({0}, 3, 1)) * 7 + ascii(substr({0}, 5, 1)))"
+_ENTRIES = """
+select 'hosts' as list_name, host as pattern, 'add' as action, n % 200 as on_day from (select distinct host, {host_n} as n from hosts) h where n % 2 = 0
+union all select 'hosts', host, 'remove', n % 200 + 90 + n % 150 from (select distinct host, {host_n} as n from hosts) h where n % 2 = 0
+union all select 'hosts', host, 'add', 450 + n % 40 from (select distinct host, {host_n} as n from hosts) h where n % 4 = 0
+union all select 'domains', domain, 'add', n % 300 from (select distinct domain, {domain_n} as n from hosts) h where n % 3 = 0
+union all select 'domains', domain, 'add', n % 300 + 20 from (select distinct domain, {domain_n} as n from hosts) h where n % 3 = 0
+union all select 'domains', domain, 'remove', n % 300 + 60 from (select distinct domain, {domain_n} as n from hosts) h where n % 3 = 0
+union all select 'sections', section, 'add', n % 500 from (select distinct section, {section_n} as n from hosts) h where n % 3 = 1
+""".format(host_n=_NUMBER.format("host"), domain_n=_NUMBER.format("domain"), section_n=_NUMBER.format("section"))
+
+
+def listed_entries(pages: DataFrame) -> DataFrame:
+    """A dated log of list entries derived from the hosts, domains and sections of ``pages``."""
+    host, parts = url_filters.url_host(F.col("url")), F.filter(F.split(F.regexp_extract("url", "^[a-z]+://[^/?#]*/([^?#]*)", 1), "/"), lambda p: p != "")
+    hosts = pages.select(
+        host.alias("host"), F.regexp_replace(host, r"^[^.]*\.(?=.*\.)", "").alias("domain"),
+        F.concat(host, F.lit("/"), F.lower(F.element_at(F.concat(parts, F.array(F.lit(""))), 1))).alias("section")).where("host is not null")
+    return hosts.sparkSession.sql(_ENTRIES.replace("from hosts", "from {hosts}"), hosts=hosts.distinct()).withColumnRenamed("on_day", "at")
+
+
+@query
+def op2_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_FETCHED).alias("fetched"))
+    intervals = url_filters.validity_intervals(listed_entries(pages))
+    return url_filters.judged(pages, intervals)
+
+
+SQL["op2_url_filters"] = f"""
+with pages_at as (select page_id, url, {_FETCHED} as fetched, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as host,
+                         list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1), '/'), lambda p: p <> '') as parts from pages),
+hosts as (select distinct host, case when length(host) - length(replace(host, '.', '')) > 1 then substr(host, strpos(host, '.') + 1) else host end as domain,
+                 host || '/' || lower(coalesce(parts[1], '')) as section from pages_at),
+entries as ({_ENTRIES}),
+log as (select list_name, pattern, cast(on_day as bigint) as on_day, max(cast(action = 'add' as int)) as listed from entries group by all),
+changes as (select * from (select *, coalesce(lag(listed) over (partition by list_name, pattern order by on_day), 0) as before from log) where listed <> before),
+intervals as (select * from (select list_name, pattern, on_day as valid_from, listed, lead(on_day) over (partition by list_name, pattern order by on_day) as valid_to from changes) where listed = 1),
+probes as (select page_id, fetched, unnest(list_distinct(list_concat(
+    list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(1, len(parts) + 1), lambda i: host || '/' || lower(array_to_string(parts[1:i], '/')))))) as pattern from pages_at),
+matches as (select page_id, p.pattern, list_name, valid_from from probes p join intervals i on p.pattern = i.pattern
+    where valid_from <= fetched and (valid_to is null or fetched < valid_to)),
+ranked as (select *, count(*) over (partition by page_id) as n,
+    row_number() over (partition by page_id order by length(pattern) desc, pattern, list_name) as r from matches)
+select a.page_id, a.url, a.fetched, n is not null as blocked, coalesce(n, 0) as n_matches, list_name, pattern, valid_from
+from pages_at a left join ranked r on a.page_id = r.page_id and r.r = 1
+"""
