@@ -105,24 +105,26 @@ class Sketches:
         return result
 
 
+def _found(texts: pa.Array, sketches: Sketches, k: int, percent: int) -> list[tuple[int, int, int]]:
+    """``text number, item number, shared shingles`` of the items in each text."""
+    doc, hashed = shingles(words(texts, NOT_ALNUM), k)
+    order = np.argsort(doc, kind="stable")
+    bounds = np.searchsorted(doc[order], np.arange(len(texts) + 1))
+    hashed = hashed[order]
+    near = np.zeros(len(hashed) + 1, dtype=np.int64)
+    for p, seed in enumerate(_SEEDS):
+        near[1:] += sketches.filters[p][(mix64(hashed ^ seed) & np.uint64(0xFFFFF)).astype(np.int64)]
+    near = np.cumsum(near)
+    return [
+        (int(i), n, shared) for i in np.flatnonzero(near[bounds[1:]] > near[bounds[:-1]])
+        for n, shared in sketches.contained(hashed[bounds[i]:bounds[i + 1]], percent)]
+
+
 def _searcher(sketches: Sketches, k: int, percent: int, schema: pa.Schema):
     def search(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                w = words(part.column("text"), NOT_ALNUM)
-                doc, hashed = shingles(w, k)
-                order = np.argsort(doc, kind="stable")
-                bounds = np.searchsorted(doc[order], np.arange(part.num_rows + 1))
-                hashed = hashed[order]
-                near = np.zeros(len(hashed) + 1, dtype=np.int64)
-                for p, seed in enumerate(_SEEDS):
-                    near[1:] += sketches.filters[p][(mix64(hashed ^ seed) & np.uint64(0xFFFFF)).astype(np.int64)]
-                near = np.cumsum(near)
-                rows = []
-                for i in np.flatnonzero(near[bounds[1:]] > near[bounds[:-1]]):
-                    for n, shared in sketches.contained(hashed[bounds[i]:bounds[i + 1]], percent):
-                        rows.append((int(i), n, shared))
-                if rows:
+                if rows := _found(part.column("text"), sketches, k, percent):
                     at, number, shared = (np.array(x) for x in zip(*rows))
                     size = np.array([len(sketches.sets[n]) for n in number])
                     yield pa.RecordBatch.from_arrays([
@@ -171,14 +173,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.distinct().withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows of ids in which an item is found; rows without an id are judged by their text."""
-    named = docs.where(F.col(id_col).isNotNull())
-    found = contaminated(named, benchmark, id_col, text_col, item_col, item_text_col, k, percent).select(id_col).distinct()
-    clean = named.join(found, id_col, "left_anti").select(docs.columns)
-    loose = docs.where(F.col(id_col).isNull())
-    by_text = loose.withColumn(id_col, F.sha2(text_col, 256))
-    found = contaminated(by_text, benchmark, id_col, text_col, item_col, item_text_col, k, percent).select(F.col(id_col).alias("_text")).distinct()
-    loose = loose.join(found, F.sha2(text_col, 256) == F.col("_text"), "left_anti")
-    return clean.unionByName(loose)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                  item_text_col: str = "text", k: int = 5, percent: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows in whose text an item is found, as :func:`contaminated` finds it.
+
+    Rows are dropped where they are read, so nothing is shuffled and ids do not matter.
+    """
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    left = docs
+    for block in blocks(items, block_bytes):
+        left = left.mapInArrow(_cleaner(Sketches(block, k), k, percent, text_col), docs.schema)
+    return left
+
+
+def _cleaner(sketches: Sketches, k: int, percent: int, text_col: str):
+    def clean(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                dirty = {i for i, _, _ in _found(part.column(text_col), sketches, k, percent)}
+                yield part.filter(pa.array([i not in dirty for i in range(part.num_rows)], type=pa.bool_()))
+
+    return clean

@@ -265,11 +265,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with the row of the smallest id of each component; rows without an id stay.
+    """``docs`` with the rows of the smallest id of each component; rows without an id stay.
 
-    Repeated rows of one id that link (or have equal sets) keep one row; all columns are kept.
+    Rows of equal id and text are one document and keep one row; all columns are kept.
     """
     found = jaccard_components(docs, id_col, text_col, k, percent)
     removed = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    left = docs.join(removed, id_col, "left_anti")
-    return left.where(F.col(id_col).isNull()).unionByName(left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    named = docs.where(F.col(id_col).isNotNull()).join(removed, id_col, "left_anti").select(docs.columns)
+    return named.dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -128,3 +128,19 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
         scored.withColumnRenamed("id", id_col).withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     )
+
+
+def keep(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns, dropped where they are read."""
+    ratio = trusted_ratio(docs, trusted, id_col, text_col).astype(np.float32)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                found, (doc, place) = features(part.column(text_col))
+                size = np.maximum(np.bincount(doc, minlength=part.num_rows), 1)
+                mean = np.bincount(doc, weights=ratio[place], minlength=part.num_rows) / size
+                n, repeated = found["n_words"], found["n_repeat_words"]
+                yield part.filter(pa.array((n >= MIN_WORDS) & (100 * repeated <= MAX_REPEAT_PERCENT * n) & (mean >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
