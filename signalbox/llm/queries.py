@@ -109,7 +109,7 @@ def op9_warc_transactions(spark, sf_dir):
     found = warc.archived(table(spark, sf_dir, "pages"))
     found = found.where("main is not null").select(
         "capture_id", "main.*", F.size("requests").alias("n_requests"),
-        F.element_at(F.element_at("metadata", 1)["fields"], "page-id").cast("long").alias("page_id"))
+        F.element_at(F.try_element_at("metadata", F.lit(1))["fields"], "page-id").try_cast("long").alias("page_id"))
     response = found.where("type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("response_page"))
     return found.join(response, "refers_to", "left").select(
         "page_id", "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
