@@ -1,7 +1,8 @@
 """Final-answer extraction and equality as column expressions.
 
-Both run on whole responses inside the JVM. All patterns are linear: the brace pattern is
-possessive, because its backtracking form exhausts the regex stack on long answers.
+Both run on whole responses inside the JVM, in time linear in their length: tags are found by
+splitting, and the brace pattern is possessive, because its backtracking form exhausts the regex
+stack on long answers.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from signalbox.functions.text import bind, last_match, strip
 
 # What counts as a final answer and what is reported when there is none.
-ANSWER_TAG_PATTERN = r"(?s)<answer>(.*?)</answer>"
+OPEN_TAG, CLOSE_TAG = "<answer>", "</answer>"
 BOXED_PATTERN = r"\\boxed\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
 DOLLAR_PATTERN = r"\$[^\n$]*+\$"
 NOT_FOUND = "No answer found in formatted output"
@@ -20,9 +21,20 @@ EXTRACTION_FAILED = "Extraction failed"
 
 
 def last_tagged(text: Column) -> Column:
-    """Stripped content of the last answer tag, null when there is none."""
-    tagged = F.when(text.contains("</answer>"), last_match(text, ANSWER_TAG_PATTERN, 1))
-    return strip(tagged)
+    """Stripped content of the last answer tag, null when there is none.
+
+    A tag runs from the first opening after the previous end to the next end. So of the pieces that
+    an end closes, the last with an opening holds the last tag, from its first opening on.
+    """
+
+    def after_opening(piece: Column) -> Column:
+        return F.substr(piece, F.locate(OPEN_TAG, piece) + len(OPEN_TAG))
+
+    def closed(pieces: Column) -> Column:
+        opened = F.filter(F.slice(pieces, 1, F.size(pieces) - 1), lambda piece: piece.contains(OPEN_TAG))
+        return bind(F.try_element_at(opened, F.lit(-1)), after_opening)
+
+    return strip(F.when(text.contains(CLOSE_TAG), bind(F.split(text, CLOSE_TAG, -1), closed)))
 
 
 def last_boxed(text: Column) -> Column:
@@ -95,39 +107,93 @@ def normalize_answer(answer: Column) -> Column:
     )
 
 
-_NUMBER = r"^[-+]?(?:[0-9]{1,12}(?:\.[0-9]{0,6})?|\.[0-9]{1,6})$"
-_FRACTION = r"^([-+]?)\\frac\{([-+]?[0-9]{1,12})\}\{([-+]?[0-9]{1,12})\}$"
-_RATIO = r"^([-+]?[0-9]{1,12})/([0-9]{1,12})$"
-
-
-def _decimal(text: Column) -> Column:
-    return text.try_cast("decimal(18,6)")
+_NUMBER = r"^[-+]?(?:[0-9]++(?:\.[0-9]*+)?|\.[0-9]++)$"
+_FRACTION = r"^([-+]?)\\frac\{([-+]?)([0-9]++)\}\{([-+]?)([0-9]++)\}$"
+_RATIO = r"^([-+]?)([0-9]++)/([-+]?)([0-9]++)$"
+#: Digits of a limb, and digits a decimal holds.
+_LIMB, _DECIMAL = 6, 38
 
 
 def _quotient(norm: Column) -> Column:
-    """Exact numerator and denominator of a number or fraction, null for anything else.
+    """Sign and digits of numerator and denominator of a number or fraction of any length, null for anything else."""
 
-    Longer numbers than the patterns admit are compared as text only, so the decimal
-    arithmetic on the parts is always exact.
-    """
+    def digits(text: Column) -> Column:
+        trimmed = F.ltrim(text, F.lit("0"))
+        return F.when(trimmed == "", "0").otherwise(trimmed)
 
-    def parts(top: Column, bottom: Column) -> Column:
-        return F.struct(top.cast("decimal(18,6)").alias("top"), bottom.cast("decimal(18,6)").alias("bottom"))
+    def parts(minus: Column, top: Column, bottom: Column) -> Column:
+        return F.struct(
+            (minus & (digits(top) != "0")).alias("minus"), digits(top).alias("top"), digits(bottom).alias("bottom"))
 
     def group(pattern: str, number: int) -> Column:
-        return _decimal(F.regexp_extract(norm, pattern, number))
+        return F.regexp_extract(norm, pattern, number)
+
+    def odd_minus(*signs: Column) -> Column:
+        return F.length(F.translate(F.concat(*signs), "+", "")) % 2 == 1
+
+    def decimal(plain: Column) -> Column:
+        after = F.rtrim(F.when(plain.contains("."), F.substring_index(plain, ".", -1)).otherwise(""), F.lit("0"))
+        whole = F.substring_index(plain, ".", 1)
+        return parts(norm.startswith("-"), F.concat(whole, after), F.concat(F.lit("1"), F.repeat(F.lit("0"), F.length(after))))
 
-    sign = F.when(norm.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
     return (
-        F.when(norm.rlike(_NUMBER), parts(_decimal(norm), F.lit(1)))
-        .when(norm.rlike(_RATIO), parts(group(_RATIO, 1), group(_RATIO, 2)))
-        .when(norm.rlike(_FRACTION), parts(group(_FRACTION, 2) * sign, group(_FRACTION, 3)))
+        F.when(norm.rlike(_NUMBER), bind(F.ltrim(norm, F.lit("+-")), decimal))
+        .when(norm.rlike(_RATIO), parts(odd_minus(group(_RATIO, 1), group(_RATIO, 3)), group(_RATIO, 2), group(_RATIO, 4)))
+        .when(norm.rlike(_FRACTION), parts(
+            odd_minus(group(_FRACTION, 1), group(_FRACTION, 2), group(_FRACTION, 4)), group(_FRACTION, 3), group(_FRACTION, 5)))
     )
 
 
+def _limbs(digits: Column) -> Column:
+    """The digits in groups of six, the lowest first."""
+    count = F.ceil(F.length(digits) / _LIMB).cast("int")
+    padded = F.lpad(digits, count * _LIMB, "0")
+    return F.transform(
+        F.sequence(F.lit(0), count - 1), lambda i: F.substr(padded, (count - 1 - i) * _LIMB + 1, F.lit(_LIMB)).cast("long"))
+
+
+def _long_product(left: Column, right: Column) -> Column:
+    """Product of two digit texts of any length, as its limbs, without leading zero limbs."""
+
+    def column_sums(a: Column, b: Column) -> Column:
+        def at(k: Column) -> Column:
+            low, high = F.greatest(F.lit(0), k - F.size(b) + 1), F.least(k, F.size(a) - 1)
+            return F.aggregate(F.sequence(low, high), F.lit(0).cast("long"), lambda total, i: total + F.get(a, i) * F.get(b, k - i))
+
+        return F.transform(F.sequence(F.lit(0), F.size(a) + F.size(b) - 2), at)
+
+    def carried(sums: Column) -> Column:
+        base = 10**_LIMB
+        start = F.struct(F.array().cast("array<long>").alias("limbs"), F.lit(0).cast("long").alias("carry"))
+
+        def step(state: Column, value: Column) -> Column:
+            total = state["carry"] + value
+            return F.struct(
+                F.concat(state["limbs"], F.array(total % base)).alias("limbs"), F.floor(total / base).cast("long").alias("carry"))
+
+        done = F.aggregate(F.concat(sums, F.array_repeat(F.lit(0).cast("long"), 4)), start, step)
+        return F.rtrim(F.array_join(F.transform(done["limbs"], lambda x: x.cast("string")), ","), F.lit(",0"))
+
+    sums = bind(_limbs(left), lambda a: bind(_limbs(right), lambda b: column_sums(a, b)))
+    return bind(sums, carried)
+
+
 def _same_number(left: Column, right: Column) -> Column:
+    def products(a: Column, b: Column) -> Column:
+        longest = F.greatest(F.length(a["top"]) + F.length(b["bottom"]), F.length(b["top"]) + F.length(a["bottom"]))
+        short = (
+            a["top"].cast("decimal(38,0)") * b["bottom"].cast("decimal(38,0)")
+            == b["top"].cast("decimal(38,0)") * a["bottom"].cast("decimal(38,0)")
+        )
+        exact = _long_product(a["top"], b["bottom"]) == _long_product(b["top"], a["bottom"])
+        return F.when(longest <= _DECIMAL, short).otherwise(exact)
+
     def cross(a: Column, b: Column) -> Column:
-        return (a["bottom"] != 0) & (b["bottom"] != 0) & (a["top"] * b["bottom"] == b["top"] * a["bottom"])
+        spelled = (a["top"] == b["top"]) & (a["bottom"] == b["bottom"])
+        defined = (a["bottom"] != "0") & (b["bottom"] != "0") & (a["minus"] == b["minus"])
+        # Decimals of equal scale, and so all whole numbers, are equal only if spelled alike.
+        return F.when(~defined, F.lit(False)).when(spelled, F.lit(True)).when(
+            a["bottom"] == b["bottom"], F.lit(False)).otherwise(products(a, b))
 
     equal = bind(_quotient(left), lambda a: bind(_quotient(right), lambda b: cross(a, b)))
     digits = left.rlike(r"[0-9]") & right.rlike(r"[0-9]")

@@ -6,15 +6,29 @@ from fractions import Fraction
 from itertools import accumulate
 from math import lcm
 
-import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
-_MAX_LITERAL_PATTERN = 20_000
-_REPLAY_BLOCK = 65_536
+#: Longest period of exact fractions, and first rows among which a float pattern has to recur.
+_LONGEST_PERIOD, _FLOAT_ROWS = 1_000_000, 20_000
+
+
+def _monotone(order: Column, kind: T.DataType) -> Column:
+    """A double that never falls as ``order`` rises; equal doubles only share a bucket."""
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(order, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(order).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return order.cast("timestamp").cast("double")
+    if isinstance(kind, T.BooleanType):
+        return order.cast("int").cast("double")
+    return order.cast("double")
 
 
 def _quantile_cuts(df: DataFrame, key: Column, buckets: int) -> list[float]:
@@ -29,35 +43,41 @@ def _quantile_cuts(df: DataFrame, key: Column, buckets: int) -> list[float]:
 def dense_index(
     df: DataFrame, order_col: str, name: str = "idx", buckets: int | None = None
 ) -> DataFrame:
-    """Number rows 0, 1, 2, ... by a unique numeric order column.
+    """Number rows 0, 1, 2, ... by a unique order column of any number, text, date or time type.
 
-    The driver sees one quantile sketch and one count per bucket, whose number is set by the
-    shuffle partitions and not by the data. Buckets are a pure function of the key, so a
-    recomputed task lands on the same numbers, and each bucket holds about ``rows / buckets``
-    rows however the keys are spread. Both passes before the last read the order column only.
+    Rows without an order value come last, in a fixed order of their contents. The driver sees one
+    quantile sketch and one count per bucket, whose number is set by the shuffle partitions and not
+    by the data. Buckets are a pure function of the row, so a recomputed task lands on the same
+    numbers, and each bucket holds about ``rows / buckets`` rows however the keys are spread (texts
+    are spread by their first six bytes). Both passes before the last read little but the order column.
     """
     spark = df.sparkSession
-    key = F.col(order_col).cast("double")
+    kind = df.schema[order_col].dataType
     wanted = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = _quantile_cuts(df, key, wanted)
+    hashed = F.xxhash64(*[f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    keyed = df.withColumn("_key", _monotone(F.col(order_col), kind))
+    cuts = _quantile_cuts(keyed, F.col("_key"), wanted)
     if cuts:
         splitter = Bucketizer(
-            splits=[float("-inf"), *cuts, float("inf")], inputCol="_key", outputCol="_bucket"
+            splits=[float("-inf"), *cuts, float("inf")], inputCol="_key", outputCol="_bucket", handleInvalid="keep"
         )
-        bucketed = splitter.transform(df.withColumn("_key", key)).drop("_key")
+        bucketed = splitter.transform(keyed)
     else:
-        bucketed = df.withColumn("_bucket", F.lit(0.0))
+        bucketed = keyed.withColumn("_bucket", F.lit(0.0))
+    last = F.lit(float(len(cuts) + 2)) + F.pmod(hashed, F.lit(wanted))
+    bucketed = bucketed.withColumn("_bucket", F.when(F.col(order_col).isNull(), last).otherwise(F.col("_bucket"))).drop("_key")
 
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("_bucket").collect()
     ends = accumulate(row.n for row in sizes)
     starts = [(row["_bucket"], end - row.n) for row, end in zip(sizes, ends)]
     offsets = spark.createDataFrame(starts, "_bucket double, _start long")
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(order_col))
+    bucketed = bucketed.withColumn("_hash", F.when(F.col(order_col).isNull(), hashed))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(order_col, "_hash"))
     return (
         bucketed.withColumn("_within", within)
         .join(F.broadcast(offsets), "_bucket")
         .withColumn(name, (F.col("_start") + F.col("_within") - 1).cast("long"))
-        .drop("_bucket", "_start", "_within")
+        .drop("_bucket", "_start", "_within", "_hash")
     )
 
 
@@ -83,6 +103,8 @@ def exact_pattern(val_fraction: float, test_fraction: float) -> tuple[int, list[
     _check(val_fraction, test_fraction)
     val, test = Fraction(str(val_fraction)), Fraction(str(test_fraction))
     period = lcm(val.denominator, test.denominator)
+    if period > _LONGEST_PERIOD:
+        raise ValueError(f"fractions {val_fraction} and {test_fraction} repeat only after {period} rows; use fewer decimals")
     pattern, debt_floor, dealt = [], 0, 0
     for i in range(1, 2 * period + 1):
         val_due = i * val.numerator // val.denominator
@@ -99,7 +121,10 @@ def exact_pattern(val_fraction: float, test_fraction: float) -> tuple[int, list[
 
 
 def _replay(val: float, test: float, state: tuple[float, float], rows: int):
-    """Binary floating-point accumulators: yields each row's split and the state after it."""
+    """Binary floating-point accumulators: yields each row's split and the state after it.
+
+    The order of the additions and subtractions decides the last bit, so it is fixed.
+    """
     owed_val, owed_test = state
     for _ in range(rows):
         owed_val, owed_test = owed_val + val, owed_test + test
@@ -118,7 +143,7 @@ def float_pattern(val: float, test: float) -> tuple[int, list[str]] | None:
     None when no state recurs among the first rows, as for 0.05.
     """
     seen, pattern, state = {(0.0, 0.0): 0}, [], (0.0, 0.0)
-    for split, state in _replay(val, test, state, _MAX_LITERAL_PATTERN):
+    for split, state in _replay(val, test, state, _FLOAT_ROWS):
         pattern.append(split)
         if state in seen:
             return seen[state], pattern
@@ -126,35 +151,15 @@ def float_pattern(val: float, test: float) -> tuple[int, list[str]] | None:
     return None
 
 
-def _replayed_splits(df: DataFrame, val: float, test: float, rows: int) -> DataFrame:
-    """``(idx, split)`` for ``rows`` rows: the driver keeps one state per block, tasks expand it."""
-    states, state = [], (0.0, 0.0)
-    for start in range(0, rows, _REPLAY_BLOCK):
-        size = min(_REPLAY_BLOCK, rows - start)
-        states.append((start, size, *state))
-        for _, state in _replay(val, test, state, size):
-            pass
-    blocks = df.sparkSession.createDataFrame(states, "start long, size long, v double, t double")
-
-    def expand(batches):
-        for batch in batches:
-            for row in batch.itertuples():
-                splits = [s for s, _ in _replay(val, test, (row.v, row.t), row.size)]
-                yield pd.DataFrame({"idx": range(row.start, row.start + row.size), "split": splits})
-
-    spread = blocks.repartition(max(1, len(states)))
-    return spread.mapInPandas(expand, "idx long, split string")
-
-
 def _by_pattern(df: DataFrame, index: str, start: int, pattern: list[str]) -> DataFrame:
-    """Assign splits from a pattern that repeats from row ``start`` on."""
+    """Assign splits from a pattern that repeats from row ``start`` on, one byte per row of it."""
     row, period = F.col(index), len(pattern) - start
     slot = F.when(row < start, row).otherwise(start + (row - start) % period)
-    if len(pattern) <= _MAX_LITERAL_PATTERN:
-        lookup = F.split(F.lit(",".join(pattern)), ",")
-        return df.withColumn("split", F.get(lookup, slot.cast("int")))
-    table = df.sparkSession.createDataFrame(list(enumerate(pattern)), "_slot long, split string")
-    return df.withColumn("_slot", slot.cast("long")).join(table, "_slot").drop("_slot")
+    letters = {name: name[1].encode() for name in (TRAIN, VALIDATION, TEST)}
+    table = F.lit(bytearray(b"".join(letters[name] for name in pattern)))
+    letter = F.substring(table, (slot + 1).cast("int"), F.lit(1))
+    split = F.coalesce(*[F.when(letter == F.lit(bytearray(code)), name) for name, code in letters.items()])
+    return df.withColumn("split", split)
 
 
 def deterministic_split(
@@ -167,8 +172,8 @@ def deterministic_split(
     """Add ``split`` by row number alone; a repeating pattern needs no shuffle.
 
     ``mode="exact"`` treats 0.1 as one tenth. ``mode="float"`` repeats binary accumulation,
-    where ten additions of 0.1 stay below 1, for parity with files split that way earlier. Its
-    default fractions repeat after eleven rows; where none do, the driver replays the sums once.
+    where ten additions of 0.1 stay below 1, for parity with files split that way earlier. It takes
+    fractions whose sums recur, as the defaults do after eleven rows, and names those that do not.
     """
     _check(val_fraction, test_fraction)
     if mode == "exact":
@@ -177,25 +182,13 @@ def deterministic_split(
     if mode != "float":
         raise ValueError(f"unknown mode {mode!r}")
     found = float_pattern(val_fraction, test_fraction)
-    if found is not None:
-        return _by_pattern(df, index, *found)
-    rows = (df.agg(F.max(index).alias("m")).first().m or 0) + 1
-    replayed = _replayed_splits(df, val_fraction, test_fraction, rows)
-    return df.join(replayed.withColumnRenamed("idx", index), index)
+    if found is None:
+        raise ValueError(f"binary sums of {val_fraction} and {test_fraction} do not recur; use mode='exact'")
+    return _by_pattern(df, index, *found)
 
 
 def split_counts(df: DataFrame) -> DataFrame:
-    """Rows and share per split in one pass; an empty input gives no rows, not an error."""
-    names = (TRAIN, VALIDATION, TEST)
-    totals = df.agg(
-        F.count("split").alias("total"),
-        *[F.count_if(F.col("split") == name).alias(name) for name in names],
-    )
-    rows = F.array(
-        *[F.struct(F.lit(name).alias("split"), F.col(name).alias("n")) for name in names]
-    )
-    return (
-        totals.select("total", F.inline(rows))
-        .filter(F.col("n") > 0)
-        .select("split", "n", (F.col("n") / F.col("total")).alias("share"))
-    )
+    """Rows and share of every split name; rows without one are left out, an empty input gives no rows."""
+    counts = df.filter(F.col("split").isNotNull()).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    total = df.agg(F.count("split")).scalar()
+    return counts.select("split", "n", (F.col("n") / total).alias("share"))

@@ -57,29 +57,56 @@ def _normal(expr: str) -> str:
     )
 
 
-_NUMBER = r"^[-+]?([0-9]{1,12}(\.[0-9]{0,6})?|\.[0-9]{1,6})$"
-_FRACTION = r"^([-+]?)\\frac\{([-+]?[0-9]{1,12})\}\{([-+]?[0-9]{1,12})\}$"
-_RATIO = r"^([-+]?[0-9]{1,12})/([0-9]{1,12})$"
+_NUMBER = r"^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
+_FRACTION = r"^([-+]?)\\frac\{([-+]?)([0-9]+)\}\{([-+]?)([0-9]+)\}$"
+_RATIO = r"^([-+]?)([0-9]+)/([-+]?)([0-9]+)$"
 
 
-def _dec(expr: str) -> str:
-    return f"try_cast({expr} as decimal(18,6))"
+def _group(n: str, pattern: str, number: int) -> str:
+    return f"regexp_extract({n}, '{pattern}', {number})"
+
+
+def _plain(n: str) -> str:
+    """Sign, whole part without leading zeros and fraction without trailing zeros, as text."""
+    body = f"ltrim({n}, '+-')"
+    whole = f"ltrim(split_part({body}, '.', 1), '0')"
+    after = f"rtrim(split_part({body}, '.', 2), '0')"
+    minus = f"case when starts_with({n}, '-') and {whole} || {after} <> '' then '-' else '' end"
+    return f"case when regexp_matches({n}, '{_NUMBER}') then {minus} || {whole} || '.' || {after} end"
 
 
 def _num(n: str) -> str:
+    """Signed numerator over a power of ten or the denominator of :func:`_den`."""
+    body = f"ltrim({n}, '+-')"
+    after = f"rtrim(split_part({body}, '.', 2), '0')"
+    sign = f"case when starts_with({n}, '-') then -1 else 1 end"
+
+    def odd(*signs: str) -> str:
+        return f"case when length(replace(concat({', '.join(signs)}), '+', '')) % 2 = 1 then -1 else 1 end"
+
+    fraction = odd(*(_group(n, _FRACTION, i) for i in (1, 2, 4)))
+    ratio = odd(*(_group(n, _RATIO, i) for i in (1, 3)))
     return (
-        f"case when regexp_matches({n}, '{_NUMBER}') then {_dec(n)} "
-        f"when regexp_matches({n}, '{_FRACTION}') then cast((case when regexp_extract({n}, '{_FRACTION}', 1) = '-' then -1 else 1 end)"
-        f" * {_dec(f'''regexp_extract({n}, '{_FRACTION}', 2)''')} as decimal(18,6)) "
-        f"when regexp_matches({n}, '{_RATIO}') then {_dec(f'''regexp_extract({n}, '{_RATIO}', 1)''')} end"
+        f"case when regexp_matches({n}, '{_NUMBER}') then ({sign}) * try_cast('0' || split_part({body}, '.', 1) || {after} as hugeint) "
+        f"when regexp_matches({n}, '{_FRACTION}') then ({fraction}) * try_cast({_group(n, _FRACTION, 3)} as hugeint) "
+        f"when regexp_matches({n}, '{_RATIO}') then ({ratio}) * try_cast({_group(n, _RATIO, 2)} as hugeint) end"
     )
 
 
 def _den(n: str) -> str:
+    after = f"rtrim(split_part(ltrim({n}, '+-'), '.', 2), '0')"
+    return (
+        f"case when regexp_matches({n}, '{_FRACTION}') then try_cast({_group(n, _FRACTION, 5)} as hugeint) "
+        f"when regexp_matches({n}, '{_RATIO}') then try_cast({_group(n, _RATIO, 4)} as hugeint) "
+        f"else try_cast('1' || repeat('0', length({after})) as hugeint) end"
+    )
+
+
+def _equal_numbers(a: str, b: str) -> str:
+    """Numbers of any length by their text; fractions by products, which have to fit 38 digits here."""
     return (
-        f"case when regexp_matches({n}, '{_FRACTION}') then {_dec(f'''regexp_extract({n}, '{_FRACTION}', 3)''')} "
-        f"when regexp_matches({n}, '{_RATIO}') then {_dec(f'''regexp_extract({n}, '{_RATIO}', 2)''')} "
-        "else cast(1 as decimal(18,6)) end"
+        f"case when regexp_matches({a}, '{_NUMBER}') and regexp_matches({b}, '{_NUMBER}') then ({_plain(a)}) = ({_plain(b)}) "
+        f"when ({_den(a)}) <> 0 and ({_den(b)}) <> 0 then ({_num(a)}) * ({_den(b)}) = ({_num(b)}) * ({_den(a)}) end"
     )
 
 
@@ -99,8 +126,7 @@ def graded(source: str = "responses", name: str = "graded") -> str:
 {name}_normal as (
   select *, {_normal('gold')} as ng, {_normal('extracted_answer')} as na from {name}_extracted),
 {name} as (
-  select * exclude (ng, na), coalesce(ng <> '' and na <> '' and (ng = na or coalesce(case when ({_den('ng')}) <> 0 and ({_den('na')}) <> 0
-         then ({_num('ng')}) * ({_den('na')}) = ({_num('na')}) * ({_den('ng')}) end, false)), false) as is_correct
+  select * exclude (ng, na), coalesce(ng <> '' and na <> '' and (ng = na or coalesce({_equal_numbers('ng', 'na')}, false)), false) as is_correct
   from {name}_normal)"""
 
 

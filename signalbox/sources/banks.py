@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from signalbox.operators.splits import dense_index
 
-ONE_TASK_ROWS = 100_000
-
 _log = logging.getLogger(__name__)
 
 
@@ -21,8 +19,8 @@ def read_bank(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 def limit_questions(df: DataFrame, num_problems: int | str, order_col: str) -> DataFrame:
     """First ``num_problems`` questions in order, or all for ``"all"`` and non-positive numbers.
 
-    A small ordered limit keeps only its first rows per task before they meet in one; a large
-    one numbers the rows instead, so that no single task gathers them.
+    Rows are numbered by :func:`dense_index`, so no task gathers them whatever the limit, and any
+    type it orders will do. Questions without an order value come last.
     """
     if isinstance(num_problems, str) and num_problems.lower() == "all":
         return df
@@ -31,6 +29,4 @@ def limit_questions(df: DataFrame, num_problems: int | str, order_col: str) -> D
     if num_problems <= 0:
         _log.warning("num_problems %s is not positive; taking all", num_problems)
         return df
-    if num_problems <= ONE_TASK_ROWS:
-        return df.orderBy(order_col).limit(num_problems)
     return dense_index(df, order_col, name="_row").filter(F.col("_row") < num_problems).drop("_row")

@@ -139,3 +139,28 @@ def test_urls_and_mime(spark):
 def test_title_case_like_python(spark):
     texts = ["my_model-v2b run", "ABC def", "x1y2", "école été"]
     assert run(spark, texts, title_case) == [t.title() for t in texts]
+
+
+BIG = "98765432109876543210987654321098765432109"
+
+
+@pytest.mark.parametrize(("left", "right", "same"), [
+    ("1234567890123", "1234567890123.0", True), ("0.5", "0.5000000", True), ("1/3", "\\frac{10000000000000}{30000000000000}", True),
+    ("-1/-3", "1/3", True), ("-1/3", "1/-3", True), ("1/0", "1/0.0", False), ("-0", "0.000", True), ("007", "7", True), (".5", "1/2", True),
+    (BIG, BIG + ".00", True), (BIG, BIG[:-1] + "8", False), (f"{BIG}/{BIG}", "1", True), (f"{BIG}7/{BIG}", "10", False),
+    (f"\\frac{{{int(BIG) * 3}}}{{{int(BIG) * 7}}}", "3/7", True), (f"\\frac{{{int(BIG) * 3 + 1}}}{{{int(BIG) * 7}}}", "3/7", False),
+    ("0." + "3" * 60, "1/3", False), ("0.125" + "0" * 50, "1/8", True), ("1e3", "1000", False),
+])
+def test_numbers_of_any_length(spark, left, right, same):
+    df = spark.createDataFrame([(left, right)], "a string, b string")
+    assert df.select(answers.answers_equal(F.col("a"), F.col("b")).alias("e")).first().e is same
+
+
+def test_repeated_open_tags_take_linear_time(spark):
+    import time
+
+    texts = ["</answer>" + "<answer>" * 125_000, "<answer>" * 60_000 + "7</answer>" + "x" * 500_000, "<answer>a</answer>" * 50_000]
+    start = time.perf_counter()
+    found = run(spark, texts, answers.extract_answer)
+    assert time.perf_counter() - start < 20
+    assert found[0] == answers.NOT_FOUND and found[1].endswith("<answer>7") and found[2] == "a"

@@ -86,14 +86,17 @@ def test_mcq_violations(spark):
     assert sorted(r.question for r in ingest.mcq_violations(df).collect()) == ["r", "s"]
 
 
-def test_limit(spark, monkeypatch):
-    from signalbox.sources import banks
-
+def test_limit(spark):
     df = spark.range(50).select((F.lit(100) - F.col("id")).alias("n"))
     want = list(range(51, 61))
     assert sorted(r.n for r in limit_questions(df, 10, "n").collect()) == want
-    monkeypatch.setattr(banks, "ONE_TASK_ROWS", 5)
-    assert sorted(r.n for r in limit_questions(df, 10, "n").collect()) == want
+    texts = spark.createDataFrame([("b",), (None,), ("a",), ("c",)], "t string")
+    assert sorted(r.t for r in limit_questions(texts, 3, "t").collect()) == ["a", "b", "c"]
+    assert limit_questions(texts, 4, "t").count() == 4
     assert limit_questions(df, "ALL", "n").count() == limit_questions(df, -1, "n").count() == 50
+    many = spark.range(250_000).selectExpr("if(id % 50000 = 7, null, id) as n")
+    for limit in (99_999, 100_000, 100_001, 249_998):
+        rows = limit_questions(many, limit, "n").selectExpr("count(*) as n", "count(n) as known", "max(n) as top").first()
+        assert rows.n == limit and rows.known == min(limit, 249_995)
     with pytest.raises(ValueError):
         limit_questions(df, "ten", "n")

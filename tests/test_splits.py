@@ -42,12 +42,12 @@ def test_exact_split_with_a_long_period(spark):
     assert got == replay(Fraction(str(val)), Fraction(str(test)), 500)
 
 
-def test_float_split_replays_binary_sums(spark, monkeypatch):
-    monkeypatch.setattr(splits, "_REPLAY_BLOCK", 100)
-    df = spark.range(1050).withColumnRenamed("id", "idx")
-    got = assigned(splits.deterministic_split(df, "idx", 0.1, 0.05, mode="float"))
-    assert got == replay(0.1, 0.05, 1050)
-    assert got.index("validation") == 10
+def test_fractions_that_do_not_recur_are_named(spark):
+    df = spark.range(5).withColumnRenamed("id", "idx")
+    with pytest.raises(ValueError, match="0.05"):
+        splits.deterministic_split(df, "idx", 0.1, 0.05, mode="float")
+    with pytest.raises(ValueError, match="0.12345671"):
+        splits.deterministic_split(df, "idx", 0.12345671, 0.1)
 
 
 @pytest.mark.parametrize(("val", "test"), [(0.1, 0.1), (0.25, 0.5), (0.0, 0.0)])
@@ -77,6 +77,17 @@ def test_dense_index_on_uneven_keys(spark, buckets):
     assert [r.k for r in rows] == sorted(keys)
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "decimal(20,3)", "double"])
+def test_dense_index_of_other_types_with_missing_values(spark, kind):
+    value = f"date_add(date'2020-01-01', cast(id * 37 % 101 as int))" if kind in ("date", "timestamp") else "id * 37 % 101"
+    df = spark.range(101).selectExpr("id", f"cast({value} as {kind}) as k").union(spark.range(200, 207).selectExpr("id", f"cast(null as {kind}) as k"))
+    rows = splits.dense_index(df, "k", buckets=5).orderBy("idx").collect()
+    assert [r.idx for r in rows] == list(range(108))
+    assert [r.k for r in rows[:101]] == sorted(r.k for r in rows[:101]) and {r.id for r in rows[101:]} == set(range(200, 207))
+    again = splits.dense_index(df.repartition(3), "k", buckets=5).orderBy("idx").collect()
+    assert [r.id for r in again] == [r.id for r in rows]
+
+
 def test_dense_index_of_nothing(spark):
     assert splits.dense_index(spark.range(0), "id").count() == 0
 
@@ -86,6 +97,8 @@ def test_split_counts(spark):
     counts = {r.split: (r.n, r.share) for r in splits.split_counts(df).collect()}
     assert counts == {"train": (81, 0.81), "validation": (10, 0.1), "test": (9, 0.09)}
     assert splits.split_counts(df.limit(0)).count() == 0
+    own = spark.createDataFrame([("train",), ("val",), ("val",), (None,), ("dev",)], "split string")
+    assert {(r.split, r.n, r.share) for r in splits.split_counts(own).collect()} == {("train", 1, 0.25), ("val", 2, 0.5), ("dev", 1, 0.25)}
 
 
 def test_batch_index(spark):
