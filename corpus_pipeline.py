@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbox.llm import decontaminate, mixing, ngram_join, quality_rules, secret_scan
-from signalbox.llm.queries import labelled_domains, table
+from signalbox.llm.queries import table
 from signalbox.session import ship_package
 from signalbox.sources.store import materialize
 
-#: Shares of tokens of the mixture, by the domains of the labelled table.
-TARGETS = {"quality1_toxic0": 0.93, "quality1_toxic1": 0.04, "quality0_toxic0": 0.02, "quality0_toxic1": 0.01}
+#: Shares of tokens of the mixture, by the domains of the labelled table: after the quality rules, only
+#: the toxic label still tells documents apart.
+TARGETS = {"toxic0": 0.96, "toxic1": 0.04}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mixture draws, with ``n_tokens``, ``rate`` and the number of ``copies``."""
     ship_package()
-    return mixing.mixed(docs, labelled_domains(table(spark, sf_dir, "labels")), TARGETS)
+    labels = table(spark, sf_dir, "labels").where("toxic is not null")
+    return mixing.mixed(docs, labels.select("doc_id", F.concat(F.lit("toxic"), "toxic").alias("domain")), TARGETS)
 
 
 STAGES = [

@@ -37,7 +37,7 @@ from signalbox.sources.store import materialize
 #: Low hashes of a text by which it looks for a leader.
 LOW = 8
 #: Shingles counted together in one block, and kept at once in a task.
-BLOCK = 3 << 19
+BLOCK = 1 << 20
 #: A shingle in this many texts is costly; so many costly shingles are known to every task.
 COSTLY, COSTLY_KNOWN = 8, 1 << 18
 #: A prefix is lengthened by one shingle for so many of the text.
