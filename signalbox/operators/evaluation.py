@@ -115,12 +115,8 @@ def label_accuracy(predictions: DataFrame, threshold: float = HALF) -> DataFrame
 def _distribution(df: DataFrame, column: Column, name: str, extra: Column | None = None) -> DataFrame:
     """Count and percent of each of the few classes."""
     per = df.groupBy(column.alias(name)).agg(F.count(F.lit(1)).alias("n"))
-    packed = per.agg(F.sum("n").alias("total"), F.collect_list(F.struct(name, "n")).alias("rows"))
-    return (
-        packed.select("total", F.inline("rows"))
-        .select(name, "n", (F.col("n") / F.col("total") * 100).alias("percentage"))
-        .orderBy(name)
-    )
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return per.select(name, "n", (F.col("n") / total * 100).alias("percentage")).orderBy(name)
 
 
 def label_distribution(predictions: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ def running_totals(
     """Add inclusive running sums per key in the order of a numeric column.
 
     Rows shuffle once, by (key, block); no task holds a whole key, only at most ``block``
-    distinct order values of it.
+    distinct order values of it. Rows without a key are one group; those without an order value
+    come first in theirs.
     """
     blocked = df.withColumn("_block", F.floor(F.col(order) / block))
     for name, value in values.items():
@@ -26,15 +27,15 @@ def running_totals(
     partial = blocked.groupBy(key, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
     before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = partial.select(
-        key, "_block", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values]
+        F.col(key).alias("_key"), F.col("_block").alias("_at"), *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values]
     )
     within = (
         Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = blocked.join(starts, [key, "_block"])
+    joined = blocked.join(starts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_at")))
     for name in values:
         joined = joined.withColumn(name, F.col(f"_o_{name}") + F.sum(f"_v_{name}").over(within))
-    return joined.drop("_block", *[f"_{p}_{n}" for n in values for p in "vo"])
+    return joined.drop("_block", "_key", "_at", *[f"_{p}_{n}" for n in values for p in "vo"])
 
 
 def turn_pairs(messages: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -144,12 +145,13 @@ def assemble_running(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
     """Cumulative rows as a reader of the stream sees them, and one final row per request.
 
     Rows meet their text block by block, so even one dominant request is spread over tasks.
-    Each row repeats the text so far; use :func:`assemble_offsets` where that is too much.
+    Each row repeats the text so far, so the output grows with the square of a request's length; use
+    :func:`assemble_offsets` where that is too much. A final row holds its request's whole text.
     """
     blocks = _block_texts(chunks, block)
     before = Window.partitionBy("request_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     started = blocks.select(
-        "*",
+        F.col("request_id").alias("_key"), F.col("_block").alias("_at"), "_content", "_reasoning",
         *[F.array_join(F.collect_list(f"_{n}").over(before), "").alias(f"_{n}_before") for n in ("content", "reasoning")],
     )
     within = (
@@ -161,7 +163,8 @@ def assemble_running(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
         seen = F.sum(_length(name)).over(within).cast("int")
         return F.concat(f"_{name}_before", F.left(f"_{name}", seen)).alias(name)
 
-    steps = rows.join(started, ["request_id", "_block"]).select(
+    same = F.col("request_id").eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_at"))
+    steps = rows.join(started, same).select(
         "request_id", "seq", F.lit(False).alias("is_final"), so_far("content"), so_far("reasoning")
     )
     last = _final_of_blocks(blocks).select(

@@ -20,20 +20,14 @@ MAX_CHOICES = 26
 _SLOT = re.compile(r"\{\{\s*(\w+)\s*\}\}")
 
 MATH_TEMPLATE = """
-Solve the problem below.
-
-- Reason step by step before you answer and write mathematics in LaTeX.
-- Finish with the result as <answer>\\boxed{...}</answer> and write nothing after it.
+The last line of your reply is <answer>\\boxed{result}</answer>.
 
 User: {{ question }}
 Assistant:
 """
 
 CHOICE_TEMPLATE = """
-Pick the right option for the multiple-choice question below.
-
-- Weigh the options briefly before you decide.
-- Finish with the letter as <answer>\\boxed{A}</answer> and write nothing after it.
+The last line of your reply is <answer>\\boxed{letter of your option}</answer>.
 
 User: {{ question }}
 Options:
@@ -42,22 +36,19 @@ Assistant:
 """
 
 OPEN_ENDED_TEMPLATE = """
-Answer the question below clearly, completely and in good order. Keep to facts.
+Reply to this question.
 
 Question: {{ question }}
 """
 
 SUBJECTIVE_TEMPLATE = """
-As an expert in the subject, answer the question below.
-Explain each step, name the ideas and formulas you use, define terms and cover every part.
+Reply to this question in detail.
 
 Question: {{ question }}
 """
 
 JUDGE_TEMPLATE = """
-Decide whether an answer to a question matches the correct answer. Logically equivalent forms
-match. Also extract the final answer that was given.
-Reply with a JSON object holding "is_match" (boolean), "final_answer" and "explanation".
+Compare the two answers and return JSON: "is_match" (true or false), "final_answer", "explanation".
 
 Question: {{ question }}
 Answer: {{ answer }}
@@ -65,9 +56,7 @@ Correct Answer: {{ correct_answer }}
 """
 
 CHOICE_JUDGE_TEMPLATE = """
-Decide whether an answer to a multiple-choice question names the correct choice, by its letter
-or by its text. Also extract the final answer that was given.
-Reply with a JSON object holding "is_match" (boolean), "final_answer" and "explanation".
+Compare the chosen options and return JSON: "is_match" (true or false), "final_answer", "explanation".
 
 Question: {{ question }}
 Choices:

@@ -1,7 +1,8 @@
 """The four places where user Python runs: generator, judge, scorer and verifier.
 
 Generator and judge wait on remote calls, so each task runs them on a small thread pool over
-one Arrow batch at a time. The number of calls in flight is ``running tasks x max_workers``;
+one Arrow batch at a time. They see a row's values as Python ones, ``None`` for null and whole
+numbers whole; the columns themselves stay in Arrow and come out as they went in. The number of calls in flight is ``running tasks x max_workers``;
 choose the partition count accordingly. Every output row carries its key, so order within a
 batch does not matter and nothing is gathered on the driver.
 """
@@ -13,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,19 +61,18 @@ def judge_stage(tasks: DataFrame, judge: Judge, max_workers: int = 40, compat: b
     passed = [f for f in tasks.schema.fields if f.name not in replaced]
     schema = T.StructType([*passed, *_JUDGE_FIELDS])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [pa.string(), pa.bool_(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(max_workers) as pool:
             for batch in batches:
-                rows = batch.to_dict("records")
-                verdicts = list(pool.map(lambda row: _verdict(judge, row, compat), rows))
-                out = batch[[f.name for f in passed]].copy()
-                for position, field in enumerate(_JUDGE_FIELDS):
-                    out[field.name] = pd.Series(
-                        [v[position] for v in verdicts], index=out.index, dtype="object"
-                    )
+                verdicts = list(pool.map(lambda row: _verdict(judge, row, compat), batch.to_pylist()))
+                out = batch.select([f.name for f in passed])
+                for position, (field, kind) in enumerate(zip(_JUDGE_FIELDS, kinds)):
+                    out = out.append_column(field.name, pa.array([v[position] for v in verdicts], type=kind))
                 yield out
 
-    return tasks.mapInPandas(run, schema)
+    return tasks.mapInArrow(run, schema)
 
 
 def _answer(generator: Generator, request: Mapping[str, Any]) -> str:
@@ -91,13 +92,13 @@ def generate_samples(prompts: DataFrame, generator: Generator, k: int = 1, max_w
     )
     schema = T.StructType([*slots.schema.fields, T.StructField("full_response", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(max_workers) as pool:
             for batch in batches:
-                texts = list(pool.map(lambda row: _answer(generator, row), batch.to_dict("records")))
-                yield batch.assign(full_response=pd.Series(texts, index=batch.index, dtype="object"))
+                texts = list(pool.map(lambda row: _answer(generator, row), batch.to_pylist()))
+                yield batch.append_column("full_response", pa.array(texts, type=pa.string()))
 
-    return slots.mapInPandas(run, schema)
+    return slots.mapInArrow(run, schema)
 
 
 def generate_nested(prompts: DataFrame, generator: Generator, k: int = 1, max_workers: int = 30) -> DataFrame:
@@ -107,16 +108,16 @@ def generate_nested(prompts: DataFrame, generator: Generator, k: int = 1, max_wo
     """
     fields = [*prompts.schema.fields, T.StructField("texts", T.ArrayType(T.StringType()))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(max_workers) as pool:
             for batch in batches:
-                rows = batch.to_dict("records")
+                rows = batch.to_pylist()
                 calls = [{**row, "response_idx": i} for row in rows for i in range(k)]
                 texts = list(pool.map(lambda row: _answer(generator, row), calls))
                 grouped = [texts[n * k : (n + 1) * k] for n in range(len(rows))]
-                yield batch.assign(texts=pd.Series(grouped, index=batch.index, dtype="object"))
+                yield batch.append_column("texts", pa.array(grouped, type=pa.list_(pa.string())))
 
-    generated = prompts.mapInPandas(run, T.StructType(fields))
+    generated = prompts.mapInArrow(run, T.StructType(fields))
     failed = F.forall("texts", lambda t: t.startswith(GENERATION_ERROR_PREFIX))
     return generated.select(
         *prompts.columns,
@@ -141,16 +142,21 @@ def score_with(df: DataFrame, text_col: str, scorer: Scorer, labels: list[str])
     names = [f"{label}_probability" for label in labels]
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = scorer(batch[text_col])
-            yield batch.assign(**{n: scores.iloc[:, i].to_numpy("float64") for i, n in enumerate(names)})
+            scores = scorer(batch.column(text_col).to_pandas())
+            for i, name in enumerate(names):
+                batch = batch.append_column(name, pa.array(scores.iloc[:, i].to_numpy("float64")))
+            yield batch
+
+    return df.mapInArrow(run, schema)
 
-    return df.mapInPandas(run, schema)
 
+def win_rate_scores(df: DataFrame, text_col: str, scorer: Callable[..., Any], batched: bool = False) -> DataFrame:
+    """Confidence that the strong model is needed; a failing scorer gives the neutral 0.5.
 
-def win_rate_scores(df: DataFrame, text_col: str, scorer: Callable[[str], float]) -> DataFrame:
-    """Confidence that the strong model is needed; a failing scorer gives the neutral 0.5."""
+    ``scorer`` takes one text, or with ``batched`` a list of texts and returns their scores.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField("confidence", T.DoubleType())])
 
     def one(text: str) -> float:
@@ -159,8 +165,16 @@ def win_rate_scores(df: DataFrame, text_col: str, scorer: Callable[[str], float]
         except Exception:
             return 0.5
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def many(texts: list[str]) -> list[float]:
+        try:
+            return [float(score) for score in scorer(texts)]
+        except Exception:
+            return [0.5] * len(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(confidence=[one(t) for t in batch[text_col]])
+            texts = batch.column(text_col).to_pylist()
+            scores = many(texts) if batched else [one(t) for t in texts]
+            yield batch.append_column("confidence", pa.array(scores, type=pa.float64()))
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)

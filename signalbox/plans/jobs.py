@@ -96,13 +96,18 @@ def collect_job(
 
     The plan of a run is written once, partitioned by batch, so a batch reads only its own rows;
     each batch is generated, committed and never redone, and the store is rewritten once per run
-    rather than once per batch. A run
-    that was interrupted continues when called again with the same ``run_path``.
+    rather than once per batch. A run that was interrupted continues when called again with the same
+    ``run_path``. It always merges into the responses of the version it started from, so calling it
+    again, or after a partial merge, changes nothing that is already merged.
     """
     spark: SparkSession = dataset.sparkSession
     store = ResultStore(spark, store_path)
-    existing = store.read()
     run_path = run_path or f"{store_path.rstrip('/')}/run-{(store.version() or 0) + 1}"
+    started = ResultStore(spark, f"{run_path}/base")
+    if started.read() is None:
+        started.replace(spark.createDataFrame([(store.version(),)], "version long").coalesce(1))
+    base = started.read().first().version
+    existing = None if base is None else store.read(base)
     plan_store = ResultStore(spark, f"{run_path}/plan")
     planned = plan_store.read()
     if planned is None:
@@ -114,10 +119,14 @@ def collect_job(
         batched = numbered.withColumn("batch", batch_index(F.col("_row"), batch_size)).drop("_row")
         planned = plan_store.replace(batched, partition_by="batch")
     batches = (planned.agg(F.max("batch").alias("m")).first().m or 0) + 1
-    merged = _collect_batches(
-        planned, BatchLog(spark, run_path), existing, generator, k, batches, max_workers, on_all_failed
-    )
-    return store.upsert(merged) if merged is not None else store.read()
+    log, merges = BatchLog(spark, run_path), ResultStore(spark, f"{run_path}/merged")
+    merged = _collect_batches(planned, log, existing, generator, k, batches, max_workers, on_all_failed)
+    finished = len(log.done())
+    if merged is None or merges.version() == finished:
+        return store.read()
+    result = store.upsert(merged)
+    spark.range(1).write.mode("overwrite").parquet(f"{run_path}/merged/v={finished}")
+    return result
 
 
 def cascade_job(

@@ -240,23 +240,58 @@ def stream_route(spark, d):
     return routed.select("doc_id", "model_selection", "model_key", "error", "use_reasoning")
 
 
-@query("stream_assemble", with_views(CHUNKS, _FINAL_SQL) + """
+_STREAM_ASSEMBLE_SQL = with_views(CHUNKS, _FINAL_SQL) + """
 select f.request_id, c.last_seq, content, reasoning, reasoning <> '' as has_reasoning
-from final f join (select request_id, max(seq) as last_seq from chunks group by request_id) c on f.request_id = c.request_id""")
-def stream_assemble(spark, d):
-    """Chunks in three runs; the last update of each request is its final text."""
+from final f join (select request_id, max(seq) as last_seq from chunks group by request_id) c on f.request_id = c.request_id"""
+
+
+def _assembled(spark, d, feed):
     ship_package()
     events = views.table(spark, d, "events").select("event_id", "user_id", "event_type")
     updates = replay_in_slices(
-        events, "event_id", lambda rows: assemble_stream(views.chunks_of(rows)), run_updates, "assembled"
+        events, "event_id", lambda rows: assemble_stream(views.chunks_of(rows)), run_updates, "assembled", feed=feed
     )
     return latest_updates(updates, "request_id")
 
 
-@query("stream_history", _history_sql(2))
-def stream_history(spark, d):
-    """Conversations cut by turn into three runs, so every state is carried over."""
+@query("stream_assemble", _STREAM_ASSEMBLE_SQL)
+def stream_assemble(spark, d):
+    """Chunks in three runs; the last update of each request is its final text."""
+    return _assembled(spark, d, "forward")
+
+
+@query("stream_assemble_reverse", _STREAM_ASSEMBLE_SQL)
+def stream_assemble_reverse(spark, d):
+    """The last chunks arrive first."""
+    return _assembled(spark, d, "reverse")
+
+
+@query("stream_assemble_interleaved", _STREAM_ASSEMBLE_SQL)
+def stream_assemble_interleaved(spark, d):
+    """Neighbouring chunks arrive in different runs."""
+    return _assembled(spark, d, "interleaved")
+
+
+def _recent(spark, d, feed):
     ship_package()
     rows = views.conversations(spark, d)
-    updates = replay_in_slices(rows, "turn", lambda turns: history_stream(turns, last=2), run_updates, "recent")
+    updates = replay_in_slices(rows, "turn", lambda turns: history_stream(turns, last=2), run_updates, "recent", feed=feed)
     return latest_updates(updates, "conv_id")
+
+
+@query("stream_history", _history_sql(2))
+def stream_history(spark, d):
+    """Conversations cut by turn into three runs, so every state is carried over."""
+    return _recent(spark, d, "forward")
+
+
+@query("stream_history_reverse", _history_sql(2))
+def stream_history_reverse(spark, d):
+    """The last turns arrive first."""
+    return _recent(spark, d, "reverse")
+
+
+@query("stream_history_interleaved", _history_sql(2))
+def stream_history_interleaved(spark, d):
+    """Neighbouring turns arrive in different runs."""
+    return _recent(spark, d, "interleaved")

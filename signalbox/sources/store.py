@@ -36,9 +36,9 @@ class ResultStore:
     def version(self) -> int | None:
         return max(_finished(self.spark, self.root, "v"), default=None)
 
-    def read(self) -> DataFrame | None:
-        """Current rows, or None while nothing is stored."""
-        current = self.version()
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """Rows of the current or a given version, or None while nothing is stored."""
+        current = self.version() if version is None else version
         if current is None:
             return None
         return self.spark.read.parquet(f"{self.root}/v={current}")

@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "request_id long, last_seq long, content string, reasoning string, has_reasoning boolean"
-STATE = "last_seq long, content string, reasoning string"
+STATE = "seqs array<long>, contents array<string>, reasonings array<string>"
+IDLE_TIMEOUT_MS = 3_600_000
 
 
-def assemble_stream(chunks: DataFrame, idle_timeout_ms: int | None = None) -> DataFrame:
+def assemble_stream(chunks: DataFrame, idle_timeout_ms: int | None = IDLE_TIMEOUT_MS) -> DataFrame:
     """Text so far per request, emitted in update mode.
 
-    The state of a request is its text. Chunks are put in order within a micro-batch, whose size
-    the source bounds; across micro-batches they are taken as they arrive. With a timeout, the
-    state of a request that went quiet is dropped after its last output.
+    The state of a request is its chunks by ``seq``, so the text does not depend on the order in which
+    they arrive, and a chunk that comes again counts once. An update writes the text so far. The state
+    of a request that went quiet is dropped after the timeout; None keeps it for good.
     """
     timeout = (
         GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
@@ -27,16 +28,18 @@ def assemble_stream(chunks: DataFrame, idle_timeout_ms: int | None = None) -> Da
         if state.hasTimedOut:
             state.remove()
             return
-        last, content, reasoning = state.get if state.exists else (-1, "", "")
-        rows = pd.concat(list(batches)).sort_values("seq")
-        content += "".join(rows["content"].dropna())
-        reasoning += "".join(rows["reasoning"].dropna())
-        last = max(last, int(rows["seq"].max()))
-        state.update((last, content, reasoning))
+        seen = {seq: (c, r) for seq, c, r in zip(*state.get)} if state.exists else {}
+        for batch in batches:
+            texts = (batch[name].where(batch[name].notna(), "") for name in ("content", "reasoning"))
+            seen.update((int(seq), pair) for seq, *pair in zip(batch["seq"], *texts))
+        seqs = sorted(seen)
+        contents, reasonings = ([seen[seq][i] for seq in seqs] for i in (0, 1))
+        state.update((seqs, contents, reasonings))
         if idle_timeout_ms:
             state.setTimeoutDuration(idle_timeout_ms)
+        content, reasoning = "".join(contents), "".join(reasonings)
         yield pd.DataFrame(
-            [(key[0], last, content, reasoning, reasoning != "")],
+            [(key[0], seqs[-1], content, reasoning, reasoning != "")],
             columns=["request_id", "last_seq", "content", "reasoning", "has_reasoning"],
         )
 

@@ -55,9 +55,12 @@ def replay_in_slices(
     run: Callable[[DataFrame, str, str], None],
     label: str,
     slices: int = 3,
+    feed: str = "forward",
 ) -> DataFrame:
-    """Feed a stored table to a stream in consecutive slices of ``order`` and read what came out.
+    """Feed a stored table to a stream in slices of ``order`` and read what came out.
 
+    ``feed`` is ``forward``, ``reverse`` (the last slice first) or ``interleaved`` (every slice takes
+    each third value or so, the higher remainders first).
     After each slice the query runs to the end of its input and is restarted from its checkpoint,
     so state has to survive. Every row belongs to exactly one slice, written by as many tasks as
     hold its rows.
@@ -65,14 +68,19 @@ def replay_in_slices(
     spark = df.sparkSession
     source, out, checkpoint = (fresh_dir(spark, f"{label}-{part}") for part in ("in", "out", "checkpoint"))
     key = F.col(order)
-    shares = [i / slices for i in range(1, slices)]
-    cuts = sorted(set(df.agg(F.percentile_approx(key, shares).alias("c")).first().c or []))
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = df
-        if low is not None:
-            part = part.filter(key > low)
-        if high is not None:
-            part = part.filter(key <= high)
+    if feed == "interleaved":
+        parts = [df.filter(F.pmod(key, F.lit(slices)) == i) for i in reversed(range(slices))]
+    else:
+        shares = [i / slices for i in range(1, slices)]
+        cuts = sorted(set(df.agg(F.percentile_approx(key, shares).alias("c")).first().c or []))
+        ranges = zip([None, *cuts], [*cuts, None])
+        parts = [
+            df.filter((F.lit(True) if low is None else key > low) & (F.lit(True) if high is None else key <= high))
+            for low, high in ranges
+        ]
+        if feed == "reverse":
+            parts.reverse()
+    for part in parts:
         part.write.mode("append").parquet(source)
         run(build(spark.readStream.schema(df.schema).parquet(source)), out, checkpoint)
     return spark.read.parquet(out)

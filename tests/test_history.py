@@ -111,3 +111,13 @@ def test_assembly(spark, block):
 def test_empty_messages_make_no_request(spark):
     df = spark.createDataFrame([("",), ("x",), (None,)], "text string")
     assert [r.text for r in history.non_empty_messages(df).collect()] == ["x"]
+
+
+def test_rows_without_a_key_are_kept(spark):
+    rows = [("a", 1, "user", "x"), ("a", 2, "assistant", "y"), (None, 1, "user", "p"), (None, 2, "assistant", "q"), (None, 5000, "user", "r")]
+    pairs = history.turn_pairs(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.pair_id, r.user, r.assistant) for r in pairs} == {("a", 1, "x", "y"), (None, 1, "p", "q"), (None, 2, "r", "")}
+    chunks = spark.createDataFrame([("a", 1, "x", None), (None, 1, "p", None), (None, 5000, "q", None)], "request_id string, seq long, content string, reasoning string")
+    running = {(r.request_id, r.seq, r.content) for r in history.assemble_running(chunks).collect()}
+    assert running == {("a", 1, "x"), ("a", None, "x"), (None, 1, "p"), (None, 5000, "pq"), (None, None, "pq")}
+    assert {(r.request_id, r.content_length) for r in history.assemble_offsets(chunks).collect()} == {("a", 1), (None, 1), (None, 2)}

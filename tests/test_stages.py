@@ -153,6 +153,36 @@ def test_collect_stops_when_a_whole_batch_fails_and_continues_the_run(spark, tmp
     assert resumed["q1"] == ["q1/0"] and len(resumed) == 4
 
 
+@pytest.mark.parametrize("stop", ["stop", "continue"])
+def test_a_repeated_run_changes_nothing(spark, tmp_path, stop):
+    path, run = str(tmp_path / "store"), str(tmp_path / "run")
+
+    def half(request):
+        if request["unique_id"].startswith("bad") or request["unique_id"] == "q0" and request["response_idx"] == 1:
+            raise RuntimeError("down")
+        return f"{request['unique_id']}/{request['response_idx']}"
+
+    data = dataset(spark, "q0", "bad0", "bad1", "q1")
+    for size in (1, 2):
+        seen = [stored(jobs.collect_job(data, f"{path}{size}", half, k=2, batch_size=size, run_path=f"{run}{size}", on_all_failed=stop)) for _ in range(5)]
+        assert seen[-1] == seen[-2] and len(seen[-1]) == 4 and all(len(v) == 2 for v in seen[-1].values())
+        again = [stored(jobs.collect_job(
+            data, f"{path}{size}", steady, k=2, retry_failed=True, batch_size=size, run_path=f"{run}{size}-retry", on_all_failed=stop)) for _ in range(3)]
+        assert again[0] == again[1] == again[2]
+
+
+def test_python_stages_keep_values_exact(spark):
+    big = 9007199254740993
+    rows = spark.createDataFrame([("a", big, 1), ("b", None, None)], "unique_id string, big long, choice int")
+    seen = stages.generate_samples(rows, lambda r: f"{r['big']} {r['choice']}", k=1).collect()
+    assert {(r.unique_id, r.big, r.choice, r.full_response) for r in seen} == {("a", big, 1, f"{big} 1"), ("b", None, None, "None None")}
+    tasks = rows.selectExpr("*", "'x' as extracted_answer", "cast(null as array<string>) as choices")
+    judged = stages.judge_stage(tasks, lambda r: (str(r["big"]), r["choice"] == 1, "why"), max_workers=2).collect()
+    assert {(r.unique_id, r.big, r.extracted_answer, r.is_correct) for r in judged} == {("a", big, str(big), True), ("b", None, "None", False)}
+    scored = stages.win_rate_scores(rows, "unique_id", lambda texts: [0.25 for _ in texts], batched=True).collect()
+    assert {(r.big, r.confidence) for r in scored} == {(big, 0.25), (None, 0.25)}
+
+
 def test_cascade_runs_only_on_weak_failures(spark, tmp_path):
     weak = grading.grade_in_place(results(spark, ROWS)).withColumn("idx", F.ascii("unique_id").cast("long"))
     out = jobs.cascade_job(weak, str(tmp_path / "store"), steady, str(tmp_path / "failed"), k=2)
