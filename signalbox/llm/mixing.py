@@ -27,8 +27,9 @@ from signalbox.sources.store import materialize
 
 #: Labelled rows that the classifier is fitted on, those of the least hashed ids, at most.
 FIT_ROWS = 20_000
-#: Steps at most, and the largest residual, as a share of all target tokens, to stop at.
-STEPS, TOLERANCE = 40, 1e-7
+#: Steps at most; the largest residual, as a share of all target tokens, and the share by which a step
+#: has to lower the weighted residual, to go on.
+STEPS, TOLERANCE, PROGRESS = 40, 1e-7, 1e-3
 
 
 @dataclass
@@ -125,9 +126,12 @@ def fit_rates(memberships: DataFrame, mixer: Mixer, targets: dict[str, float]) -
         return mixer
     goal = wanted / wanted.sum() * now.sum()
     weight = np.linalg.pinv(square, rcond=1e-9, hermitian=True)
+    last = np.inf
     for _ in range(STEPS):
-        if np.abs(now - goal).max() <= TOLERANCE * goal.sum():
+        residual = float((now - goal) @ weight @ (now - goal))
+        if np.abs(now - goal).max() <= TOLERANCE * goal.sum() or residual > (1 - PROGRESS) * last:
             break
+        last = residual
         steps.append(weight @ (now - goal))
         now = totals(False)[:k]
     mixer.steps, mixer.totals, mixer.targets = steps, now, goal
