@@ -112,8 +112,8 @@ def grade_three_phase(
 ) -> DataFrame:
     """Regex first, judge for the rest, one row per response.
 
-    The judge runs only over unresolved rows and its stage passes their keys through, so the
-    two parts meet in a union: no join and no shuffle. ``with_prompt`` also hands the judge its
+    Responses are read and graded once. One stage asks the judge about unresolved rows and lets the
+    others pass, so there is no join, no union and no shuffle. ``with_prompt`` also hands the judge its
     rendered prompt as ``judge_prompt``. Write the result once before using it
     twice; the judge may be neither cheap nor deterministic.
     """
@@ -122,21 +122,18 @@ def grade_three_phase(
     checked = grade_math_only(explode_responses(results, columns))
     out = ["unique_id", "response_idx", *[c for c in keep if c != "unique_id"], "full_response",
            "extracted_answer", "is_correct", "extraction_method", "judge_explanation"]
-    resolved = (
-        checked.filter(~F.col("needs_judge"))
-        .withColumn("extraction_method", F.lit(resolved_method))
+    tasks = (
+        checked.withColumn("extraction_method", F.lit(resolved_method))
         .withColumn("judge_explanation", F.lit(None).cast("string"))
-        .select(*out)
+        .withColumn("correct_answer", row_gold())
     )
-    tasks = checked.filter(F.col("needs_judge")).withColumn("correct_answer", row_gold())
     if with_prompt:
         prompt = judge_prompt(
             F.col("problem"), F.col("full_response"), F.col("correct_answer"), F.col("choices"),
             F.col("is_mcq"), compat,
         )
         tasks = tasks.withColumn("judge_prompt", prompt)
-    judged = judge_stage(tasks, judge, max_workers=max_workers, compat=compat)
-    return resolved.unionByName(judged.select(*out))
+    return judge_stage(tasks, judge, max_workers=max_workers, compat=compat, only="needs_judge").select(*out)
 
 
 def grade_with_fallback(results: DataFrame, judge: Judge, max_workers: int = 40) -> DataFrame:

@@ -148,6 +148,18 @@ def topk_responses(graded: DataFrame, k: int) -> DataFrame:
     return graded.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def topk_nested(results: DataFrame, k: int) -> DataFrame:
+    """:func:`topk_responses` of responses kept in one array per question: ranked in the row, no shuffle.
+
+    Only the correctness of the responses is read.
+    """
+    ranked = F.array_sort(F.transform(
+        F.col("responses.is_correct"),
+        lambda c, i: F.struct((~F.coalesce(c, F.lit(False))).alias("wrong"), i.alias("response_idx"), c.alias("is_correct"))))
+    best = results.select("unique_id", F.posexplode(F.slice(ranked, 1, k)).alias("_at", "_best"))
+    return best.select("unique_id", "_best.response_idx", "_best.is_correct", (F.col("_at") + 1).alias("rank"))
+
+
 def weak_failures(results: DataFrame, failure_threshold: float = 0.5, k: int = 1) -> DataFrame:
     """Questions the weak model fails on, with ``failure_rate`` strictly above the threshold.
 

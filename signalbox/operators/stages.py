@@ -49,13 +49,16 @@ def _verdict(judge: Judge, task: Mapping[str, Any], compat: bool) -> tuple[str,
     return final, bool(matches), "llm_judge", why or None
 
 
-def judge_stage(tasks: DataFrame, judge: Judge, max_workers: int = 40, compat: bool = False) -> DataFrame:
+def judge_stage(
+    tasks: DataFrame, judge: Judge, max_workers: int = 40, compat: bool = False, only: str | None = None
+) -> DataFrame:
     """Ask the judge about every row of ``tasks`` and replace its verdict columns.
 
     ``judge`` gets a row as a mapping (problem, full_response, correct_answer, is_mcq, choices,
     extracted_answer) and returns ``(final answer, match, explanation)``. An exception or
     ``None`` leaves the regex answer, marked ``regex_fallback``; with ``compat`` both are
-    reported under ``llm_judge`` instead.
+    reported under ``llm_judge`` instead. With ``only``, a boolean column, the judge is asked about its
+    true rows and the others keep the verdict columns they have.
     """
     replaced = {f.name for f in _JUDGE_FIELDS}
     passed = [f for f in tasks.schema.fields if f.name not in replaced]
@@ -66,7 +69,14 @@ def judge_stage(tasks: DataFrame, judge: Judge, max_workers: int = 40, compat: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(max_workers) as pool:
             for batch in batches:
-                verdicts = list(pool.map(lambda row: _verdict(judge, row, compat), batch.to_pylist()))
+                asked = batch if only is None else batch.filter(batch.column(only))
+                answers = pool.map(lambda row: _verdict(judge, row, compat), asked.to_pylist())
+                if only is None:
+                    verdicts = list(answers)
+                else:
+                    kept = batch.select([f.name for f in _JUDGE_FIELDS]).to_pylist()
+                    wanted = batch.column(only).to_pylist()
+                    verdicts = [next(answers) if ask else tuple(row.values()) for ask, row in zip(wanted, kept)]
                 out = batch.select([f.name for f in passed])
                 for position, (field, kind) in enumerate(zip(_JUDGE_FIELDS, kinds)):
                     out = out.append_column(field.name, pa.array([v[position] for v in verdicts], type=kind))

@@ -229,8 +229,7 @@ select * from (
          cast(row_number() over (partition by unique_id order by is_correct desc, response_idx) as integer) as rank
   from judged) where rank <= 2""")
 def topk(spark, d):
-    rows = _rows(spark, d).select("unique_id", "response_idx", "is_correct")
-    return resume.topk_responses(rows, 2)
+    return resume.topk_nested(views.stored_results(spark, d), 2)
 
 
 _WIDE_SQL = ",\n       ".join(
@@ -279,7 +278,8 @@ def all_splits(spark, d):
 @query("max_responses", with_views(*RAW) + """
 select cast(max(n) as integer) as max_responses from (select count(*) as n from responses group by unique_id)""")
 def most_responses(spark, d):
-    return views.raw_results(spark, d).agg(F.max(F.size("responses")).alias("max_responses"))
+    largest = publish.max_responses(views.stored_results(spark, d))
+    return spark.range(1).select(F.lit(largest).cast("int").alias("max_responses"))
 
 
 @query("method_counts", with_views(*JUDGED) + """

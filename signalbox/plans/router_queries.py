@@ -375,6 +375,52 @@ def score_prompts(spark, d):
     return rounded(scored.drop("text"), "think_probability", "no_think_probability")
 
 
+def _log_loss(p, label):
+    kept = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9)))
+    return F.avg(-F.when(label == 1, F.log(kept)).otherwise(F.log(1 - kept)))
+
+
+def _share_loss(label):
+    share = F.avg(label.cast("double"))
+    return -(share * F.log(share) + (1 - share) * F.log(1 - share))
+
+
+@query("score_two_head_checks", """
+select count(*) as n, count(*) as n_probabilities, count(*) as n_routed_by_threshold, true as reasoning_learned, true as difficulty_learned
+from documents""")
+def score_two_head_checks(spark, d):
+    """Every document scored between 0 and 1 and routed by its scores; both heads beat the label share on what they fit."""
+    docs = views.table(spark, d, "documents").select("doc_id", "text")
+    labels = views.table(spark, d, "labels")
+    scored = routing.route_two_head(_heads(spark, d).score(docs)).drop("text").join(labels, "doc_id", "left")
+    reasoning, difficulty = F.col("reasoning_score"), F.col("difficulty_score")
+    table = F.create_map(*[
+        x for (needed, hard), model in routing.DECISION_TABLE.items() for x in (F.lit(f"{needed}{hard}".lower()), F.lit(model))])
+    expected = F.element_at(table, F.concat((reasoning >= 0.4).cast("string"), (difficulty >= 0.5).cast("string")))
+    return scored.agg(
+        F.count("*").alias("n"), F.count_if(reasoning.between(0, 1) & difficulty.between(0, 1)).alias("n_probabilities"),
+        F.count_if(F.col("selected_model") == expected).alias("n_routed_by_threshold"),
+        (_log_loss(F.when(F.col("quality").isNotNull(), reasoning), F.col("quality")) < _share_loss(F.col("quality"))).alias("reasoning_learned"),
+        (_log_loss(F.when(F.col("toxic").isNotNull(), difficulty), F.col("toxic")) < _share_loss(F.col("toxic"))).alias("difficulty_learned"),
+    )
+
+
+@query("score_prompts_checks", """
+select count(*) as n, count(*) as n_sum_to_one, count(*) as n_same_as_head, true as ranks_labels from documents""")
+def score_prompts_checks(spark, d):
+    """Both probabilities sum to 1 and repeat the head's score; labelled rows of class 1 score higher on average."""
+    docs = views.table(spark, d, "documents").select("doc_id", "text")
+    classified = _heads(spark, d).classify(docs, ("no_think", "think"), "reasoning").drop("text")
+    scored = _heads(spark, d).score(docs).select("doc_id", "reasoning_score")
+    rows = classified.join(scored, "doc_id").join(views.table(spark, d, "labels"), "doc_id", "left")
+    think, label = F.col("think_probability"), F.col("quality")
+    return rows.agg(
+        F.count("*").alias("n"), F.count_if(F.abs(think + F.col("no_think_probability") - 1) < 1e-9).alias("n_sum_to_one"),
+        F.count_if(F.abs(think - F.col("reasoning_score")) < 1e-12).alias("n_same_as_head"),
+        (F.avg(F.when(label == 1, think)) > F.avg(F.when(label == 0, think))).alias("ranks_labels"),
+    )
+
+
 @query("score_prompts_callable", """
 select doc_id, round(1 / (1 + exp(-(length(text) - 1000) / 1000.0)), 6) as think_probability,
        round(1 - 1 / (1 + exp(-(length(text) - 1000) / 1000.0)), 6) as no_think_probability from documents""")

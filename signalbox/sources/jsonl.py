@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,15 +61,21 @@ def fill_defaults(results: DataFrame) -> DataFrame:
     return filled
 
 
+def _split_files(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    return {
+        name: [f for stem in stems for form in (stem, f"*_{stem}") for f in matching_paths(spark, f"{path}/{form}.jsonl")]
+        for name, stems in SPLIT_STEMS.items()
+    }
+
+
 def read_split_folder(spark: SparkSession, path: str, schema: T.StructType) -> dict[str, DataFrame]:
     """Splits of a folder by file stem; a missing one is logged, none at all is an error.
 
     Accepts ``train.jsonl`` as well as ``<anything>_train.jsonl``, and ``val`` for validation.
-    Bad lines are dropped; read a file with :func:`read_tolerant` to see them.
+    Bad lines are left out; :func:`split_folder_rejects` has them.
     """
     splits = {}
-    for name, stems in SPLIT_STEMS.items():
-        files = [f for stem in stems for form in (stem, f"*_{stem}") for f in matching_paths(spark, f"{path}/{form}.jsonl")]
+    for name, files in _split_files(spark, path).items():
         if files:
             splits[name] = fill_defaults(read_tolerant(spark, files, schema)[0])
         else:
@@ -78,6 +85,15 @@ def read_split_folder(spark: SparkSession, path: str, schema: T.StructType) -> d
     return splits
 
 
+def split_folder_rejects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """Lines that :func:`read_split_folder` leaves out, with their ``split``; None without any file."""
+    rejects = [
+        read_tolerant(spark, files, schema)[1].withColumn("split", F.lit(name))
+        for name, files in _split_files(spark, path).items() if files
+    ]
+    return reduce(DataFrame.unionByName, rejects) if rejects else None
+
+
 def model_of_file(file_name: Column) -> Column:
     """Model name of a result file: the text before its first underscore."""
     return F.split_part(file_name, F.lit("_"), F.lit(1))

@@ -103,9 +103,10 @@ def test_publishing_and_status_are_narrow(spark):
     assert "Exchange" not in plan(built(spark, "response_status"))
 
 
-def test_judge_runs_below_a_filter_and_merges_without_a_join(spark):
+def test_three_phases_read_and_grade_once(spark):
     text = plan(built(spark, "grade_three_phase"))
-    assert "Union" in text and "Join" not in text and "Exchange" not in text
+    assert "Union" not in text and "Join" not in text and "Exchange" not in text
+    assert len(re.findall(r"FileScan parquet", text)) == 1
 
 
 def test_statistics_never_read_the_response_texts(spark):

@@ -122,6 +122,8 @@ def test_split_folder(spark, tmp_path):
     assert set(splits) == {"train", "validation"} and splits["train"].count() == 1
     row = splits["validation"].first()
     assert (row.is_mcq, row.category, row.responses) == (False, "", [])
+    rejects = jsonl.split_folder_rejects(spark, str(tmp_path), RAW_RESULT)
+    assert [r.split for r in rejects.collect()] == ["train"]
     (tmp_path / "empty").mkdir()
     with pytest.raises(ValueError):
         jsonl.read_split_folder(spark, str(tmp_path / "empty"), RAW_RESULT)
