@@ -20,6 +20,7 @@ import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalbox.session import fresh_dir
@@ -57,7 +58,7 @@ def _record(kind, record_id, uri, block, *headers):
 
 def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
              least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """``id, url, html, bytes, digest, record_id, first``: each row of ``pages``, and the first id with its payload.
+    """``id, url, html, bytes, digest, record_id, first, refers_to``: each row of ``pages``, the first id with its payload, and its record.
 
     ``first`` is null for a response. Of rows with equal payloads of ``least_bytes`` or more the one of
     the smallest id is the response; a row without an id is a response only if no row with an id has
@@ -68,10 +69,20 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     keyed = rows.withColumns({
         "bytes": F.octet_length("html").cast("long"), "digest": base32_sha1(F.col("html"))})
     keyed = keyed.withColumn("record_id", _record_id("main", F.col("id"), F.col("url"), F.col("digest")))
-    narrow = keyed.select("id", "bytes", "digest", "record_id").where(F.col("bytes") >= least_bytes)
-    again = narrow.groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("held")).where("held > 1")
-    revisits = narrow.join(again, ["digest", "bytes"]).where("id is null or id <> first").select("record_id", "first").distinct()
-    return keyed.join(revisits, "record_id", "left").dropDuplicates(["record_id"])
+    # All decisions are made on a narrow table; payloads are shuffled once, into as many parts as files.
+    narrow = materialize(keyed.select("id", "url", "bytes", "digest", "record_id"), "captures")
+    size = narrow.agg(F.sum("bytes"), F.count("*")).first()
+    files = max(1, math.ceil(((size[0] or 0) + 1500 * size[1]) / FILE_BYTES))
+    large = narrow.where(F.col("bytes") >= least_bytes)
+    again = large.groupBy("digest", "bytes").agg(
+        F.min("id").alias("first"), F.count("*").alias("held")).where("held > 1")
+    urls = large.where("id is not null").join(again.select("digest", "bytes", "first"), ["digest", "bytes"]).where("id = first").groupBy(
+        "digest", "bytes", "first").agg(F.min("url").alias("first_url"))
+    revisits = large.join(urls, ["digest", "bytes"]).where("id is null or id <> first").select(
+        "record_id", "first", _record_id("main", F.col("first"), F.col("first_url"), F.col("digest")).alias("refers_to")).distinct()
+    joined = keyed.repartition(files, "record_id").join(revisits.hint("merge"), "record_id", "left")
+    copies = W.partitionBy("record_id").orderBy("record_id")
+    return joined.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1").drop("_copy")
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -82,16 +93,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     is empty. Line breaks in a url are escaped, since a header is one line.
     """
     found = captures(pages, id_col, url_col, html_col, least_bytes)
-    sizes = pages.agg(F.sum(F.octet_length(html_col)), F.count("*")).first()
-    files = max(1, math.ceil(((sizes[0] or 0) + 1500 * sizes[1]) / FILE_BYTES))
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     main, first = F.col("record_id"), F.col("first").isNull()
-    response_of = _record_id("main", F.col("first"), F.col("first_url"), F.col("digest"))
-    urls = found.where("first is null").select(F.col("id").alias("first"), F.col("digest"), F.col("url").alias("first_url"))
-    urls = urls.groupBy("first", "digest").agg(F.min("first_url").alias("first_url"))
-    again = found.where("first is not null").select("record_id", "first", "digest").join(urls, ["first", "digest"]).select(
-        "record_id", response_of.alias("refers_to"))
-    found = found.join(again, "record_id", "left")
 
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "),
                     F.col("bytes").cast("string"), F.lit(2 * _END))
@@ -110,7 +113,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         _record(F.lit("metadata"), _record_id("metadata", main), uri, fields,
                 ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))))
     (
-        found.repartition(files, "record_id").select(F.explode(records).alias("value"))
+        found.select(F.explode(records).alias("value"))
         .write.option("lineSep", 2 * _END).option("compression", compression).text(path)
     )
 
