@@ -10,15 +10,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "request_id long, last_seq long, content string, reasoning string, has_reasoning boolean"
 STATE = "seqs array<long>, contents array<string>, reasonings array<string>"
-IDLE_TIMEOUT_MS = 3_600_000
 
 
-def assemble_stream(chunks: DataFrame, idle_timeout_ms: int | None = IDLE_TIMEOUT_MS) -> DataFrame:
+def assemble_stream(chunks: DataFrame, idle_timeout_ms: int | None = None) -> DataFrame:
     """Text so far per request, emitted in update mode.
 
     The state of a request is its chunks by ``seq``, so the text does not depend on the order in which
     they arrive, and a chunk that comes again counts once. An update writes the text so far. The state
-    of a request that went quiet is dropped after the timeout; None keeps it for good.
+    of a request that went quiet is dropped after the timeout, if one is given. A query with a timeout
+    never ends by itself, so an available-now trigger needs None.
     """
     timeout = (
         GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout

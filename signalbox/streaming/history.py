@@ -10,15 +10,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "conv_id long, position int, role string, content string"
 STATE = "turns array<long>, roles array<string>, texts array<string>"
-IDLE_TIMEOUT_MS = 3_600_000
 
 
-def history_stream(messages: DataFrame, last: int = 10, idle_timeout_ms: int | None = IDLE_TIMEOUT_MS) -> DataFrame:
+def history_stream(messages: DataFrame, last: int = 10, idle_timeout_ms: int | None = None) -> DataFrame:
     """Messages for the next call after each micro-batch: recent pairs, then the newest user message.
 
     The state holds the messages by ``turn`` from the (last + 1)th newest user message on, so the
     result does not depend on the order in which they arrive, and a message that comes again counts
-    once. The state of a conversation that went quiet is dropped after the timeout; None keeps it.
+    once. The state of a conversation that went quiet is dropped after the timeout, if one is given.
+    A query with a timeout never ends by itself, so an available-now trigger needs None.
     """
     timeout = (
         GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
