@@ -3,16 +3,19 @@
 A naive Bayes classifier, fitted on a labelled table, gives every document a posterior over domains.
 Each document gets a rate, the number of times it should be drawn, such that the expected tokens of
 each domain, ``sum of rate * tokens * posterior``, match targets: a least-squares problem in
-nonnegative rates, one per document, solved by projected gradients on Spark.
+nonnegative rates, one per document. Of its solutions the one with the least squared change of rates
+from 1, weighted by tokens, is taken: ``rate = max(0, 1 - posterior . v)`` with one number per domain.
 
-The residual is one number per domain. It is weighted by the inverse of ``sum of tokens * p * p'`` so
-that a full step is safe and nearly reaches the targets where no rate falls below 0. A rate depends on
-its own posterior and the residuals of all steps, so a step is one pass over a narrow table that adds
-up one number per domain, and no rates are stored between steps.
+``v`` is found by Newton steps with the matrix ``sum of tokens * p * p'`` over the documents whose rate
+is positive, so rates of 0 do not slow them. A step is one pass over a narrow table that adds up, for
+several lengths of the step at once, a few numbers per pair of domains; no rates are stored. If no
+nonnegative rates meet the targets, the steps end at the least residual and a warning says so.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,14 +30,22 @@ from signalbox.sources.store import materialize
 
 #: Labelled rows that the classifier is fitted on, those of the least hashed ids, at most.
 FIT_ROWS = 20_000
-#: Steps at most; the largest residual, as a share of all target tokens, and the share by which a step
-#: has to lower the weighted residual, to go on.
-STEPS, TOLERANCE, PROGRESS = 40, 1e-7, 1e-3
+#: The largest residual, as a share of all target tokens, of targets that count as met; steps at most.
+TOLERANCE, STEPS = 1e-7, 100
+#: Lengths of a step that one pass tries.
+LENGTHS = 2.0 ** np.arange(4, -8, -1)
+#: Weight of the change of ``v`` against the residual, in rounds that each start where the last one
+#: ended, and the share by which a round has to lower the residual for another to follow.
+DAMPING, PROGRESS = 1e-10, 1e-3
 
 
 @dataclass
 class Mixer:
-    """Domains, classifier, and the weighted residual of each step; bounded by domains, places and steps."""
+    """Domains, classifier, and the steps of the rates; bounded by domains and places.
+
+    ``met`` tells whether ``totals``, the expected tokens of the domains, are those of ``targets``;
+    ``passes`` counts the passes over the memberships.
+    """
 
     domains: list[str]
     prior: np.ndarray
@@ -42,6 +53,8 @@ class Mixer:
     steps: list[np.ndarray] = field(default_factory=list)
     totals: np.ndarray | None = None
     targets: np.ndarray | None = None
+    met: bool = True
+    passes: int = 0
 
 
 def token_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,48 +106,87 @@ def _matrix(batch: pa.RecordBatch, domains: int) -> tuple[np.ndarray, np.ndarray
     return n, np.asarray(batch.column("posterior").flatten()).reshape(len(n), domains)
 
 
+def _sums(n: np.ndarray, p: np.ndarray, tried: np.ndarray) -> np.ndarray:
+    """For each row of ``tried``, taken as ``v``: half the squared rates, tokens of the domains, and the matrix of positive rates."""
+    found = []
+    for v in tried:
+        rate = np.maximum(0.0, 1.0 - p @ v)
+        some = rate > 0
+        drawn, held = rate[some] * n[some], p[some]
+        found.append([drawn @ rate[some] / 2, *(drawn @ held), *((held * n[some, None]).T @ held).ravel()])
+    return np.array(found)
+
+
 def fit_rates(memberships: DataFrame, mixer: Mixer, targets: dict[str, float]) -> Mixer:
-    """Steps that bring the expected tokens of the domains to ``targets``, shares of all tokens.
+    """Rates that bring the expected tokens of the domains to ``targets``, shares of all tokens.
 
     A domain without a target has target 0; targets are scaled to sum to 1. If no nonnegative rates
-    meet them, the rates of the least weighted residual are approached.
+    meet them, the rates approach the least residual, weighted by the inverse of ``sum of tokens * p * p'``,
+    ``met`` is false, and a warning names the shares that are reached.
     """
     k = len(mixer.domains)
-    steps: list[np.ndarray] = []
 
-    def totals(second: bool) -> np.ndarray:
+    def sums(tried: np.ndarray) -> np.ndarray:
+        width = 1 + k + k * k
+
         def add(batches):
-            total = np.zeros(k)
-            square = np.zeros((k, k))
+            total = np.zeros((len(tried), width))
             for batch in batches:
-                n, p = _matrix(batch, k)
-                total += (rates(p, steps) * n) @ p
-                if second:
-                    square += (p * n[:, None]).T @ p
-            yield pa.RecordBatch.from_pydict({"at": pa.array(range(k + k * k), type=pa.int32()), "x": [*total, *square.ravel()]})
-
-        added = memberships.mapInArrow(add, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-        values = np.zeros(k + k * k)
-        for row in added:
+                total += _sums(*_matrix(batch, k), tried)
+            yield pa.RecordBatch.from_pydict({"at": pa.array(range(total.size), type=pa.int32()), "x": total.ravel()})
+
+        values = np.zeros(len(tried) * width)
+        for row in memberships.mapInArrow(add, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
             values[row["at"]] = row["x"]
-        return values
+        mixer.passes += 1
+        return values.reshape(len(tried), width)
 
-    first = totals(True)
-    now, square = first[:k], first[k:].reshape(k, k)
+    return solve(sums, mixer, targets)
+
+
+def solve(sums: Callable[[np.ndarray], np.ndarray], mixer: Mixer, targets: dict[str, float]) -> Mixer:
+    """:func:`fit_rates` on the results of :func:`_sums`, added up over all documents.
+
+    The rates minimise half the squared change of rates; ``v`` minimises the dual function, half the
+    squared rates plus ``goal . v``, which is convex and quadratic between the places where a rate
+    reaches 0. Each round also weighs the way from its start, so that a step exists when too few
+    documents have a positive rate; rounds repeat until the targets are met or the residual stays.
+    """
+    k = len(mixer.domains)
+    at = np.zeros(k)
+    here = sums(at[None])[0]
+    first, square = here[1:k + 1], here[k + 1:].reshape(k, k)
     wanted = np.array([max(0.0, float(targets.get(d, 0.0))) for d in mixer.domains])
-    if not wanted.sum() or not now.sum():
+    if not wanted.sum() or not first.sum():
         return mixer
-    goal = wanted / wanted.sum() * now.sum()
+    goal = wanted / wanted.sum() * first.sum()
     weight = np.linalg.pinv(square, rcond=1e-9, hermitian=True)
-    last = np.inf
+    reachable = square @ weight  # not what tells domains of equal posteriors apart
+    allowed = TOLERANCE * goal.sum()
+    start, last = at, np.inf
     for _ in range(STEPS):
-        residual = float((now - goal) @ weight @ (now - goal))
-        if np.abs(now - goal).max() <= TOLERANCE * goal.sum() or residual > (1 - PROGRESS) * last:
+        left = here[1:k + 1] - goal
+        if np.abs(left).max() <= allowed:
             break
-        last = residual
-        steps.append(weight @ (now - goal))
-        now = totals(False)[:k]
-    mixer.steps, mixer.totals, mixer.targets = steps, now, goal
+        left = reachable @ left
+        slope = left - DAMPING * square @ (at - start)
+        if np.abs(slope).max() <= 1e-3 * allowed or slope @ weight @ slope <= 1e-4 * (left @ weight @ left):
+            residual = float(left @ weight @ left)
+            if residual > (1 - PROGRESS) * last or residual <= TOLERANCE ** 2 * goal.sum():
+                break
+            start, last, slope = at, residual, left
+        step = np.linalg.pinv(here[k + 1:].reshape(k, k) + DAMPING * square, rcond=1e-13, hermitian=True) @ slope
+        tried = at + LENGTHS[:, None] * step
+        found = sums(tried)
+        way = tried - start
+        value = found[:, 0] + tried @ goal + DAMPING / 2 * np.einsum("ij,jk,ik->i", way, square, way)
+        best = int(np.argmin(value))
+        at, here = tried[best], found[best]
+    mixer.steps, mixer.totals, mixer.targets = [at], here[1:k + 1], goal
+    mixer.met = bool(np.abs(mixer.totals - goal).max() <= allowed)
+    if not mixer.met:
+        reached = ", ".join(f"{d} {x:.6f} for {y:.6f}" for d, x, y in zip(mixer.domains, mixer.totals / goal.sum(), goal / goal.sum()))
+        warnings.warn(f"no nonnegative rates were found that meet the targets; tokens as shares of all target tokens: {reached}", stacklevel=2)
     return mixer
 
 

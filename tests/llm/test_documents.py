@@ -298,6 +298,45 @@ def test_rates_are_those_of_a_plain_projected_gradient():
     assert np.abs((rate * n) @ p - goal).max() < 1e-3 * n.sum()
 
 
+def _members(spark, concentration, goal):
+    """Memberships of 600 documents; the rates that are fitted to ``goal``, with their posteriors and tokens."""
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet(concentration, 600)
+    n = rng.integers(1, 500, 600)
+    held = spark.createDataFrame([(int(x), y.tolist()) for x, y in zip(n, p)], "n_tokens long, posterior array<double>").repartition(4)
+    domains = [f"d{i}" for i in range(len(concentration))]
+    mixer = mixing.fit_rates(held, mixing.Mixer(domains, np.zeros(len(domains)), np.zeros((len(domains), 1))), dict(zip(domains, goal)))
+    return mixer, mixing.rates(p, mixer.steps), p, n.astype(float)
+
+
+@pytest.mark.parametrize("concentration, goal", [([3, 3, 3], [0.6, 0.25, 0.15]), ([0.5, 0.5, 0.5], [0.95, 0.03, 0.02]), ([9, 1], [0.99, 0.01])])
+def test_targets_that_need_rates_of_zero_are_met(spark, concentration, goal):
+    mixer, rate, p, n = _members(spark, concentration, goal)
+    aim = np.array(goal) * n.sum()
+    assert (rate == 0).mean() > 0.1 and mixer.met and mixer.passes < 30
+    assert np.abs((rate * n) @ p - aim).max() < 1e-6 * n.sum()
+    # Least change: 1 - rate is a sum of posteriors where the rate is positive, and beyond it elsewhere.
+    some = rate > 0
+    v = np.linalg.lstsq(p[some], 1 - rate[some], rcond=None)[0]
+    assert np.abs(p[some] @ v - (1 - rate[some])).max() < 1e-6 and (p[~some] @ v >= 1 - 1e-6).all()
+    # Plain projected gradients reach the same targets after many steps, and change the rates no less.
+    weight, plain = np.linalg.pinv((p * n[:, None]).T @ p), np.ones(len(p))
+    for _ in range(20_000):
+        plain = np.maximum(0, plain - p @ (weight @ ((plain * n) @ p - aim)))
+    assert np.abs((plain * n) @ p - aim).max() < 1e-3 * n.sum()
+    assert n @ (rate - 1) ** 2 <= (n @ (plain - 1) ** 2) * (1 + 1e-2)
+
+
+def test_targets_out_of_reach_give_the_least_residual_and_a_warning(spark):
+    with pytest.warns(UserWarning, match="meet the targets.*d0 1.1"):
+        mixer, rate, p, n = _members(spark, [3, 3, 3], [0.98, 0.01, 0.01])
+    aim = np.array([0.98, 0.01, 0.01]) * n.sum()
+    weight = np.linalg.pinv((p * n[:, None]).T @ p)
+    # No document's rate can be raised, or lowered from above 0, to lower the weighted residual.
+    slope = p @ weight @ ((rate * n) @ p - aim)
+    assert not mixer.met and slope.min() > -1e-6 and np.abs(slope[rate > 0]).max() < 1e-6
+
+
 def test_mixing_keeps_columns_and_handles_missing_labels(spark, make_docs, odd_rows):
     none = spark.createDataFrame([], "doc_id long, domain string")
     found = mixing.mixed(make_docs(odd_rows), none, {"a": 1})
