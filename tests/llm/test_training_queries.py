@@ -6,12 +6,13 @@ import hashlib
 import os
 import zlib
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from signalbox.llm import secret_scan
-from signalbox.llm.queries import QUERIES, SQL
+from signalbox.llm import mixing, secret_scan
+from signalbox.llm.queries import MIX_TARGETS, QUERIES, SQL
 from tests.compare import connect, differences
 from tests.llm import brute
 
@@ -86,6 +87,33 @@ def test_rates(spark, documents):
     assert sorted(r.doc_id for r in found) == sorted(documents) and all(r.rate >= 0 for r in found)
 
 
+@pytest.mark.parametrize("targets", [None, {"toxic0": 0.999, "toxic1": 0.001}])
+def test_last_stage_reaches_its_targets(spark, monkeypatch, targets):
+    assert corpus_pipeline.TARGETS == {"toxic0": 0.96, "toxic1": 0.04}
+    monkeypatch.setattr(corpus_pipeline, "TARGETS", targets or corpus_pipeline.TARGETS)
+    made = []
+    solve = mixing.solve
+    monkeypatch.setattr(mixing, "solve", lambda *a: made.append(solve(*a)) or made[-1])
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("doc_id % 3 > 0")
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").where("toxic is not null").selectExpr("doc_id", "concat('toxic', toxic) as domain")
+    kept = {r.doc_id: r.rate for r in corpus_pipeline.mixture(spark, docs, SF_DIR).collect()}
+    every = mixing.mixing_rates(docs, labels, corpus_pipeline.TARGETS).collect()
+    p, n = np.array([r.posterior for r in every]), np.array([r.n_tokens for r in every], dtype=float)
+    rate = np.array([r.rate for r in every])
+    assert made[0].met and made[0].domains == ["toxic0", "toxic1"]
+    share = (rate * n) @ p / n.sum()
+    assert np.abs(share - [corpus_pipeline.TARGETS[d] for d in made[0].domains]).max() < 1e-6
+    assert {r.doc_id: r.rate for r in every if r.copies} == pytest.approx(kept)
+    if targets:
+        assert (rate == 0).any()
+
+
+def test_op3_reaches_its_targets(spark):
+    found = rows(spark, "op3_soft_mixing")
+    total = np.array([r.rate * r.n_tokens for r in found]) @ np.array([r.posterior for r in found])
+    assert sorted(total / total.sum()) == pytest.approx(sorted(MIX_TARGETS.values()), abs=1e-6)
+
+
 def test_pipeline_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
