@@ -17,6 +17,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from signalbox.llm.textkit import SPACE, slices, words
 from signalbox.llm.wanted import read_again
 from signalbox.sources.store import materialize
 
-#: Labelled rows that the classifier is fitted on, those of the least hashed ids, at most.
+#: Labelled rows of each domain that the classifier is fitted on, those of the least hashed ids, at most.
 FIT_ROWS = 20_000
 #: The largest residual, as a share of all target tokens, of targets that count as met; steps at most.
 TOLERANCE, STEPS = 1e-7, 100
@@ -44,7 +45,7 @@ class Mixer:
     """Domains, classifier, and the steps of the rates; bounded by domains and places.
 
     ``met`` tells whether ``totals``, the expected tokens of the domains, are those of ``targets``;
-    ``passes`` counts the passes over the memberships.
+    ``passes`` counts the passes over the memberships; ``missing`` names targets without a labelled text.
     """
 
     domains: list[str]
@@ -55,6 +56,7 @@ class Mixer:
     targets: np.ndarray | None = None
     met: bool = True
     passes: int = 0
+    missing: list[str] = field(default_factory=list)
 
 
 def token_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,16 +66,21 @@ def token_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, domain_col: str, fit_rows: int = FIT_ROWS) -> Mixer:
-    """Fit on the texts of ``labelled(id_col, domain_col)``; an id with several domains counts as the first."""
+    """Fit on the texts of ``labelled(id_col, domain_col)``; an id with several domains counts as the first.
+
+    Of each domain at most ``fit_rows`` labelled rows of ``docs`` are read; the prior counts all of them.
+    """
     marks = (
         labelled.select(F.col(id_col).alias("id"), F.col(domain_col).cast("string").alias("part"))
         .where("id is not null and part is not null").groupBy("id").agg(F.min("part").alias("part"))
     )
-    sample = marks.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marks = materialize(marks.join(rows.select("id").hint("merge"), "id", "left_semi"), "marks")
+    share = {r["part"]: r["n"] for r in marks.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    parts = [marks.where(F.col("part") == d).orderBy(F.xxhash64("id"), "id").limit(fit_rows) for d in sorted(share)]
+    sample = materialize(reduce(DataFrame.union, parts, marks.limit(0)), "sample")
     chosen = read_again(rows, sample).join(sample.hint("merge"), "id").select("part", "text")
     counts = collected(class_counts(chosen, token_places))
-    share = {r["part"]: r["n"] for r in sample.groupBy("part").agg(F.count("*").alias("n")).collect()}
     domains = [d for d in counts if d in share]
     prior = np.array([share[d] for d in domains], dtype=float)
     model = np.array([log_probabilities(counts[d]) for d in domains]) if domains else np.zeros((0, 1 << BITS))
@@ -215,6 +222,9 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
         domain_col: str = "domain") -> tuple[Mixer, DataFrame | None]:
     """The fitted mixer, and the memberships it was fitted on (None without any labelled text)."""
     mixer = classifier(docs, labelled, id_col, text_col, domain_col)
+    mixer.missing = sorted(d for d, share in targets.items() if share > 0 and d not in mixer.domains)
+    if mixer.missing:
+        warnings.warn(f"targets without a labelled text are left out and the others scaled up: {', '.join(mixer.missing)}", stacklevel=3)
     if not mixer.domains:
         return mixer, None
     held = materialize(memberships(docs, mixer, id_col, text_col), "memberships")

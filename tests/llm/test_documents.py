@@ -337,6 +337,16 @@ def test_targets_out_of_reach_give_the_least_residual_and_a_warning(spark):
     assert not mixer.met and slope.min() > -1e-6 and np.abs(slope[rate > 0]).max() < 1e-6
 
 
+def test_rare_domains_are_fitted_and_missing_ones_reported(spark, make_docs):
+    rows = [(i, prose(i, 40, "b" if i == 77 else "a")) for i in range(120)]
+    labelled = spark.createDataFrame([(i, "b" if i == 77 else "a") for i in range(110)] + [(500 + i, "c") for i in range(40)], "doc_id long, domain string")
+    mixer = mixing.classifier(make_docs(rows), labelled, "doc_id", "text", "domain", fit_rows=5)
+    assert mixer.domains == ["a", "b"] and np.allclose(np.exp(mixer.prior), [109 / 110, 1 / 110])
+    with pytest.warns(UserWarning, match="without a labelled text.*: c$"):
+        mixer, held = mixing.fit(make_docs(rows), labelled, {"a": 0.9, "b": 0.05, "c": 0.05})
+    assert mixer.missing == ["c"] and mixer.met and np.allclose(mixer.targets / mixer.targets.sum(), [0.9 / 0.95, 0.05 / 0.95])
+
+
 def test_mixing_keeps_columns_and_handles_missing_labels(spark, make_docs, odd_rows):
     none = spark.createDataFrame([], "doc_id long, domain string")
     found = mixing.mixed(make_docs(odd_rows), none, {"a": 1})
