@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import decontaminate, language_mixture, license_scan, mixing, ngram_join, quality_rules, secret_scan, toxicity, url_filters, warc
+from signalbox.llm import (
+    decontaminate, language_mixture, lexical_search, license_scan, mixing, ngram_join, periodic_runs, quality_rules,
+    secret_scan, token_counts, toxicity, url_filters, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -165,3 +168,60 @@ ranked as (select *, count(*) over (partition by page_id) as n,
 select a.page_id, a.url, a.fetched, n is not null as blocked, coalesce(n, 0) as n_matches, list_name, pattern, valid_from
 from pages_at a left join ranked r on a.page_id = r.page_id and r.r = 1
 """
+
+
+@query
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op11_lexical_search"] = r"""
+with words as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+item_terms as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+total as (select count(*) as documents, cast(sum(len(terms)) as bigint) as length from words where len(terms) > 0),
+postings as (select doc_id, term, count(*) as tf from (select doc_id, unnest(terms) as term from words)
+             where term in (select term from item_terms) group by all),
+weights as (select term, cast(floor(1000 * ln((2 * documents + 2) / (2 * df + 1))) as bigint) as weight
+            from (select term, count(*) as df from postings group by term), total),
+norms as (select doc_id, 10 + (90 * len(terms) * documents) // length as m from words, total where len(terms) > 0),
+impacts as (select doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * m)) as part
+            from postings join weights using (term) join norms using (doc_id)),
+scores as (select item_id, doc_id, cast(sum(part) as bigint) as score from item_terms join impacts using (term) group by all),
+ranks as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranks where rank <= 10
+"""
+
+
+@query
+def op12_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+#: Words of a text as the run detection sees them, and those of every tenth document made periodic from a place on.
+_WORDS = r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: documents chosen by their id repeat their words from a place on, with a period."""
+    hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    listed = hashed.withColumn("words", F.expr(f"case when h % 10 = 0 then {_WORDS} end"))
+    placed = listed.withColumn("n", F.size("words")).withColumn("a", F.expr("case when n > 0 then cast((h div 10) % n as int) end"))
+    cycled = placed.withColumn("p", F.expr("cast(1 + (n - a) div (3 + (h div 10) % 8) as int)"))
+    planted = F.expr(
+        "array_join(concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)), ' ')")
+    return cycled.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    # Runs come by start and period, so the first of the greatest length / period is the one to name.
+    best = F.expr(
+        "reduce(slice(runs, 2, greatest(size(runs) - 1, 0)), get(runs, 0), (b, r) -> if(r.length * b.period > b.length * r.period, r, b))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")

@@ -31,7 +31,7 @@ def rows(spark, name):
 
 def test_all_are_registered():
     assert {*QUERIES, "pipeline"} <= {*contract.queries()}
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
