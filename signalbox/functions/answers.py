@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from signalbox.functions import algebra
 from signalbox.functions.text import bind, last_match, strip
 
 # What counts as a final answer and what is reported when there is none.
@@ -207,7 +208,7 @@ def _same_value(left: Column, right: Column) -> Column:
 def answers_equal(expected: Column, given: Column) -> Column:
     """Equality after normalisation: same spelling or same exact number.
 
-    Anything that needs symbolic algebra is "not equal" here and goes on to the judge.
+    Arithmetic and equations are "not equal" here; :func:`answers_match` compares them too.
     """
     return F.coalesce(
         bind(
@@ -218,6 +219,29 @@ def answers_equal(expected: Column, given: Column) -> Column:
     )
 
 
+def _operands(expected: Column, given: Column) -> tuple[Column, Column, Column]:
+    """Both answers without their boxes, and whether algebra may tell more than their spelling."""
+    left, right = _unwrapped(expected), _unwrapped(given)
+    return left, right, algebra.may_compare(left, right)
+
+
+def answers_match(expected: Column, given: Column) -> Column:
+    """:func:`answers_equal`, or equal as arithmetic, linear expressions or systems of linear equations.
+
+    Only pairs that look like algebra reach Python. Not for use inside higher-order functions.
+    """
+    left, right, open_ = _operands(expected, given)
+    solved = algebra.same_values(F.when(open_, left), F.when(open_, right))
+    return answers_equal(expected, given) | F.coalesce(solved, F.lit(False))
+
+
+def each_matches(expected: Column, given: Column) -> Column:
+    """For an array of answers, whether each equals ``expected`` as algebra; null where none looks like it."""
+    pairs = F.transform(given, lambda g: bind(g, lambda x: F.when(_operands(expected, x)[2], _unwrapped(x))))
+    some = F.exists(pairs, lambda x: x.isNotNull())
+    return algebra.same_values_each(F.when(some, _unwrapped(expected)), F.when(some, pairs))
+
+
 def choice_letter(index: Column) -> Column:
     """0 -> A, 1 -> B, ..."""
     return F.char(index + F.lit(65))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from signalbox.functions.answers import (
     EXTRACTION_FAILED,
     answers_equal,
+    answers_match,
+    each_matches,
     extract_answer,
     extraction_failed,
     gold_answer,
@@ -54,10 +56,12 @@ def explode_responses(
     return rows.select(*kept, "response_idx", "_response.*")
 
 
-def grade_in_place(results: DataFrame, verifier: Verifier = answers_equal) -> DataFrame:
+def grade_in_place(results: DataFrame, verifier: Verifier | None = None) -> DataFrame:
     """Grade inside the response array: no explode, no shuffle, the order kept.
 
-    Every response is tagged ``math_verify`` and keeps the raw extract, "not found" included.
+    Every response is tagged ``math_verify`` and keeps the raw extract, "not found" included. Algebra is
+    compared for whole arrays, of those questions that have some; a ``verifier`` of your own, of
+    expressions that may stand inside a lambda, decides alone.
     """
 
     def graded(text: Column, gold: Column) -> Column:
@@ -66,7 +70,7 @@ def grade_in_place(results: DataFrame, verifier: Verifier = answers_equal) -> Da
             lambda answer: F.struct(
                 text.alias("full_response"),
                 answer.alias("extracted_answer"),
-                verifier(gold, answer).alias("is_correct"),
+                (verifier or answers_equal)(gold, answer).alias("is_correct"),
                 F.lit(MATH_VERIFY).alias("extraction_method"),
                 F.lit(None).cast("string").alias("judge_explanation"),
             ),
@@ -74,10 +78,16 @@ def grade_in_place(results: DataFrame, verifier: Verifier = answers_equal) -> Da
 
     with_gold = results.withColumn("_gold", row_gold())
     responses = F.transform("responses", lambda r: graded(r["full_response"], F.col("_gold")))
-    return with_gold.withColumn("responses", responses).drop("_gold")
+    found = with_gold.withColumn("responses", responses)
+    if verifier is None:
+        found = found.withColumn("_solved", each_matches(F.col("_gold"), F.col("responses.extracted_answer")))
+        solved = F.transform(
+            "responses", lambda r, i: r.withField("is_correct", r["is_correct"] | F.coalesce(F.get("_solved", i), F.lit(False))))
+        found = found.withColumn("responses", F.when(F.col("_solved").isNull(), F.col("responses")).otherwise(solved)).drop("_solved")
+    return found.drop("_gold")
 
 
-def grade_rows(rows: DataFrame, verifier: Verifier = answers_equal) -> DataFrame:
+def grade_rows(rows: DataFrame, verifier: Verifier = answers_match) -> DataFrame:
     """Exploded form of :func:`grade_in_place`: adds extract, correctness and method."""
     graded = rows.withColumn("extracted_answer", extract_answer(F.col("full_response")))
     return graded.withColumn(
@@ -85,7 +95,7 @@ def grade_rows(rows: DataFrame, verifier: Verifier = answers_equal) -> DataFrame
     ).withColumn("extraction_method", F.lit(MATH_VERIFY))
 
 
-def grade_math_only(rows: DataFrame, verifier: Verifier = answers_equal) -> DataFrame:
+def grade_math_only(rows: DataFrame, verifier: Verifier = answers_match) -> DataFrame:
     """First phase of judged grading: ``extracted_answer, is_correct, needs_judge``."""
     found = rows.withColumn("_found", extract_answer(F.col("full_response")))
     failed = extraction_failed(F.col("_found"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalbox.functions.answers import EXTRACTION_FAILED, extract_answer
+from signalbox.functions.answers import EXTRACTION_FAILED, answers_match, extract_answer
 from signalbox.operators import grading, metrics, publish, resume
 from signalbox.operators.stages import judge_stage
 from signalbox.plans import views
@@ -74,6 +74,43 @@ def verify(spark, d):
     )
 
 
+@query("verify_algebra", """
+with numbers as (
+  select l_orderkey, l_linenumber, cast(l_quantity as bigint) as q, l_partkey % 97 + 1 as p, l_suppkey % 13 + 1 as s,
+         case when l_orderkey % 3 = 0 then 1 else 0 end as d, l_orderkey % 4 as kind from lineitem)
+select l_orderkey, l_linenumber, d = 0 as is_correct,
+       case kind when 0 then concat(q, ' + ', p, ' * (', s, ' - 3)')
+                 when 1 then concat('\\frac{', q, '}{', s, '} + \\frac{', p, '}{', s, '}')
+                 when 2 then concat('x + y = ', q + p, chr(10), 'x - y = ', q - p)
+                 else concat(q, '^2 - ', p) end as expected,
+       case kind when 0 then concat('\\boxed{', q + p * (s - 3) + d, '}')
+                 when 1 then concat('(', q + p + d, ') / ', s)
+                 when 2 then concat('x = ', q + d, chr(10), 'y = ', p)
+                 else concat(q * q - p + d) end as given
+from numbers""")
+def verify_algebra(spark, d):
+    """Arithmetic, fractions, systems and powers with the numbers of order lines; every third order is off by one."""
+    wrong, kind = F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(0), F.col("l_orderkey") % 4
+    numbers = views.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"), (F.col("l_partkey") % 97 + 1).alias("p"),
+        (F.col("l_suppkey") % 13 + 1).alias("s"), wrong.alias("d"), kind.alias("kind"))
+    q, p, s, d = (F.col(c) for c in "qpsd")
+
+    def text(*parts):
+        return F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+
+    def of_kind(*texts):
+        return F.coalesce(*(F.when(F.col("kind") == k, t) for k, t in enumerate(texts)))
+
+    expected = of_kind(
+        text(q, " + ", p, " * (", s, " - 3)"), text("\\frac{", q, "}{", s, "} + \\frac{", p, "}{", s, "}"),
+        text("x + y = ", q + p, "\n", "x - y = ", q - p), text(q, "^2 - ", p))
+    given = of_kind(
+        text("\\boxed{", q + p * (s - 3) + d, "}"), text("(", q + p + d, ") / ", s), text("x = ", q + d, "\ny = ", p), text(q * q - p + d))
+    texts = numbers.select("l_orderkey", "l_linenumber", expected.alias("expected"), given.alias("given"))
+    return texts.withColumn("is_correct", answers_match(F.col("expected"), F.col("given")))
+
+
 @query("grade_math_only", with_views(*GRADED) + f"""
 select unique_id, response_idx,
        case when extracted_answer in ('', 'No answer found in formatted output') then '{EXTRACTION_FAILED}'

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import random
 import re
+import time
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalbox.functions import answers
+from signalbox.functions import algebra, answers
 from signalbox.functions.text import is_failed_response, is_url, mime_type, strip, title_case
+from signalbox.operators import grading
 
 TOKENS = [
     "<answer>", "</answer>", "\\boxed{", "{", "}", "$", "$$", "x", " ", "\n", "\r", " ", "\x85", "é", "42", "\\frac{1}{2}", "\t",
@@ -95,10 +99,21 @@ PAIRS = [
     ("1,000", "1000", True), ("50\\%", "50", True), ("75^\\circ", "75", True), ("$3$", " 3.0 ", True),
     ("1/0", "1/0", True), ("1/0", "2/0", False), ("", "", False), ("a", "A", False), (None, "1", False),
     ("12345678901234567890", "12345678901234567891", False), ("0.1234567", "0.1234568", False),
-    # needs algebra, so it is left to the judge
+    # arithmetic is not a matter of spelling: answers_match compares it
     ("1 + 1", "2", False), ("1 + 1", "3", False),
 ]
 
+ALGEBRA = [
+    ("1 + 1", "2", True), ("1 + 1", "3", False), ("x + y = 3\ny = 1", "x = 2\ny = 1", True),
+    ("x + y = 3\ny = 1", "x = 1\ny = 2", False), ("\\boxed{1 + 1}", "$2$", True), ("2x = 4", "x = 2", True),
+    ("\\frac{1}{2} + \\frac{1}{3}", "5/6", True), ("-2^2", "-4", True), ("2^3^2", "512", True), ("2^{-1}", "0.5", True),
+    ("3(4 + 1)", "15", True), ("x + 1", "1 + x", True), ("\\frac{2}{3}x", "2x/3", True), ("12/4/3", "1", True),
+    ("1,000 + 1", "1001", True), ("2 \\cdot 3", "6", True), ("x = 3, y = 4", "y = 4, x = 3", True), ("x = y = 3", "x = 3; y = 3", True),
+    ("x = 1 + 1", "m = 2", True), ("x + y = 3", "x = 3", False), ("1/0 + 1", "1/0 + 1", True), ("0 = 1", "1 = 2", False),
+    ("x*x", "x^2", False), ("2^99999999", "2^99999999 + 0", False), ("(1 + 1", "2", False), ("\\frac12 + 0", "0.5", False),
+    ("x = 1, x = 2", "x = 2, x = 1", False), ("x = 2\ny = 1", "1", False), ("1 + 1", None, False),
+]
+
 
 def test_answers_equal_both_ways(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(PAIRS)], "i int, a string, b string")
@@ -107,6 +122,86 @@ def test_answers_equal_both_ways(spark):
         assert [r.o for r in got] == [want for _, _, want in PAIRS]
 
 
+def test_answers_match_both_ways(spark):
+    cases = PAIRS[:-2] + ALGEBRA
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    for left, right in (("a", "b"), ("b", "a")):
+        got = df.select("i", answers.answers_match(F.col(left), F.col(right)).alias("o")).orderBy("i").collect()
+        assert [(cases[r.i], r.o) for r in got] == [(c, c[2]) for c in cases]
+
+
+def test_algebra_is_graded_in_place_row_by_row_and_in_phases(spark):
+    rows = [
+        (i, None, None, gold, [(given,), ("<answer>$7$</answer>",), (None,), ("no answer here",)])
+        for i, (gold, given, _) in enumerate(ALGEBRA) if given and "\n" not in given]
+    schema = "unique_id int, is_mcq boolean, choice_index_correct int, answer_correct string, responses array<struct<full_response:string>>"
+    tagged = F.transform("responses", lambda r: F.struct(F.when(
+        r["full_response"].contains("answer"), r["full_response"]).otherwise(F.concat(F.lit("<answer>"), r["full_response"], F.lit("</answer>"))).alias("full_response")))
+    results = spark.createDataFrame(rows, schema).withColumn("responses", tagged)
+    wanted = {i: ALGEBRA[i][2] for i, *_ in rows}
+    nested = {r.unique_id: [x.is_correct for x in r.responses] for r in grading.grade_in_place(results).collect()}
+    assert nested == {i: [want, False, False, False] for i, want in wanted.items()}
+    flat = grading.explode_responses(results)
+    for graded in (grading.grade_rows(flat), grading.grade_math_only(flat)):
+        assert {(r.unique_id, r.response_idx): r.is_correct for r in graded.collect()} == {
+            (i, n): ok for i, oks in nested.items() for n, ok in enumerate(oks)}
+
+
+def _expression(rng, depth):
+    """A random expression and its value; None where it divides by zero."""
+    if depth == 0 or rng.random() < 0.2:
+        n = rng.randrange(12)
+        return str(n), Fraction(n)
+    (a, x), (b, y) = _expression(rng, depth - 1), _expression(rng, depth - 1)
+    op = rng.choice("+-*/^n")
+    if op == "n":
+        return f"(-{a})" if a.isdigit() else f"-({a})", None if x is None else -x
+    if op == "^":
+        power = rng.randrange(4)
+        return f"({a})^{power}", None if x is None or not x and not power else x**power
+    value = None if x is None or y is None or op == "/" and not y else {
+        "+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: x / y}[op]()
+    return rng.choice([f"({a}) {op} ({b})", f"\\left({a}\\right){op}{{{b}}}" if op != "/" else f"\\frac{{{a}}}{{{b}}}"]), value
+
+
+def test_arithmetic_against_rationals():
+    rng = random.Random(4)
+    for _ in range(3000):
+        text, value = _expression(rng, rng.randrange(1, 5))
+        if value is None:
+            assert not algebra.same_value(text, "1") and not algebra.same_value("0", text)
+        else:
+            assert algebra.same_value(text, str(value)), text
+            assert not algebra.same_value(text, str(value + 1)), text
+
+
+def test_systems_against_their_solutions():
+    rng = random.Random(6)
+    for n in (1, 2, 3, 5):
+        for _ in range(60):
+            names, solution = [f"x_{i}" for i in range(n)], [rng.randrange(-9, 10) for _ in range(n)]
+            rows = [[rng.randrange(-4, 5) for _ in range(n)] for _ in range(n)]
+            sums = [sum(c * v for c, v in zip(row, solution)) for row in rows]
+            text = "\n".join(" + ".join(f"({c}){v}" for c, v in zip(row, names)) + f" = {total}" for row, total in zip(rows, sums))
+            solved = "; ".join(f"{name} = {v}" for name, v in zip(names, solution))
+            off = "; ".join(f"{name} = {v + 1}" for name, v in zip(names, solution))
+            regular = round(abs(np.linalg.det(np.array(rows, dtype=float)))) > 0
+            assert algebra.same_value(text, solved) == regular or n == 1
+            assert not algebra.same_value(text, off) or n == 1 and rows[0][0] == 0
+            rng.shuffle(rows)
+
+
+def test_algebra_takes_linear_time():
+    def seconds(n):
+        start = time.perf_counter()
+        assert algebra.same_value("+".join(["1"] * n), str(n)) and algebra.same_value("(" * n + "1" + ")" * n, "1")
+        assert not algebra.same_value("+".join(f"1/{2 * i + 1}" for i in range(n)), "1")
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 16 * seconds(20_000) + 0.5
+
+
 def test_gold_answer(spark):
     df = spark.createDataFrame(
         [(1, True, 2, "x"), (2, False, None, "x"), (3, None, None, "y"), (4, True, None, "z")],
