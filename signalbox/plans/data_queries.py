@@ -196,6 +196,14 @@ def indexed(spark, d):
     return splits.dense_index(_documents(spark, d).select("doc_id"), "doc_id")
 
 
+@query("dense_index_text", """
+select doc_id, row_number() over (order by concat('document-00000000', doc_id)) - 1 as idx from documents""")
+def indexed_by_text(spark, d):
+    """Text keys that all begin alike."""
+    keyed = _documents(spark, d).select("doc_id", F.concat(F.lit("document-00000000"), F.col("doc_id")).alias("key"))
+    return splits.dense_index(keyed, "key").drop("key")
+
+
 @query("batch_index", with_views(_INDEXED) + "select doc_id, cast(idx // 30 as bigint) as batch from indexed")
 def batches(spark, d):
     numbered = splits.dense_index(_documents(spark, d).select("doc_id"), "doc_id")
@@ -224,6 +232,20 @@ def split_thirds(spark, d):
     return splits.deterministic_split(numbered, val_fraction=0.33, test_fraction=0.33)
 
 
+@query("deterministic_split_fine", _split_sql(123457, 100000, 1000000) + "select doc_id, idx, split from assigned")
+def split_fine(spark, d):
+    """Fractions that repeat only after a million rows."""
+    numbered = splits.dense_index(_documents(spark, d).select("doc_id"), "doc_id")
+    return splits.deterministic_split(numbered, val_fraction=0.123457, test_fraction=0.1)
+
+
+@query("deterministic_split_narrow", _split_sql(4999, 5000, 10000) + "select doc_id, idx, split from assigned")
+def split_narrow(spark, d):
+    """Fractions that leave one row in ten thousand to train: minima over blocks of numbers."""
+    numbered = splits.dense_index(_documents(spark, d).select("doc_id"), "doc_id")
+    return splits.deterministic_split(numbered, val_fraction=0.4999, test_fraction=0.5)
+
+
 _FLOAT_SQL = """with recursive """ + _INDEXED + """,
 steps(idx, v, t, split) as (
   select cast(-1 as bigint), cast(0 as double), cast(0 as double), ''

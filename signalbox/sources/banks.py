@@ -5,9 +5,8 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from signalbox.operators.splits import dense_index
+from signalbox.operators.splits import first_rows
 
 _log = logging.getLogger(__name__)
 
@@ -19,8 +18,8 @@ def read_bank(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 def limit_questions(df: DataFrame, num_problems: int | str, order_col: str) -> DataFrame:
     """First ``num_problems`` questions in order, or all for ``"all"`` and non-positive numbers.
 
-    Rows are numbered by :func:`dense_index`, so no task gathers them whatever the limit, and any
-    type it orders will do. Questions without an order value come last.
+    See :func:`first_rows`: only questions up to a cut are shuffled and sorted, whatever the limit, and any
+    type that Spark sorts will do. Questions without an order value come last.
     """
     if isinstance(num_problems, str) and num_problems.lower() == "all":
         return df
@@ -29,4 +28,4 @@ def limit_questions(df: DataFrame, num_problems: int | str, order_col: str) -> D
     if num_problems <= 0:
         _log.warning("num_problems %s is not positive; taking all", num_problems)
         return df
-    return dense_index(df, order_col, name="_row").filter(F.col("_row") < num_problems).drop("_row")
+    return first_rows(df, order_col, num_problems)
