@@ -114,9 +114,35 @@ def merge_arrays(existing: Column, new: Column, k: int) -> Column:
     return F.when(F.size(usable) >= k, F.transform(existing, refill)).otherwise(F.concat(usable, new))
 
 
+#: Bits of the table that says which ids may be among some others: 8 MB at the most, whatever their number.
+_ID_BITS = 1 << 26
+
+
+def _id_place(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(_ID_BITS))
+
+
+def with_membership(rows: DataFrame, ids: DataFrame, name: str = "_listed", key: str = "unique_id") -> DataFrame:
+    """Adds ``name``: false for rows whose ``key`` is certainly not in ``ids``, without shuffling ``rows``.
+
+    The ids set bits of a table of fixed size, which is broadcast. A row that only shares a bit with an id
+    is true as well, so whoever needs the exact answer joins the few true rows. A null key is false.
+    """
+    number, position = F.bitmap_bucket_number(_id_place(key)), F.bitmap_bit_position(_id_place(key))
+    bits = ids.where(F.col(key).isNotNull()).groupBy(number.alias("_number")).agg(F.bitmap_construct_agg(position).alias("_bits"))
+    octet = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(position, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(octet, (position % 8).cast("int")) == 1
+    found = rows.withColumn("_number", number).join(F.broadcast(bits), "_number", "left")
+    return found.withColumn(name, F.coalesce(F.col(key).isNotNull() & held, F.lit(False))).drop("_number", "_bits")
+
+
 def retry_merge(existing: DataFrame, fresh: DataFrame, k: int) -> DataFrame:
-    """Fresh results with their responses merged into the stored ones of the same question."""
-    stored = existing.select("unique_id", F.col("responses").alias("_stored"))
+    """Fresh results with their responses merged into the stored ones of the same question.
+
+    Of the stored rows only those that may be among the fresh ones reach the join.
+    """
+    listed = with_membership(existing.select("unique_id", F.col("responses").alias("_stored")), fresh.select("unique_id"))
+    stored = listed.where("_listed").drop("_listed")
     joined = fresh.join(stored, "unique_id", "left")
     merged = F.when(F.col("_stored").isNull(), F.col("responses")).otherwise(
         merge_arrays(F.col("_stored"), F.col("responses"), k)
@@ -124,10 +150,17 @@ def retry_merge(existing: DataFrame, fresh: DataFrame, k: int) -> DataFrame:
     return joined.withColumn("responses", merged).drop("_stored")
 
 
+def untouched(existing: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored rows whose id is not in ``fresh``; only rows that may be among those are joined."""
+    ids = fresh.select("unique_id")
+    listed = with_membership(existing, ids)
+    kept = listed.where("not _listed").drop("_listed")
+    return kept.unionByName(listed.where("_listed").drop("_listed").join(ids, "unique_id", "left_anti"))
+
+
 def upsert(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     """Stored rows whose id is not in the batch, plus the batch."""
-    untouched = existing.join(fresh.select("unique_id"), "unique_id", "left_anti")
-    return untouched.unionByName(fresh)
+    return untouched(existing, fresh).unionByName(fresh)
 
 
 def dedup_last(df: DataFrame, key: str, order: str) -> DataFrame:

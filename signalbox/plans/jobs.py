@@ -14,7 +14,7 @@ from signalbox.operators.splits import batch_index, dense_index
 from signalbox.operators.stages import Generator, Judge, all_failed, generate_nested
 from signalbox.schemas import RESULT_COLUMNS
 from signalbox.sources.jsonl import fill_defaults
-from signalbox.sources.store import BatchLog, ResultStore
+from signalbox.sources.store import BatchLog, ResultStore, VersionedTable, matching_paths
 
 
 def grade_job(
@@ -56,16 +56,15 @@ def _stored_form(results: DataFrame) -> DataFrame:
 def _collect_batches(
     planned: DataFrame,
     log: BatchLog,
-    existing: DataFrame | None,
     generator: Generator,
     k: int,
-    batches: int,
+    batches: list[int],
     max_workers: int,
     on_all_failed: str,
 ) -> DataFrame | None:
-    """Generate and commit one batch after the other; finished batches are not repeated."""
+    """Generate and commit one batch after the other; finished batches are not repeated. None without any."""
     done = set(log.done())
-    for number in range(batches):
+    for number in batches:
         if number in done:
             continue
         part = with_prompts(planned.filter(F.col("batch") == number).drop("batch"))
@@ -73,10 +72,12 @@ def _collect_batches(
         stored = log.commit(number, _stored_form(fresh))
         if on_all_failed == "stop" and all_failed(stored):
             break
-    collected = log.read()
-    if collected is None or existing is None:
-        return collected
-    return resume.retry_merge(existing, collected, k)
+    return log.read()
+
+
+def _nothing_collected(plan: DataFrame, generator: Generator, k: int) -> DataFrame:
+    """An empty result table, in the form that a run over ``plan`` would store."""
+    return _stored_form(generate_nested(with_prompts(plan.limit(0)), generator, k))
 
 
 def collect_job(
@@ -95,36 +96,41 @@ def collect_job(
     """Collect ``k`` responses per open question and upsert them into the result store.
 
     The plan of a run is written once, partitioned by batch, so a batch reads only its own rows;
-    each batch is generated, committed and never redone, and the store is rewritten once per run
-    rather than once per batch. A run that was interrupted continues when called again with the same
-    ``run_path``. It always merges into the responses of the version it started from, so calling it
-    again, or after a partial merge, changes nothing that is already merged.
+    each batch is generated, committed and never redone, and the store is changed once per run
+    rather than once per batch, in the buckets of the collected ids alone. A run that was interrupted
+    continues when called again with the same ``run_path``. It always merges into the responses of the
+    version it started from, so calling it again, or after a partial merge, changes nothing that is
+    already merged. With nothing to collect the store stays as it is; the result is empty if there is none.
     """
     spark: SparkSession = dataset.sparkSession
     store = ResultStore(spark, store_path)
     run_path = run_path or f"{store_path.rstrip('/')}/run-{(store.version() or 0) + 1}"
-    started = ResultStore(spark, f"{run_path}/base")
+    started = VersionedTable(spark, f"{run_path}/base")
     if started.read() is None:
         started.replace(spark.createDataFrame([(store.version(),)], "version long").coalesce(1))
     base = started.read().first().version
     existing = None if base is None else store.read(base)
-    plan_store = ResultStore(spark, f"{run_path}/plan")
-    planned = plan_store.read()
-    if planned is None:
-        if plan is None:
-            empty = spark.createDataFrame([], "unique_id string, status string, failed_slots array<int>")
-            status = resume.response_status(existing) if existing is not None else empty
-            plan = resume.resume_plan(resume.with_default_id(dataset, order_col), status, retry_failed, k)
+    if plan is None:
+        empty = spark.createDataFrame([], "unique_id string, status string, failed_slots array<int>")
+        status = resume.response_status(existing) if existing is not None else empty
+        plan = resume.resume_plan(resume.with_default_id(dataset, order_col), status, retry_failed, k)
+    plan_table = VersionedTable(spark, f"{run_path}/plan")
+    if plan_table.version() is None:
         numbered = dense_index(plan, order_col, name="_row")
         batched = numbered.withColumn("batch", batch_index(F.col("_row"), batch_size)).drop("_row")
-        planned = plan_store.replace(batched, partition_by="batch")
-    batches = (planned.agg(F.max("batch").alias("m")).first().m or 0) + 1
-    log, merges = BatchLog(spark, run_path), ResultStore(spark, f"{run_path}/merged")
-    merged = _collect_batches(planned, log, existing, generator, k, batches, max_workers, on_all_failed)
+        plan_table.replace(batched, partition_by="batch")
+    batches = sorted(int(path.rsplit("=", 1)[1]) for path in matching_paths(spark, f"{plan_table.path()}/batch=*"))
+    log, merges = BatchLog(spark, run_path), VersionedTable(spark, f"{run_path}/merged")
+    collected = None
+    if batches:
+        collected = _collect_batches(plan_table.read(), log, generator, k, batches, max_workers, on_all_failed)
     finished = len(log.done())
-    if merged is None or merges.version() == finished:
-        return store.read()
-    result = store.upsert(merged)
+    if collected is None or merges.version() == finished:
+        current = store.read()
+        return _nothing_collected(plan, generator, k) if current is None else current
+    if existing is not None:
+        collected = resume.retry_merge(store.read(base, store.touched(collected, base)), collected, k)
+    result = store.upsert(collected)
     spark.range(1).write.mode("overwrite").parquet(f"{run_path}/merged/v={finished}")
     return result
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from signalbox.operators import evaluation
 from signalbox.schemas import PREDICTION_WITH_ID, PREDICTION_WITH_INDEX, QUESTION, RAW_RESULT
 from signalbox.sources import images, jsonl, predictions
-from signalbox.sources.store import BatchLog, ResultStore, write_result_layout
+from signalbox.operators import resume
+from signalbox.sources.store import BatchLog, ResultStore, matching_paths, materialize, write_result_layout
 
 GOOD = {"unique_id": "a", "problem": "é?", "is_mcq": False, "category": "c", "responses": [{"full_response": "x"}]}
 
@@ -85,6 +86,54 @@ def test_store_versions(spark, tmp_path):
     assert log.done() == [0, 1] and log.read().count() == 4 and log.read().columns == ["unique_id", "v"]
 
 
+def _folders(store):
+    return {path.rsplit("=", 1)[1] for path in matching_paths(store.spark, f"{store.root}/data/v={store.version()}/id_bucket=*")}
+
+
+def test_store_writes_only_touched_buckets_and_keeps_versions(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "store"), buckets=50)
+    rows = spark.range(3000).selectExpr("concat('q', id) as unique_id", "id as v").union(spark.createDataFrame([(None, -1)], "unique_id string, v long"))
+    store.replace(rows)
+    assert len(_folders(store)) == 50
+    fresh = spark.createDataFrame([("q7", 70), ("q11", 110), ("new", 1)], "unique_id string, v long")
+    found = {r.unique_id: r.v for r in ResultStore(spark, store.root).upsert(fresh).collect()}
+    assert found == {**{f"q{i}": i for i in range(3000)}, None: -1, "q7": 70, "q11": 110, "new": 1}
+    assert 1 <= len(_folders(store)) <= 3 and store.touched(fresh, 2) == {int(b) for b in _folders(store)}
+    assert {r.unique_id: r.v for r in store.read(1).collect()} == {**{f"q{i}": i for i in range(3000)}, None: -1}
+    some = {r.unique_id for r in store.read(buckets=store.touched(fresh, 2)).collect()}
+    assert {"q7", "q11", "new"} <= some and len(some) < 400
+    store.replace(rows.limit(1))
+    assert store.read().count() == 1
+
+
+def test_store_of_nothing_and_an_unfinished_version(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "store"))
+    empty = spark.createDataFrame([], "unique_id string, v int, responses array<struct<full_response:string>>")
+    assert store.replace(empty).schema == empty.schema and store.read().count() == 0
+    store.upsert(spark.createDataFrame([("a", 1, [("x",)])], empty.schema))
+    assert store.upsert(empty).count() == 1
+    (tmp_path / "store" / "v=9").mkdir()
+    assert store.version() == 3
+
+
+def test_stored_texts_are_not_shuffled_for_a_few_ids(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "store"), buckets=4)
+    store.replace(spark.range(20_000).selectExpr("concat('q', id) as unique_id", "repeat('x', 50) as t"))
+    fresh = materialize(spark.createDataFrame([("q1", "new"), ("q2", "new")], "unique_id string, t string"), "fresh")
+    kept = resume.untouched(store.read(), fresh)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        listed = resume.with_membership(store.read(), fresh.select("unique_id"))
+        plan = listed.where("not _listed")._jdf.queryExecution().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert listed.where("_listed").count() <= 4 and {"q1", "q2"} <= {r.unique_id for r in listed.where("_listed").collect()}
+        assert kept.count() == 19_998
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+
 def test_result_layout(spark, tmp_path):
     df = spark.createDataFrame([("org/set", "team/router", 1)], "dataset string, router string, v int")
     write_result_layout(df, str(tmp_path / "results"))

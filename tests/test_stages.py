@@ -171,6 +171,28 @@ def test_a_repeated_run_changes_nothing(spark, tmp_path, stop):
         assert again[0] == again[1] == again[2]
 
 
+def test_collect_with_nothing_to_do(spark, tmp_path):
+    path = str(tmp_path / "store")
+    nothing = jobs.collect_job(dataset(spark, "x").limit(0), str(tmp_path / "none"), steady, k=2)
+    assert nothing.count() == 0 and {"unique_id", "responses"} <= {*nothing.columns}
+    data = dataset(spark, "q0", "q1")
+    first = stored(jobs.collect_job(data, path, flaky, k=2))
+    calls = tmp_path / "calls"
+
+    def counted(request):
+        calls.write_text("called")
+        return steady(request)
+
+    done = stored(jobs.collect_job(dataset(spark, "q0"), path, counted, k=2, retry_failed=True))
+    assert stored(jobs.collect_job(data, path, counted, k=2)) == done == first and not calls.exists()
+    assert stored(jobs.collect_job(data.limit(0), path, counted, k=2, run_path=str(tmp_path / "run"))) == first
+    assert stored(jobs.collect_job(data.limit(0), path, counted, k=2, run_path=str(tmp_path / "run"))) == first
+    assert ResultStore(spark, path).version() == 1 and not calls.exists()
+    weak = grading.grade_in_place(results(spark, ROWS)).withColumn("idx", F.lit(1).cast("long")).limit(0)
+    assert stored(jobs.cascade_job(weak, path, counted, str(tmp_path / "failed"), k=2)) == first
+    assert stored(jobs.cascade_job(weak, str(tmp_path / "empty"), counted, str(tmp_path / "failed2"), k=2)) == {}
+
+
 def test_python_stages_keep_values_exact(spark):
     big = 9007199254740993
     rows = spark.createDataFrame([("a", big, 1), ("b", None, None)], "unique_id string, big long, choice int")
