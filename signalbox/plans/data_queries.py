@@ -499,6 +499,39 @@ def collected(spark, d):
     return _joined_responses(made)
 
 
+@query("collect_job_resumed", with_views(_GENERATED) + """
+select unique_id, string_agg(t, '|' order by i) as responses from generated group by unique_id""")
+def collected_again(spark, d):
+    """A store that holds part of the questions; the run collects the rest, and one more run finds nothing left."""
+    from signalbox.plans.jobs import collect_job
+
+    ship_package()
+    dataset, path = views.questions(spark, d), fresh_dir(spark, "collected")
+    options = {"k": 2, "order_col": "doc_id", "max_workers": 4}
+    for part in (dataset.where("is_mcq"), dataset, dataset):
+        made = collect_job(part, path, echo_generator, **options)
+    return _joined_responses(made)
+
+
+def again_generator(request):
+    """A stand-in for a model that is up again."""
+    return f"again {request['response_idx']}"
+
+
+@query("collect_job_retry", with_views(_GENERATED) + """
+select unique_id, concat_ws('|', string_agg(case when bad = 0 or kind > 1 then t end, '|' order by i), case when bad > 0 then 'again 0|again 1' end) as responses
+from (select *, count(*) filter (kind < 2) over (partition by unique_id) as bad from generated) group by unique_id, bad""")
+def collected_retry(spark, d):
+    """Failed samples are collected again and merged into the stored ones."""
+    from signalbox.plans.jobs import collect_job
+
+    ship_package()
+    dataset, path = views.questions(spark, d), fresh_dir(spark, "collected")
+    options = {"k": 2, "order_col": "doc_id", "max_workers": 4}
+    collect_job(dataset, path, echo_generator, **options)
+    return _joined_responses(collect_job(dataset, path, again_generator, retry_failed=True, **options))
+
+
 @query("cascade_job", with_views(*GRADED, _GENERATED) + """
 select unique_id, string_agg(t, '|' order by i) as responses from generated
 where unique_id in (select unique_id from graded group by unique_id
