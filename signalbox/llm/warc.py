@@ -3,9 +3,9 @@
 Writing is DataFrame expressions only. A capture becomes a response record, or a revisit record if an
 earlier one has the same payload, with a request and a metadata record that name it in
 WARC-Concurrent-To. A record ends with two line ends, which is the separator of the text writer, so
-the files are archives as they are; their number follows the bytes written.
+the files are archives as they are; Spark sizes them as it sizes the parts of a shuffle.
 
-Reading takes whole files from any store Spark reads, and cuts records by Content-Length. Assembly
+Reading streams files from any store Spark reads, and cuts records by Content-Length. Assembly
 joins requests, responses and metadata through their concurrent-to identifiers, in either direction
 and over several hops, and gives one nested row per capture.
 """
@@ -14,20 +14,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import re
-import zlib
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalbox.session import fresh_dir
 from signalbox.sources.store import materialize
 
-#: Payload bytes of one archive file, about.
-FILE_BYTES = 16 << 20
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_REVISIT_BYTES = 0
 
@@ -58,43 +55,44 @@ def _record(kind, record_id, uri, block, *headers):
 
 def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
              least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """``id, url, html, bytes, digest, record_id, first, refers_to``: each row of ``pages``, the first id with its payload, and its record.
+    """``id, url, html, bytes, digest, record_id, revisit, refers_to, copies``: the different rows of ``pages``.
 
-    ``first`` is null for a response. Of rows with equal payloads of ``least_bytes`` or more the one of
-    the smallest id is the response; a row without an id is a response only if no row with an id has
-    its payload. Equal rows are one capture; rows that share an id are captures of their own.
+    ``copies`` tells how many rows are equal in id, url and payload. Of rows with equal payloads of
+    ``least_bytes`` or more one is the response, that of the smallest id, and of the smallest url among
+    those; a row without an id only if no row with an id has its payload. ``revisit`` marks the others,
+    and ``refers_to`` is the record of that response.
     """
     rows = pages.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     keyed = rows.withColumns({
         "bytes": F.octet_length("html").cast("long"), "digest": base32_sha1(F.col("html"))})
-    keyed = keyed.withColumn("record_id", _record_id("main", F.col("id"), F.col("url"), F.col("digest")))
-    # All decisions are made on a narrow table; payloads are shuffled once, into as many parts as files.
-    narrow = materialize(keyed.select("id", "url", "bytes", "digest", "record_id"), "captures")
-    size = narrow.agg(F.sum("bytes"), F.count("*")).first()
-    files = max(1, math.ceil(((size[0] or 0) + 1500 * size[1]) / FILE_BYTES))
-    large = narrow.where(F.col("bytes") >= least_bytes)
-    again = large.groupBy("digest", "bytes").agg(
-        F.min("id").alias("first"), F.count("*").alias("held")).where("held > 1")
-    urls = large.where("id is not null").join(again.select("digest", "bytes", "first"), ["digest", "bytes"]).where("id = first").groupBy(
-        "digest", "bytes", "first").agg(F.min("url").alias("first_url"))
-    revisits = large.join(urls, ["digest", "bytes"]).where("id is null or id <> first").select(
-        "record_id", "first", _record_id("main", F.col("first"), F.col("first_url"), F.col("digest")).alias("refers_to")).distinct()
-    joined = keyed.repartition(files, "record_id").join(revisits.hint("merge"), "record_id", "left")
-    copies = W.partitionBy("record_id").orderBy("record_id")
-    return joined.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1").drop("_copy")
+    keyed = keyed.withColumn("record_id", _record_id(F.lit("main"), F.col("id"), F.col("url"), F.col("digest")))
+    # All decisions are made on a narrow table; payloads are shuffled once, one of each set of equal rows.
+    narrow = materialize(
+        keyed.groupBy("record_id", "digest", "bytes", "id", "url").agg(F.count("*").alias("copies")), "captures")
+    place = F.struct(F.col("id").isNull().alias("missing"), "id", "url", "record_id")
+    repeated = narrow.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(
+        F.min(place)["record_id"].alias("refers_to"), F.sum("copies").alias("held")).where("held > 1").drop("held")
+    decided = narrow.join(repeated, ["digest", "bytes"], "left").select(
+        "record_id", "copies", "refers_to", F.coalesce(F.col("refers_to") != F.col("record_id"), F.lit(False)).alias("revisit"))
+    return keyed.dropDuplicates(["record_id"]).join(decided.hint("merge"), "record_id")
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                    least_bytes: int = LEAST_REVISIT_BYTES, compression: str = "gzip") -> None:
-    """Archive files below ``path``: three records for each capture of ``pages``.
+    """Archive files below ``path``: three records for each row of ``pages``, equal rows included.
 
     The request is a plain GET; the metadata record carries the id of the page. A null url or payload
     is empty. Line breaks in a url are escaped, since a header is one line.
     """
     found = captures(pages, id_col, url_col, html_col, least_bytes)
+    # Equal rows are captures of their own: the first keeps the record's name, and further ones revisit it.
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    further = F.col("copy") > 1
+    found = found.withColumn("revisit", F.col("revisit") | further & F.col("refers_to").isNotNull()).withColumn(
+        "record_id", F.when(further, _record_id(F.lit("copy"), F.col("record_id"), F.col("copy"))).otherwise(F.col("record_id")))
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    main, first = F.col("record_id"), F.col("first").isNull()
+    main, first = F.col("record_id"), ~F.col("revisit")
 
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "),
                     F.col("bytes").cast("string"), F.lit(2 * _END))
@@ -119,91 +117,133 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
+#: What stands before every record of a file but the first.
+_SEPARATOR = b"\r\n\r\nWARC/1."
 _FIELDS = [("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("concurrent_to", pa.list_(pa.string())),
            ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("fields", pa.map_(pa.string(), pa.string())),
-           ("payload", pa.binary())]
+           ("payload", pa.binary()), ("complete", pa.bool_())]
 _READ = ("record_id string, type string, uri string, concurrent_to array<string>, refers_to string, payload_digest string, "
-         "payload_bytes bigint, fields map<string,string>, payload binary")
-
-
-def _unpacked(data: bytes) -> bytes:
-    """The file's bytes: plain, or any number of gzip members."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    parts = []
-    while data:
-        member = zlib.decompressobj(31)
-        parts.append(member.decompress(data) + member.flush())
-        data = member.unused_data
-    return b"".join(parts)
+         "payload_bytes bigint, fields map<string,string>, payload binary, complete boolean")
 
 
 def _plain(value: bytes | None) -> str | None:
     return None if value is None else value.decode("utf-8", "replace")
 
 
-def parse_records(data: bytes, with_payload: bool):
-    """Records of one archive; bytes between records that start none are skipped up to the next line."""
-    at = 0
-    while True:
-        at = data.find(b"WARC/1.", at)
-        if at < 0:
-            return
-        head = data.find(b"\r\n\r\n", at)
-        if head < 0 or at and data[at - 1] != 10:
-            at += 1
-            continue
-        headers: dict[bytes, list[bytes]] = {}
-        for name, value in _HEADER.findall(data[data.find(b"\r\n", at) + 2:head + 2]):
-            headers.setdefault(name.strip().lower(), []).append(value.strip())
-        size = headers.get(b"content-length", [b""])[0]
-        if not size.isdigit():
-            at = head
-            continue
-        block = data[head + 4:head + 4 + int(size)]
-        at = head + 4 + int(size)
-        kind = _plain(headers.get(b"warc-type", [b""])[0])
-        one = lambda name: _plain(headers.get(name, [None])[0])
-        payload, length, digest, fields = block, len(block), one(b"warc-payload-digest"), None
-        if kind in ("response", "revisit", "request") and block.startswith((b"HTTP/", b"GET ", b"POST ", b"HEAD ", b"PUT ")):
-            http, _, payload = block.partition(b"\r\n\r\n")
-            length = len(payload)
-            stated = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
-            if kind == "revisit" and stated:
-                length = int(stated[1])
-        if kind == "response":
-            digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        if kind == "metadata":
-            fields = [(_plain(k), _plain(v)) for k, v in dict(_HEADER.findall(block)).items()]
-        yield {
-            "record_id": one(b"warc-record-id"), "type": kind, "uri": one(b"warc-target-uri"),
-            "concurrent_to": [_plain(v) for v in headers.get(b"warc-concurrent-to", [])], "refers_to": one(b"warc-refers-to"),
-            "payload_digest": digest, "payload_bytes": length, "fields": fields, "payload": payload if with_payload else None}
-
-
-def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row per record of the archives below ``path``, plain or gzip.
-
-    The digest and length of a response are worked out from its payload; those of a revisit are the
-    ones it states. A record without a length is skipped.
+def _header(data: bytes, at: int, head: int) -> tuple[dict[bytes, list[bytes]], int | None]:
+    """Headers of the record that begins at ``at``, and its Content-Length, or None."""
+    headers: dict[bytes, list[bytes]] = {}
+    for name, value in _HEADER.findall(data[data.find(b"\r\n", at) + 2:head + 2]):
+        headers.setdefault(name.strip().lower(), []).append(value.strip())
+    size = headers.get(b"content-length", [b""])[0]
+    return headers, int(size) if size.isdigit() else None
+
+
+def _record_row(headers: dict[bytes, list[bytes]], block: bytes, complete: bool, with_payload: bool) -> dict:
+    one = lambda name: _plain(headers.get(name, [None])[0])
+    kind = _plain(headers.get(b"warc-type", [b""])[0])
+    payload, length, digest, fields = block, len(block), one(b"warc-payload-digest"), None
+    if kind in ("response", "revisit", "request") and block.startswith((b"HTTP/", b"GET ", b"POST ", b"HEAD ", b"PUT ")):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        length = len(payload)
+        stated = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
+        if kind == "revisit" and stated:
+            length = int(stated[1])
+    if kind == "response":
+        digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode() if complete else None
+    if kind == "metadata":
+        fields = [(_plain(k), _plain(v)) for k, v in dict(_HEADER.findall(block)).items()]
+    return {
+        "record_id": one(b"warc-record-id"), "type": kind, "uri": one(b"warc-target-uri"),
+        "concurrent_to": [_plain(v) for v in headers.get(b"warc-concurrent-to", [])], "refers_to": one(b"warc-refers-to"),
+        "payload_digest": digest, "payload_bytes": length, "fields": fields, "payload": payload if with_payload else None,
+        "complete": complete}
+
+
+def parse_records(pieces: Iterable[bytes], with_payload: bool) -> Iterator[dict]:
+    """Records of one archive, given in pieces; no more than a record and a piece is held.
+
+    Bytes between records that start none are skipped up to the next line, and so is a record without a
+    length. A record that the archive cuts off has ``complete`` false, the part there is, and no digest.
+    """
+    parts: list[bytes] = []
+    size, needed, begun = 0, 0, False
+
+    def cut(data: bytes, last: bool) -> Iterator[dict]:
+        """The records that are whole; leaves what follows in ``parts``."""
+        nonlocal parts, size, needed, begun
+        # A record may begin in the last bytes: at a line, or where the archive does.
+        line = data.rfind(b"\n", max(0, len(data) - 8))
+        at, rest, needed = 0, line if line >= 0 else len(data) if begun or len(data) > 7 else 0, 0
+        while (at := data.find(b"WARC/1.", at)) >= 0:
+            if at and data[at - 1] != 10:
+                at += 1
+                continue
+            head = data.find(b"\r\n\r\n", at)
+            if head < 0:
+                rest = at
+                break
+            headers, length = _header(data, at, head)
+            if length is None:
+                at = head
+                continue
+            end = head + 4 + length
+            if end > len(data) and not last:
+                rest, needed = at, end - at
+                break
+            yield _record_row(headers, data[head + 4:end], end <= len(data), with_payload)
+            at, begun = end, True
+            rest = max(rest, end)
+        begun = begun or rest > 0
+        parts = [data[rest:]]
+        size = len(parts[0])
+
+    for piece in pieces:
+        parts.append(piece)
+        size += len(piece)
+        if size >= needed:
+            yield from cut(b"".join(parts), False)
+    yield from cut(b"".join(parts), True)
+
+
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True, skip_damaged: bool = False) -> DataFrame:
+    """One row per record of the archives below ``path``, plain, or gzip if named ``.gz``.
+
+    Files are read as a stream of records, so a record has to fit in a task and a file does not. The
+    digest and length of a response are worked out from its payload; those of a revisit are the ones it
+    states. A record without a length is skipped. A record that the end of the file cuts off has
+    ``complete`` false and no digest. A damaged gzip file ends the job; with ``skip_damaged`` its records
+    up to the damage are kept. A plain file of more than ``spark.sql.files.maxPartitionBytes`` is read in
+    parts, cut where a record starts; there, a payload that itself holds a record start may be cut.
     """
     schema = pa.schema(_FIELDS)
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                held, size = [], 0
-                for record in parse_records(_unpacked(batch.column("content")[i].as_py()), with_payload):
-                    held.append(record)
-                    size += len(record["payload"] or b"") + 500
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(held, schema=schema)
-                        held, size = [], 0
-                if held:
+        def pieces():
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield (batch.column("path")[i].as_py(), batch.column("start")[i].as_py()), batch.column("value")[i].as_py()
+
+        held, size = [], 0
+        for (_, start), part in groupby(pieces(), key=lambda piece: piece[0]):
+            # The reader drops the separators; only the first piece of a file has none before it.
+            stream = (value if n == 0 and start == 0 else _SEPARATOR + value for n, (_, value) in enumerate(part))
+            for record in parse_records(stream, with_payload):
+                held.append(record)
+                size += len(record["payload"] or b"") + 500
+                if size > 4 << 20:
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*").load(path)
-    return files.select("content").mapInArrow(run, _READ)
+    lines = (
+        spark.read.format("text").option("lineSep", _SEPARATOR.decode()).option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "[!_.]*").option("ignoreCorruptFiles", str(skip_damaged).lower()).load(path)
+    )
+    found = lines.select(
+        F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    return found.mapInArrow(run, _READ)
 
 
 def assemble(records: DataFrame, carried: tuple[str, ...] = ("uri", "refers_to", "payload_digest", "payload_bytes")) -> DataFrame:
@@ -225,8 +265,7 @@ def assemble(records: DataFrame, carried: tuple[str, ...] = ("uri", "refers_to",
     reached = links.join(known, "target").select("record_id", "root").union(
         named.join(rest.select("record_id"), "record_id", "left_semi").select("record_id", "root"))
     reached = materialize(reached.groupBy("record_id").agg(F.min("root").alias("root")), "reached")
-    while True:
-        pending = links.join(reached, "record_id", "left_anti")
+    while (pending := links.join(reached, "record_id", "left_anti")).limit(1).count():
         more = materialize(
             pending.join(reached.withColumnRenamed("record_id", "target"), "target")
             .groupBy("record_id").agg(F.min("root").alias("root")), "reached")
@@ -245,8 +284,11 @@ def assemble(records: DataFrame, carried: tuple[str, ...] = ("uri", "refers_to",
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write ``pages`` to archives in the shared folder, read them back and assemble: one row per capture."""
+    """Write ``pages`` to archives in the shared folder, read them back and assemble: one row per row of ``pages``.
+
+    The archives are read once, into a table of the records without their payloads.
+    """
     spark = pages.sparkSession
     path = fresh_dir(spark, "warc")
     write_archives(pages, path, id_col, url_col, html_col)
-    return assemble(read_archives(spark, path, with_payload=False))
+    return assemble(materialize(read_archives(spark, path, with_payload=False), "records"))

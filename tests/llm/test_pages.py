@@ -33,10 +33,11 @@ def test_round_trip_matches_plain_rules(spark, tmp_path):
     for i, _, html in PAGES:
         if i is not None:
             first[html or ""] = min(i, first.get(html or "", i))
-    expected = []
-    for i, _, html in dict.fromkeys(PAGES):
+    expected, seen = [], set()
+    for i, _, html in PAGES:
         b = (html or "").encode()
-        again = html is not None and i is None and html in first or i is not None and first[html or ""] != i
+        again = (html or "") in first and (i != first[html or ""] or html in seen)
+        seen |= {html} if i is not None and first[html or ""] == i else set()
         expected.append((i, len(b), digest(b), "revisit" if again else "response", first[html or ""] if again else None))
     assert sorted(map(str, [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found])) == sorted(map(str, expected))
     assert all(r.n_requests == 1 for r in found)
@@ -49,7 +50,7 @@ def test_payloads_come_back_byte_for_byte(spark, tmp_path):
         records = warc.read_archives(spark, path).collect()
         payloads = sorted(bytes(r.payload).decode() for r in records if r.type == "response")
         assert payloads == sorted({html or "" for _, _, html in PAGES})
-        assert len(records) == 3 * len(set(PAGES))
+        assert len(records) == 3 * len(PAGES) == len({r.record_id for r in records}) and all(r.complete for r in records)
 
 
 def test_no_pages(spark, tmp_path):
@@ -58,7 +59,7 @@ def test_no_pages(spark, tmp_path):
 
 
 def record(kind, rid, *concurrent):
-    return (rid, kind, "u", list(concurrent), None, None, 0, None, None)
+    return (rid, kind, "u", list(concurrent), None, None, 0, None, None, True)
 
 
 def test_assembly_follows_identifiers_both_ways_and_over_hops(spark):
@@ -74,13 +75,50 @@ def test_assembly_follows_identifiers_both_ways_and_over_hops(spark):
         "q4": (["q4"], [], None), "c1": ([], ["c1"], None), "c2": ([], ["c2"], None)}
 
 
-def test_parser_takes_many_gzip_members_and_skips_rubbish():
-    one = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <a>\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
-    two = b"WARC/1.0\r\nwarc-type: metadata\r\nWARC-Record-ID: <b>\r\ncontent-length: 6\r\n\r\nk: v\r\n\r\n\r\n"
-    data = gzip.compress(one) + gzip.compress(b"noise WARC/1. \n") + gzip.compress(two)
-    found = list(warc.parse_records(warc._unpacked(data), True))
-    assert [(r["record_id"], r["payload"], r["fields"]) for r in found] == [("<a>", b"ab\r\nc", None), ("<b>", b"k: v\r\n", [("k", "v")])]
-    assert list(warc.parse_records(b"", True)) == [] and list(warc.parse_records(b"WARC/1.0\r\nContent-Length: x\r\n\r\n", True)) == []
+ONE = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <a>\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
+TWO = b"WARC/1.0\r\nwarc-type: metadata\r\nWARC-Record-ID: <b>\r\ncontent-length: 6\r\n\r\nk: v\r\n\r\n\r\n"
+
+
+def test_parser_takes_pieces_of_any_size_and_skips_rubbish():
+    data = ONE + b"noise WARC/1. \n" + TWO
+    for size in (1, 2, 7, 50, 1000):
+        pieces = [data[i:i + size] for i in range(0, len(data), size)]
+        found = list(warc.parse_records(pieces, True))
+        assert [(r["record_id"], r["payload"], r["fields"], r["complete"]) for r in found] == [
+            ("<a>", b"ab\r\nc", None, True), ("<b>", b"k: v\r\n", [("k", "v")], True)]
+    assert list(warc.parse_records([], True)) == [] and list(warc.parse_records([b"WARC/1.0\r\nContent-Length: x\r\n\r\n"], True)) == []
+
+
+def test_records_that_are_cut_off_say_so(spark, tmp_path):
+    whole = ONE + TWO + ONE.replace(b"resource", b"response").replace(b"<a>", b"<c>").replace(b": 5", b": 900")
+    (tmp_path / "cut").write_bytes(whole)
+    (tmp_path / "members.gz").write_bytes(gzip.compress(ONE) + gzip.compress(TWO) + gzip.compress(TWO.replace(b"<b>", b"<d>")))
+    found = sorted((r.record_id, r.complete, r.payload_digest) for r in warc.read_archives(spark, str(tmp_path)).collect())
+    assert found == [("<a>", True, None), ("<a>", True, None), ("<b>", True, None), ("<b>", True, None), ("<c>", False, None), ("<d>", True, None)]
+
+
+def test_damaged_files_are_skipped_on_demand(spark, tmp_path):
+    many = b"".join(ONE.replace(b"<a>", b"<%d>" % i) for i in range(20_000))
+    (tmp_path / "half.gz").write_bytes(gzip.compress(many)[:30_000])
+    (tmp_path / "padded.gz").write_bytes(gzip.compress(ONE) + b"\0" * 100)
+    (tmp_path / "whole.gz").write_bytes(gzip.compress(TWO))
+    found = [r for r in warc.read_archives(spark, str(tmp_path), skip_damaged=True).collect() if r.complete]
+    ids = {r.record_id for r in found}
+    assert "<b>" in ids and 100 < len(ids) < 20_000
+
+
+def test_a_payload_may_end_or_begin_like_a_separator(spark, tmp_path):
+    odd = ["\r\n\r\nWARC/1.1\r\nContent-Length: 2\r\n\r\nxx", "a\r\n\r\n\r\n\r\n", "\r\n\r\nWARC/1." * 2000, "y" * 70_000 + "\r\n\r\nWARC/1", "WARC/1.1", "\r"]
+    rows = [(i, "http://a.example/", text) for i, text in enumerate(odd)]
+    warc.write_archives(pages(spark, rows).coalesce(1), f"{tmp_path}/odd")
+    records = warc.read_archives(spark, f"{tmp_path}/odd").collect()
+    assert sorted(bytes(r.payload).decode() for r in records if r.type == "response") == sorted(odd) and len(records) == 3 * len(odd)
+
+
+def test_many_equal_rows_are_as_many_captures(spark, tmp_path):
+    rows = [(1, "http://a.example/", "same")] * 40 + [(None, None, None)] * 3
+    found = warc.archived(pages(spark, rows)).where("main is not null").selectExpr("main.type as type", "main.payload_bytes as n").groupBy("type", "n").count().collect()
+    assert {(r.type, r.n): r["count"] for r in found} == {("response", 4): 1, ("revisit", 4): 39, ("response", 0): 1, ("revisit", 0): 2}
 
 
 # URL filters
