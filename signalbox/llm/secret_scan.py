@@ -13,7 +13,7 @@ from __future__ import annotations
 import bisect
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,43 +75,68 @@ def _name_before(text: str, at: int) -> str:
     return name.rstrip("-.")
 
 
-def _value_after(text: str, at: int) -> list[tuple[str, str, int]]:
-    """Terms of the ``+`` chain after an operator: ("literal" or "name", text, start)."""
-    terms, size = [], len(text)
+def _value_after(text: str, at: int, limit: int) -> list[tuple[str, str, int]]:
+    """Terms of the ``+`` chain after an operator, up to ``limit``: ("literal" or "name", text, start)."""
+    terms = []
     while True:
-        while at < size and text[at] in " \t":
+        while at < limit and text[at] in " \t":
             at += 1
-        if (m := _QUOTED.match(text, at)) and m.lastindex:
+        if (m := _QUOTED.match(text, at, limit)) and m.lastindex:
             terms.append(("literal", m[m.lastindex], m.start(m.lastindex)))
-        elif m := _BARE.match(text, at):
+        elif m := _BARE.match(text, at, limit):
             terms.append(("name" if _NAME.match(m[0]) else "literal", m[0], m.start()))
         else:
             return terms
         at = m.end()
-        while at < size and text[at] in " \t":
+        while at < limit and text[at] in " \t":
             at += 1
-        if at >= size or text[at] != "+":
+        if at >= limit or text[at] != "+":
             return terms
         at += 1
 
 
+class _Values:
+    """The values that hold the place reached: an operator counts only where its value may be read.
+
+    A value is read once. Operators in its bare terms belong to it; those in a quoted term are read up to
+    the end of that term, which quotes of another kind may hold in turn, so at most a few values are open.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+        self.open: list[tuple[int, deque[tuple[int, int]]]] = []
+
+    def limit(self, at: int) -> int | None:
+        """Up to where the value of an operator at a place reaches; None inside a bare term."""
+        while self.open and self.open[-1][0] <= at:
+            self.open.pop()
+        if not self.open:
+            return self.size
+        quoted = self.open[-1][1]
+        while quoted and quoted[0][1] <= at:
+            quoted.popleft()
+        return quoted[0][1] if quoted and quoted[0][0] <= at else None
+
+    def add(self, text: str, terms: list[tuple[str, str, int]]) -> None:
+        quoted = deque((start, start + len(value)) for _, value, start in terms if text[start - 1] in "\"'`")
+        self.open.append((terms[-1][2] + len(terms[-1][1]), quoted))
+
+
 def assignments(text: str) -> list[tuple[int, str, list[tuple[str, str, int]]]]:
     """``position, name, terms`` of every assignment, in order."""
     found = []
     if "=" in text or ":" in text:
-        key, value_end = None, 0
+        key, values = None, _Values(len(text))
         for m in _OPERATOR.finditer(text):
-            if m.start() < value_end:
+            if (limit := values.limit(m.start())) is None:
                 continue  # part of a bare value
             if m[0] not in ("=", ":", ":=", "=>") or m.start() and text[m.start() - 1] in "!<>":
                 continue
             name = _name_before(text, m.start())
             if not name or m[0] == ":" and text.startswith("//", m.end()):
                 continue
-            if terms := _value_after(text, m.end()):
-                last = terms[-1][2] + len(terms[-1][1])
-                if text[terms[-1][2] - 1] not in "\"'`":
-                    value_end = last
+            if terms := _value_after(text, m.end(), limit):
+                values.add(text, terms)
                 if name.lower() == "value" and key:
                     name = key
                 key = terms[0][1] if name.lower() in ("key", "name") and terms[0][0] == "literal" else None
