@@ -2,7 +2,8 @@
 
 Test items are partitioned by size: class c holds items of (2^(c-1), 2^c] shingles. For each class a
 text is covered by windows of 3 * 2^c shingles every 2^c, so an item that stands in the text stands
-whole in a window at most six times its size, and short items are found in texts of any length: the
+whole in a window at most six times its size, and short items are found in texts of any length (those of
+fewer words than a shingle by their own number of words, one class for each): the
 Jaccard similarity of item and window is bounded below by the class, not by the text. Each item has a
 one-permutation MinHash sketch per permutation: the least hash in each of ``BINS`` bins. An item is a
 candidate of a window if the window has the same least hash in a bin. The least hash of a bin is only
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalbox.llm.textkit import NOT_ALNUM, mix64, shingle_sets, shingles, slices, stream64, words
+from signalbox.llm.textkit import NOT_ALNUM, grams, mix64, shingle_sets, shingles, slices, stream64, words
 
 BINS, PERMUTATIONS = 16, 4
 #: Bytes of item text in one block.
@@ -39,12 +40,22 @@ class Sketches:
 
     def __init__(self, items: list[tuple], k: int):
         self.ids = [i for i, _ in items]
-        sets = shingle_sets(pa.array([t for _, t in items], type=pa.string()), k, NOT_ALNUM)
+        texts = pa.array([t for _, t in items], type=pa.string())
+        sets = shingle_sets(texts, k, NOT_ALNUM)
         self.sets = sets
+        #: Items of fewer than k words by their number of words: sorted hashes, and the items of each.
+        self.short: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = {}
+        count = words(texts, NOT_ALNUM).count
+        for size in range(1, k):
+            values = defaultdict(list)
+            for n in np.flatnonzero(count == size):
+                values[int(sets[n][0])].append(int(n))
+            if values:
+                self.short[size] = np.array(sorted(values), dtype=np.uint64), dict(values)
         self.classes: dict[int, list[tuple[np.ndarray, dict[int, list[int]]]]] = {}
         by_class = defaultdict(list)
         for n, s in enumerate(sets):
-            if len(s):
+            if count[n] >= k:
                 by_class[max(0, int(len(s) - 1).bit_length())].append(n)
         for c, numbers in by_class.items():
             self.classes[c] = []
@@ -107,7 +118,18 @@ class Sketches:
 
 def _found(texts: pa.Array, sketches: Sketches, k: int, percent: int) -> list[tuple[int, int, int]]:
     """``text number, item number, shared shingles`` of the items in each text."""
-    doc, hashed = shingles(words(texts, NOT_ALNUM), k)
+    w = words(texts, NOT_ALNUM)
+    found = []
+    for size, (values, items) in sketches.short.items():
+        # One gram is the whole item, so its own hash is its sketch and there is nothing to verify.
+        at, hashed = grams(w, size)
+        place = np.minimum(np.searchsorted(values, hashed), len(values) - 1)
+        same = values[place] == hashed
+        pairs = np.unique(np.stack([w.doc[at[same]], place[same]]), axis=1)
+        found += [(int(i), n, 1) for i, v in pairs.T for n in items[int(values[v])]]
+    if sketches.empty:
+        return found
+    doc, hashed = shingles(w, k)
     order = np.argsort(doc, kind="stable")
     bounds = np.searchsorted(doc[order], np.arange(len(texts) + 1))
     hashed = hashed[order]
@@ -115,7 +137,7 @@ def _found(texts: pa.Array, sketches: Sketches, k: int, percent: int) -> list[tu
     for p, seed in enumerate(_SEEDS):
         near[1:] += sketches.filters[p][(mix64(hashed ^ seed) & np.uint64(0xFFFFF)).astype(np.int64)]
     near = np.cumsum(near)
-    return [
+    return found + [
         (int(i), n, shared) for i in np.flatnonzero(near[bounds[1:]] > near[bounds[:-1]])
         for n, shared in sketches.contained(hashed[bounds[i]:bounds[i + 1]], percent)]
 
@@ -156,7 +178,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Words are lower-cased runs of letters, digits and non-ASCII characters, so punctuation and case do
     not hide an item. An item is found if at least ``percent`` of its distinct k-word shingles are in
-    the text; an item of fewer than k words is one shingle, found only in a text of just these words.
+    one window of the text, and then counted over the whole text: shingles that are only scattered over a
+    long text are no passage of it. An item of fewer than k words is found wherever its words stand one
+    after the other.
     Null and empty texts hold no item, null and empty items are found nowhere. Repeated rows are
     searched each; equal result rows are given once. Empty tables give an empty result.
     """

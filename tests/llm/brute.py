@@ -72,7 +72,13 @@ def secret_base(text: str | None) -> list[tuple[int, int, str]]:
 
 
 def contained(rows, items, percent: int = 80) -> dict:
-    sets = {i: shingle_set(t, ALNUM_WORD) for i, t in items}
-    return {
-        (d, i): len(shingle_set(t, ALNUM_WORD) & s) for d, t in rows for i, s in sets.items()
-        if s and 100 * len(shingle_set(t, ALNUM_WORD) & s) >= percent * len(s)}
+    """Shared shingles of each text and item found; short items stand word by word anywhere in the text."""
+    def shared(text, item):
+        w, own = ALNUM_WORD.findall(lower_ascii(text)), ALNUM_WORD.findall(lower_ascii(item))
+        if len(own) < 5:
+            return int(any(w[j:j + len(own)] == own for j in range(len(w) - len(own) + 1))) if own else 0
+        s = shingle_set(item, ALNUM_WORD)
+        n = len(shingle_set(text, ALNUM_WORD) & s)
+        return n if 100 * n >= percent * len(s) else 0
+
+    return {(d, i): n for d, t in rows for i, item in items if (n := shared(t, item))}
