@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Time units in a slice.
-SLICE = 30
+#: Slices of the span of capture times, by which captures and intervals meet.
+SLICES = 24
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
@@ -63,25 +63,32 @@ def url_patterns(url):
 
 
 def judged(captures: DataFrame, intervals: DataFrame, id_col: str = "page_id", url_col: str = "url",
-           time_col: str = "fetched", slice_size: int = SLICE) -> DataFrame:
+           time_col: str = "fetched", slices: int = SLICES) -> DataFrame:
     """``captures`` with ``blocked, n_matches, list_name, pattern, valid_from`` of each row.
 
     The columns name the most specific active entry: the longest pattern, then the least pattern and
     list. A row without a url, host or time matches nothing. Rows with equal id, url and time are
     judged alike, and all rows stay. Columns of ``captures`` with one of the five names are replaced.
+    Times are whole numbers of any unit: their span is cut into ``slices``, so an interval is repeated
+    that often at the most, whether times are days or seconds.
     """
     added = ("blocked", "n_matches", "list_name", "pattern", "valid_from")
     captures = captures.drop(*added)
-    probes = (
-        captures.select(F.col(url_col).alias("_url"), F.col(time_col).cast("long").alias("_at"))
-        .where("_url is not null and _at is not null").distinct()
-        .withColumn("slice", F.floor(F.col("_at") / slice_size))
-    )
-    last = probes.agg(F.max("_at")).first()[0]
-    spread = intervals.where(F.col("valid_from") <= F.lit(last)).withColumn(
-        "slice", F.explode(F.sequence(
-            F.floor(F.col("valid_from") / slice_size),
-            F.greatest(F.floor(F.col("valid_from") / slice_size), F.floor((F.least(F.coalesce("valid_to", F.lit(last) + 1), F.lit(last) + 1) - 1) / slice_size)))))
+    probes = captures.select(F.col(url_col).alias("_url"), F.col(time_col).cast("long").alias("_at")).where("_url is not null and _at is not null")
+    first, last = probes.agg(F.min("_at"), F.max("_at")).first()
+    if last is None:
+        first = last = 0
+    size = (last - first) // slices + 1
+    # Probes are few bytes each but become many patterns, so they are dealt to all tasks first.
+    tasks = max(1, int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    probes = probes.distinct().repartition(tasks).withColumn("slice", F.floor((F.col("_at") - first) / size))
+
+    def slice_of(time):
+        return F.floor((F.greatest(time, F.lit(first)) - first) / size)
+
+    reaching = intervals.where((F.col("valid_from") <= last) & (F.col("valid_to").isNull() | (F.col("valid_to") > first)))
+    end = F.least(F.coalesce("valid_to", F.lit(last) + 1) - 1, F.lit(last))
+    spread = reaching.withColumn("slice", F.explode(F.sequence(slice_of(F.col("valid_from")), F.greatest(slice_of(F.col("valid_from")), slice_of(end)))))
     active = (F.col("valid_from") <= F.col("_at")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
     found = (
         probes.withColumn("pattern", F.explode(url_patterns(F.col("_url")))).join(spread, ["pattern", "slice"]).where(active)
@@ -89,7 +96,7 @@ def judged(captures: DataFrame, intervals: DataFrame, id_col: str = "page_id", u
             F.count("*").alias("n_matches"),
             F.min(F.struct((-F.length("pattern")).alias("rank"), "pattern", "list_name", "valid_from")).alias("best"))
     )
-    rows = captures.withColumns({"_url": F.col(url_col), "_at": F.col(time_col).cast("long")})
-    return rows.join(found, ["_url", "_at"], "left").select(
-        *captures.columns, F.col("n_matches").isNotNull().alias("blocked"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"),
+    same = (captures[url_col] == found["_url"]) & (captures[time_col].cast("long") == found["_at"])
+    return captures.join(found, same, "left").select(
+        *[captures[f"`{c}`"] for c in captures.columns], F.col("n_matches").isNotNull().alias("blocked"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"),
         "best.list_name", "best.pattern", "best.valid_from")

@@ -151,6 +151,19 @@ def test_captures_meet_the_list_of_their_time(spark):
         (7, 1, "ok.example/ads"), (8, 0, None), (9, 0, None), (10, 0, None), (11, 0, None), (None, 0, None), (12, 0, None)], key=str)
 
 
+def test_captures_with_clashing_names_and_times_in_seconds(spark):
+    intervals = url_filters.validity_intervals(spark.createDataFrame(
+        [(name, pattern, action, at * 86_400) for name, pattern, action, at in ENTRIES if at is not None] + [("l", "bad.example", "remove", 10**9)],
+        "list_name string, pattern string, action string, at long"))
+    rows = [(1, "http://bad.example/x", 10 * 86_400, "a", 7, "s"), (2, "http://bad.example/x", 60 * 86_400, "b", 8, "t"), (3, "http://bad.example/x", 10**9 - 1, "c", 9, "u"),
+            (4, "http://bad.example/x", 10**9, "d", 9, "u")]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched long, _url string, _at long, slice string")
+    found = url_filters.judged(captures, intervals)
+    assert found.columns == [*captures.columns, "blocked", "n_matches", "list_name", "pattern", "valid_from"]
+    assert sorted((r.page_id, r["_url"], r["_at"], r["slice"], r.blocked) for r in found.collect()) == [
+        (1, "a", 7, "s", True), (2, "b", 8, "t", False), (3, "c", 9, "u", True), (4, "d", 9, "u", False)]
+
+
 def test_no_captures_or_no_entries(spark):
     none = url_filters.validity_intervals(spark.createDataFrame([], "list_name string, pattern string, action string, at long"))
     captures = spark.createDataFrame([(1, "http://a.example/", 1)], "page_id long, url string, fetched long")
