@@ -19,8 +19,9 @@ from signalbox.llm.wanted import read_again
 
 #: A document is kept from this mean log-likelihood ratio on.
 THRESHOLD = -0.1
-#: Counts added to each place of both multinomials.
-SMOOTHING = 16.0
+#: Counts added to each place of both multinomials: this share of the trusted counts over all places, and
+#: in small corpora, where few counts say little, so many at least.
+SMOOTHING_SHARE, LEAST_SMOOTHING = 0.6, 16.0
 #: Base rules: fewer words fail, and so do repeated words beyond this percentage.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -77,8 +78,9 @@ def features(texts: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarray,
 def trusted_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Log-likelihood ratio of each place, from all of ``docs`` and those whose id is in ``trusted``.
 
-    Raw counts are scaled to the trusted total and both get ``SMOOTHING`` counts a place, so a place
-    too rare to be expected among few trusted documents says nothing. The raw corpus includes the trusted documents. Only texts of trusted ids are shuffled, by a merge
+    Raw counts are scaled to the trusted total, and both are smoothed by a share of it, so the ratio of a
+    place does not grow with the corpus, and a place too rare to be expected among the trusted documents
+    says nothing. The raw corpus includes the trusted documents. Only texts of trusted ids are shuffled, by a merge
     join at every size. Without trusted documents the ratio is 0.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -90,7 +92,8 @@ def trusted_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     if "trusted" not in counts:
         return none
     scaled = raw["raw"] * (counts["trusted"].sum() / raw["raw"].sum())
-    return log_probabilities(counts["trusted"], SMOOTHING) - log_probabilities(scaled, SMOOTHING)
+    smoothing = max(LEAST_SMOOTHING, SMOOTHING_SHARE * counts["trusted"].sum() / len(scaled))
+    return log_probabilities(counts["trusted"], smoothing) - log_probabilities(scaled, smoothing)
 
 
 def _scorer(ratio: np.ndarray, schema: pa.Schema):
