@@ -267,6 +267,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     """
     added = ("n_tokens", "rate", "copies")
     docs = docs.drop(*added)
+    drawn = "_draw".ljust(max(map(len, docs.columns)) + 1, "_")
     mixer, held = fit(docs, labelled, targets, id_col, text_col, domain_col)
     if held is None:
         split = F.filter(F.split(F.coalesce(text_col, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -277,11 +278,11 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
             for part in slices(batch, text_col):
                 n, p = posteriors(part.column(text_col), mixer)
                 rate = rates(p, mixer.steps)
-                copies = np.floor(rate + np.asarray(part.column("_draw"))).astype(np.int64)
-                kept = part.drop_columns(["_draw"])
+                copies = np.floor(rate + np.asarray(part.column(drawn))).astype(np.int64)
+                kept = part.drop_columns([drawn])
                 yield pa.RecordBatch.from_arrays(
                     [*kept.columns, pa.array(n.astype(np.int64)), pa.array(rate), pa.array(copies)],
                     names=[*kept.schema.names, *added]).filter(pa.array(copies > 0))
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_tokens long", "rate double", "copies long"])
-    return docs.withColumn("_draw", _draw(id_col)).mapInArrow(run, schema)
+    return docs.withColumn(drawn, _draw(id_col)).mapInArrow(run, schema)

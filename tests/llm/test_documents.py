@@ -356,6 +356,14 @@ def test_rare_domains_are_fitted_and_missing_ones_reported(spark, make_docs):
     assert mixer.missing == ["c"] and mixer.met and np.allclose(mixer.targets / mixer.targets.sum(), [0.9 / 0.95, 0.05 / 0.95])
 
 
+def test_mixing_keeps_columns_named_like_its_own(spark, make_docs):
+    docs = make_docs([(i, prose(i, 60)) for i in range(20)]).withColumnRenamed("id", "_draw").withColumnRenamed("part", "draw")
+    labelled = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(20)], "doc_id long, domain string")
+    found = mixing.mixed(docs, labelled, {"a": 1, "b": 1})
+    assert found.columns == [*docs.columns, "n_tokens", "rate", "copies"]
+    assert {(r["_draw"], r["draw"]) for r in found.collect()} == {("x", "y")}
+
+
 def test_mixing_keeps_columns_and_handles_missing_labels(spark, make_docs, odd_rows):
     none = spark.createDataFrame([], "doc_id long, domain string")
     found = mixing.mixed(make_docs(odd_rows), none, {"a": 1})
