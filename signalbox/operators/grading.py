@@ -56,12 +56,12 @@ def explode_responses(
     return rows.select(*kept, "response_idx", "_response.*")
 
 
-def grade_in_place(results: DataFrame, verifier: Verifier | None = None) -> DataFrame:
+def grade_in_place(results: DataFrame, verifier: Verifier = answers_equal, algebra: bool = False) -> DataFrame:
     """Grade inside the response array: no explode, no shuffle, the order kept.
 
-    Every response is tagged ``math_verify`` and keeps the raw extract, "not found" included. Algebra is
-    compared for whole arrays, of those questions that have some; a ``verifier`` of your own, of
-    expressions that may stand inside a lambda, decides alone.
+    Every response is tagged ``math_verify`` and keeps the raw extract, "not found" included. With
+    ``algebra`` the arrays of questions that have some also go through :func:`each_matches`; a ``verifier``
+    has to be an expression that may stand inside a lambda.
     """
 
     def graded(text: Column, gold: Column) -> Column:
@@ -70,7 +70,7 @@ def grade_in_place(results: DataFrame, verifier: Verifier | None = None) -> Data
             lambda answer: F.struct(
                 text.alias("full_response"),
                 answer.alias("extracted_answer"),
-                (verifier or answers_equal)(gold, answer).alias("is_correct"),
+                verifier(gold, answer).alias("is_correct"),
                 F.lit(MATH_VERIFY).alias("extraction_method"),
                 F.lit(None).cast("string").alias("judge_explanation"),
             ),
@@ -79,7 +79,7 @@ def grade_in_place(results: DataFrame, verifier: Verifier | None = None) -> Data
     with_gold = results.withColumn("_gold", row_gold())
     responses = F.transform("responses", lambda r: graded(r["full_response"], F.col("_gold")))
     found = with_gold.withColumn("responses", responses)
-    if verifier is None:
+    if algebra:
         found = found.withColumn("_solved", each_matches(F.col("_gold"), F.col("responses.extracted_answer")))
         solved = F.transform(
             "responses", lambda r, i: r.withField("is_correct", r["is_correct"] | F.coalesce(F.get("_solved", i), F.lit(False))))
@@ -87,15 +87,18 @@ def grade_in_place(results: DataFrame, verifier: Verifier | None = None) -> Data
     return found.drop("_gold")
 
 
-def grade_rows(rows: DataFrame, verifier: Verifier = answers_match) -> DataFrame:
-    """Exploded form of :func:`grade_in_place`: adds extract, correctness and method."""
+def grade_rows(rows: DataFrame, verifier: Verifier = answers_equal) -> DataFrame:
+    """Exploded form of :func:`grade_in_place`: adds extract, correctness and method.
+
+    Pass :func:`answers_match` to compare algebra too, which runs Python beside the rows.
+    """
     graded = rows.withColumn("extracted_answer", extract_answer(F.col("full_response")))
     return graded.withColumn(
         "is_correct", verifier(row_gold(), F.col("extracted_answer"))
     ).withColumn("extraction_method", F.lit(MATH_VERIFY))
 
 
-def grade_math_only(rows: DataFrame, verifier: Verifier = answers_match) -> DataFrame:
+def grade_math_only(rows: DataFrame, verifier: Verifier = answers_equal) -> DataFrame:
     """First phase of judged grading: ``extracted_answer, is_correct, needs_judge``."""
     found = rows.withColumn("_found", extract_answer(F.col("full_response")))
     failed = extraction_failed(F.col("_found"))
@@ -122,14 +125,14 @@ def grade_three_phase(
 ) -> DataFrame:
     """Regex first, judge for the rest, one row per response.
 
-    Responses are read and graded once. One stage asks the judge about unresolved rows and lets the
+    Responses are read and graded once, algebra included. One stage asks the judge about unresolved rows and lets the
     others pass, so there is no join, no union and no shuffle. ``with_prompt`` also hands the judge its
     rendered prompt as ``judge_prompt``. Write the result once before using it
     twice; the judge may be neither cheap nor deterministic.
     """
     base = ["unique_id", "problem", "is_mcq", "choices", "choice_index_correct", "answer_correct"]
     columns = [*base, *[c for c in keep if c not in base]]
-    checked = grade_math_only(explode_responses(results, columns))
+    checked = grade_math_only(explode_responses(results, columns), answers_match)
     out = ["unique_id", "response_idx", *[c for c in keep if c != "unique_id"], "full_response",
            "extracted_answer", "is_correct", "extraction_method", "judge_explanation"]
     tasks = (

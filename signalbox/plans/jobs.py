@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalbox.functions.answers import answers_match
 from signalbox.operators import evaluation, grading, metrics, resume
 from signalbox.operators.prompts import with_prompts
 from signalbox.operators.publish import publish_splits
@@ -25,7 +26,7 @@ def grade_job(
     The stored rows are what makes the judge run exactly once per unresolved response.
     """
     if judge is None:
-        rows = grading.grade_rows(grading.explode_responses(results))
+        rows = grading.grade_rows(grading.explode_responses(results), answers_match)
         columns = ["unique_id", "response_idx", *keep, "full_response", "extracted_answer",
                    "is_correct", "extraction_method"]
         graded = rows.select(*columns).withColumn("judge_explanation", F.lit(None).cast("string"))

@@ -139,10 +139,10 @@ def test_algebra_is_graded_in_place_row_by_row_and_in_phases(spark):
         r["full_response"].contains("answer"), r["full_response"]).otherwise(F.concat(F.lit("<answer>"), r["full_response"], F.lit("</answer>"))).alias("full_response")))
     results = spark.createDataFrame(rows, schema).withColumn("responses", tagged)
     wanted = {i: ALGEBRA[i][2] for i, *_ in rows}
-    nested = {r.unique_id: [x.is_correct for x in r.responses] for r in grading.grade_in_place(results).collect()}
+    nested = {r.unique_id: [x.is_correct for x in r.responses] for r in grading.grade_in_place(results, algebra=True).collect()}
     assert nested == {i: [want, False, False, False] for i, want in wanted.items()}
     flat = grading.explode_responses(results)
-    for graded in (grading.grade_rows(flat), grading.grade_math_only(flat)):
+    for graded in (grading.grade_rows(flat, answers.answers_match), grading.grade_math_only(flat, answers.answers_match)):
         assert {(r.unique_id, r.response_idx): r.is_correct for r in graded.collect()} == {
             (i, n): ok for i, oks in nested.items() for n, ok in enumerate(oks)}
 
