@@ -532,6 +532,41 @@ def collected_retry(spark, d):
     return _joined_responses(collect_job(dataset, path, again_generator, retry_failed=True, **options))
 
 
+def down_generator(request):
+    """A stand-in for a model that does not answer."""
+    raise TimeoutError("timeout")
+
+
+_DOWN = """
+select md5(cast(doc_id as varchar)) as unique_id, 'Error generating response: timeout' as responses
+from (select doc_id, row_number() over (order by doc_id) as n, count(*) over () as total from documents)"""
+
+
+def _collect_down(spark, d, on_all_failed):
+    from signalbox.plans.jobs import collect_job
+
+    ship_package()
+    dataset = views.questions(spark, d)
+    size = max(-(-dataset.count() // 3), 1)
+    made = collect_job(
+        dataset, fresh_dir(spark, "collected"), down_generator,
+        batch_size=size, order_col="doc_id", max_workers=4, on_all_failed=on_all_failed,
+    )
+    return _joined_responses(made)
+
+
+@query("collect_job_stopped", _DOWN + " where n <= (total + 2) // 3")
+def collected_until_down(spark, d):
+    """A batch without any answer ends the run; what is committed stays."""
+    return _collect_down(spark, d, "stop")
+
+
+@query("collect_job_continued", _DOWN)
+def collected_while_down(spark, d):
+    """Told to go on, the run stores the failures of all batches, for a later retry."""
+    return _collect_down(spark, d, "continue")
+
+
 @query("cascade_job", with_views(*GRADED, _GENERATED) + """
 select unique_id, string_agg(t, '|' order by i) as responses from generated
 where unique_id in (select unique_id from graded group by unique_id

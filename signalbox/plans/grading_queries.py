@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from signalbox.functions.answers import EXTRACTION_FAILED, answers_match, extract_answer
 from signalbox.operators import grading, metrics, publish, resume
@@ -160,6 +159,14 @@ def three_phase(spark, d):
     return graded_rows.drop("full_response")
 
 
+@query("grade_with_fallback", with_views(*GRADED)
+       + f"select * replace (case extraction_method when 'math_verify' then 'regex' else extraction_method end as extraction_method) from ({_JUDGE_SQL})")
+def with_fallback(spark, d):
+    """The variant for single responses, whose resolved rows have a tag of their own."""
+    ship_package()
+    return grading.grade_with_fallback(views.raw_results(spark, d), containment_judge).drop("full_response")
+
+
 @query("judge_stage", with_views(*GRADED) + f"select * from ({_JUDGE_SQL}) where extraction_method <> 'math_verify'")
 def judged_only(spark, d):
     """The judge over the unresolved rows alone."""
@@ -232,14 +239,30 @@ select source as model, count(distinct unique_id) as questions, count(*) as resp
 def directory(spark, d):
     """Result files in one folder, model from the file name; several files per model are all kept."""
     path = fresh_dir(spark, "result-folder")
-    raw = views.raw_results(spark, d).withColumnRenamed("source", "model").drop("doc_id")
-    raw.write.partitionBy("model").option("ignoreNullFields", "false").json(path)
-    stored = jsonl.read_strict(spark, path, T.StructType([*RAW_RESULT.fields, T.StructField("model", T.StringType())]))
+    jsonl.write_results_directory(views.raw_results(spark, d).withColumnRenamed("source", "model").drop("doc_id"), path)
+    stored = jsonl.read_results_directory(spark, path, RAW_RESULT)
     return stored.groupBy("model").agg(
         F.count(F.lit(1)).alias("questions"), F.sum(F.size("responses")).alias("responses")
     )
 
 
+@query("grade_directory_job", with_views(*GRADED) + f"""
+select source as model, category, extraction_method, count(*) filter (is_correct) as correct_responses,
+       count(*) as total_responses,
+       case grouping(source, category, extraction_method) when 1 then 'category' when 2 then 'method' else 'model' end as level,
+       {_RATIO}
+from (select *, 'math_verify' as extraction_method from graded)
+group by grouping sets ((source), (source, category), (source, extraction_method))""")
+def grade_directory(spark, d):
+    """A folder of raw result files, graded once, to tables per model, category and method."""
+    from signalbox.plans.jobs import grade_directory_job
+
+    path = fresh_dir(spark, "result-folder")
+    jsonl.write_results_directory(views.raw_results(spark, d).withColumnRenamed("source", "model").drop("doc_id"), path)
+    out = grade_directory_job(spark, path, fresh_dir(spark, "graded"))["by_model_parts"]
+    return rounded(out.withColumn("correct_responses", F.col("correct_responses").cast("long")), "accuracy")
+
+
 @query("question_accuracy", with_views(*JUDGED) + """
 select unique_id, cast(count(*) filter (is_correct) as integer) as no_think_correct_count,
        cast(count(*) as integer) as no_think_total_count,
@@ -305,11 +328,14 @@ def wide(spark, d):
 @query("publish_all_splits", with_views(*JUDGED, STATISTICS, _WIDE_ROWS)
        + _WIDE_SELECT.format(lead="case q.doc_id % 3 when 0 then 'train' when 1 then 'validation' else 'test' end as split, "))
 def all_splits(spark, d):
-    """Three split frames in, one padded schema out."""
+    """A folder of three split files in, one padded schema out."""
+    from signalbox.plans.jobs import publish_folder_job
+
+    path = fresh_dir(spark, "split-folder")
     results = views.stored_results(spark, d)
-    names = {0: "train", 1: "val", 2: "test"}
-    splits = {name: results.filter(F.col("doc_id") % 3 == rest) for rest, name in names.items()}
-    return _flat(publish.publish_splits(splits))
+    for rest, stem in enumerate(("train", "bank_val", "test")):
+        jsonl.write_jsonl(results.filter(F.col("doc_id") % 3 == rest).drop("doc_id", "source"), f"{path}/{stem}.jsonl")
+    return _flat(publish_folder_job(spark, path, fresh_dir(spark, "published"))[0])
 
 
 @query("max_responses", with_views(*RAW) + """

@@ -13,8 +13,8 @@ from signalbox.operators.prompts import with_prompts
 from signalbox.operators.publish import publish_splits
 from signalbox.operators.splits import batch_index, dense_index
 from signalbox.operators.stages import Generator, Judge, all_failed, generate_nested
-from signalbox.schemas import RESULT_COLUMNS
-from signalbox.sources.jsonl import fill_defaults
+from signalbox.schemas import GRADED_RESULT, RAW_RESULT, RESULT_COLUMNS
+from signalbox.sources.jsonl import fill_defaults, model_collisions, read_results_directory, store_split_folder
 from signalbox.sources.store import BatchLog, ResultStore, VersionedTable, matching_paths
 
 
@@ -45,9 +45,26 @@ def grade_job(
     }
     if "category" in keep:
         tables["by_category"] = metrics.accuracy_by_category(countable)
+    if "model" in keep:
+        tables["by_model"] = metrics.accuracy_by_model(stored)
+        if "category" in keep:
+            tables["by_model_parts"] = metrics.accuracy_grouping_sets(stored)
     return tables
 
 
+def grade_directory_job(
+    spark: SparkSession, path: str, out: str, judge: Judge | None = None, max_workers: int = 40
+) -> dict[str, DataFrame]:
+    """Grade every result file of a folder and report per model, category and method.
+
+    The tables of :func:`grade_job`, with ``by_model``, ``by_model_parts`` (model, model and category,
+    model and method) and ``collisions``, the models fed by more than one file.
+    """
+    results = fill_defaults(read_results_directory(spark, path, RAW_RESULT))
+    tables = grade_job(results, out, judge, ("model", "file", "category"), max_workers)
+    return tables | {"collisions": model_collisions(tables["graded"])}
+
+
 def _stored_form(results: DataFrame) -> DataFrame:
     """Stored columns of a collected question, defaults filled in."""
     kept = [c for c in RESULT_COLUMNS if c in results.columns]
@@ -171,6 +188,15 @@ def publish_job(splits: Mapping[str, DataFrame], out: str) -> DataFrame:
     return wide.sparkSession.read.parquet(out)
 
 
+def publish_folder_job(spark: SparkSession, path: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """Publish the graded split files of a folder: the stored wide table, and the lines that were rejected.
+
+    Files are parsed once, into ``<out>/parsed``; the table stands in ``<out>/wide``.
+    """
+    splits, rejects = store_split_folder(spark, path, GRADED_RESULT, f"{out}/parsed")
+    return publish_job(splits, f"{out}/wide"), rejects
+
+
 def evaluate_job(predictions: DataFrame, inference: DataFrame | None = None, key: str = "unique_id") -> dict[str, DataFrame]:
     """All router reports for scored prompts.
 

@@ -17,7 +17,7 @@ from signalbox.plans.sql_views import (
 )
 from signalbox.session import ship_package
 
-_SWEEP = """sweep as (
+SWEEP = """sweep as (
   select t / 100.0::double as threshold,
          100.0 * count(*) filter (think_probability >= t / 100.0::double) / count(*) as think_percentage,
          count(*) filter (think_probability >= t / 100.0::double) as think_count,
@@ -27,7 +27,7 @@ _SWEEP = """sweep as (
   from predictions, (select unnest(range(10, 91, 5)) as t) group by t)"""
 
 
-@query("threshold_sweep", with_views(PREDICTIONS, _SWEEP) + """
+@query("threshold_sweep", with_views(PREDICTIONS, SWEEP) + """
 select threshold, round(think_percentage, 6) as think_percentage, round(100 - think_percentage, 6) as no_think_percentage,
        think_count, no_think_count, round(accuracy, 6) as accuracy from sweep""")
 def sweep(spark, d):
@@ -35,7 +35,7 @@ def sweep(spark, d):
     return rounded(out, "think_percentage", "no_think_percentage", "accuracy")
 
 
-@query("threshold_distribution", with_views(PREDICTIONS, _SWEEP) + """
+@query("threshold_distribution", with_views(PREDICTIONS, SWEEP) + """
 select threshold, round(think_percentage, 6) as think_percentage, round(100 - think_percentage, 6) as no_think_percentage,
        think_count, no_think_count from sweep""")
 def distribution(spark, d):
@@ -43,7 +43,7 @@ def distribution(spark, d):
     return rounded(out, "think_percentage", "no_think_percentage")
 
 
-@query("best_threshold", with_views(PREDICTIONS, _SWEEP) + """
+@query("best_threshold", with_views(PREDICTIONS, SWEEP) + """
 select threshold as best_threshold, round(accuracy, 6) as best_accuracy from sweep order by accuracy desc, threshold limit 1""")
 def best(spark, d):
     return rounded(

@@ -28,6 +28,14 @@ def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(found.getPath().toString() for found in (fs.globStatus(path) or []))
 
 
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Give a file or folder another name on its file system; an existing target is an error."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target)]
+    fs = paths[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(paths[1]) or not fs.rename(*paths):
+        raise FileExistsError(f"cannot rename {source} to {target}")
+
+
 def _finished(spark: SparkSession, root: str, prefix: str) -> list[int]:
     """Numbers of the finished ``<prefix>=<number>`` folders below ``root``."""
     marks = matching_paths(spark, f"{root}/{prefix}=*/_SUCCESS")

@@ -61,7 +61,7 @@ def plan(df) -> str:
 
 # Stages in which user Python runs by design.
 PYTHON_STAGES = {
-    "grade_three_phase", "verify_algebra", "judge_stage", "generate_k", "drop_failed", "score_prompts_callable", "win_rate_scores",
+    "grade_three_phase", "grade_with_fallback", "verify_algebra", "judge_stage", "generate_k", "drop_failed", "score_prompts_callable", "win_rate_scores",
 }
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalbox.operators import evaluation
+from signalbox.plans.jobs import grade_directory_job
 from signalbox.schemas import PREDICTION_WITH_ID, PREDICTION_WITH_INDEX, QUESTION, RAW_RESULT
 from signalbox.sources import images, jsonl, predictions
 from signalbox.operators import resume
@@ -46,6 +47,48 @@ def test_directory_scan_takes_the_model_from_the_file_name(spark, tmp_path):
     assert [tuple(r) for r in jsonl.model_collisions(rows).collect()] == [("m1", 2)]
 
 
+def test_directory_of_folders_files_and_odd_names(spark, tmp_path):
+    lines(tmp_path / "a b+%41_x.jsonl", GOOD)
+    rows = spark.createDataFrame([("a", "p", "m1"), ("b", "q", "m 2")], "unique_id string, problem string, model string")
+    jsonl.write_results_directory(rows, str(tmp_path), "run")
+    found = jsonl.read_results_directory(spark, str(tmp_path), RAW_RESULT)
+    assert sorted((r.model, r.file, r.unique_id) for r in found.collect()) == [
+        ("a b+%41", "a b+%41_x.jsonl", "a"), ("m 2", "m 2_run.jsonl", "b"), ("m1", "m1_run.jsonl", "a")]
+    with pytest.raises(FileExistsError):
+        jsonl.write_results_directory(rows, str(tmp_path), "run")
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(ValueError):
+        jsonl.read_results_directory(spark, str(tmp_path / "empty"), RAW_RESULT)
+
+
+def test_grading_a_directory_reports_models_and_collisions(spark, tmp_path):
+    def answered(answer, *texts):
+        return {**GOOD, "answer_correct": answer, "responses": [{"full_response": f"<answer>{t}</answer>"} for t in texts]}
+
+    lines(tmp_path / "m1_a.jsonl", answered("4", "4", "5"), {**answered("1"), "category": "d"})
+    lines(tmp_path / "m1_b.jsonl", answered("2", "1 + 1"))
+    lines(tmp_path / "m2_a.jsonl", answered("2", "3"))
+    tables = grade_directory_job(spark, str(tmp_path), str(tmp_path / "graded"))
+    assert {r.model: (r.correct_responses, r.total_responses) for r in tables["by_model"].collect()} == {"m1": (2, 3), "m2": (0, 1)}
+    parts = {(r.model, r.category, r.extraction_method): r.total_responses for r in tables["by_model_parts"].collect()}
+    assert parts[("m1", "c", None)] == 3 and parts[("m2", None, "math_verify")] == 1
+    assert [tuple(r) for r in tables["collisions"].collect()] == [("m1", 2)]
+    assert {r.category: r.total_questions for r in tables["by_category"].collect()} == {"c": 3, "d": 1}
+
+
+def test_one_parse_gives_rows_and_rejects(spark, tmp_path):
+    path = lines(tmp_path / "x.jsonl", GOOD, "{broken", "", {**GOOD, "unique_id": "b"})
+    good, bad = jsonl.store_tolerant(spark, path, RAW_RESULT, str(tmp_path / "parsed"))
+    plain_good, plain_bad = jsonl.read_tolerant(spark, path, RAW_RESULT)
+    assert sorted(good.collect()) == sorted(plain_good.collect()) and good.schema == plain_good.schema
+    assert bad.collect() == plain_bad.collect() and bad.columns == ["file", "line"]
+    text = good._jdf.queryExecution().toString()
+    assert text.count("FileScan parquet") == 1 and "FileScan text" not in text and "accepted" in text.split("PartitionFilters")[1].split("]")[0]
+    empty = lines(tmp_path / "none.jsonl", "")
+    good, bad = jsonl.store_tolerant(spark, empty, RAW_RESULT, str(tmp_path / "parsed-none"))
+    assert good.count() == bad.count() == 0
+
+
 def read_back(folder):
     return [line for p in sorted(folder.rglob("*.json")) for line in p.read_text(encoding="utf-8").splitlines()]
 
@@ -173,6 +216,11 @@ def test_split_folder(spark, tmp_path):
     assert (row.is_mcq, row.category, row.responses) == (False, "", [])
     rejects = jsonl.split_folder_rejects(spark, str(tmp_path), RAW_RESULT)
     assert [r.split for r in rejects.collect()] == ["train"]
+    stored, bad = jsonl.store_split_folder(spark, str(tmp_path), RAW_RESULT, str(tmp_path / "parsed"))
+    assert {name: rows.collect() for name, rows in stored.items()} == {name: rows.collect() for name, rows in splits.items()}
+    assert [(r.split, r.line) for r in bad.collect()] == [("train", "{broken")]
     (tmp_path / "empty").mkdir()
     with pytest.raises(ValueError):
         jsonl.read_split_folder(spark, str(tmp_path / "empty"), RAW_RESULT)
+    with pytest.raises(ValueError):
+        jsonl.store_split_folder(spark, str(tmp_path / "empty"), RAW_RESULT, str(tmp_path / "parsed-none"))
