@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import time
 
 import numpy as np
@@ -258,19 +260,98 @@ def test_toxicity_learns_and_swaps_do_not_move_scores(spark, make_docs):
     assert right >= 0.97 * len(labels)
 
 
-def test_counterfactual_penalty_brings_terms_together():
+def _fit(rows, labels, strength, terms=toxicity.IDENTITY_TERMS):
+    """Fit in this process, from sets of features that hold every feature of the texts."""
+    known = toxicity.Terms(terms)
+    texts = pa.RecordBatch.from_pydict({"label": [y for _, y in labels], "text": [t for _, t in rows]})
+    out = [r for b in toxicity._featurizer(known)([texts]) for r in b.to_pylist()]
+    unsigned = [(np.array(r["features"], dtype=np.int64).view(np.uint64),
+                 [tuple(np.array(s[k], dtype=np.int64).view(np.uint64) for k in ("added", "removed")) for s in r["swaps"]]) for r in out]
+    sets, swaps = [f for f, _ in unsigned], [s for _, s in unsigned]
+    vocabulary = np.unique(np.concatenate([*sets, known.all_features()]))
+    y = np.array([r["label"] for r in out], dtype=float)
+    return sets, swaps, vocabulary, y, toxicity.fitted(sets, y, swaps, vocabulary, strength)
+
+
+def test_swaps_are_those_of_the_swapped_text():
+    terms = {"religion": "muslim christian jewish", "made": "christmas black"}
+    texts = ["a Muslim and a christian, christened", "no group here", "BLACK muslims black", "jewish jewish", ""]
+    known = toxicity.Terms(terms)
+    [batch] = toxicity._featurizer(known)([pa.RecordBatch.from_pydict({"label": [0] * len(texts), "text": texts})])
+
+    def features(text):
+        return set(toxicity.text_features(pa.array([text]))[1].view(np.int64).tolist())
+
+    for text, row in zip(texts, batch.to_pylist()):
+        plain = features(text)
+        assert set(row["features"]) == plain
+        got = sorted(sorted((plain | set(s["added"])) - set(s["removed"])) for s in row["swaps"])
+        lower = text.lower()
+        wanted = [features(re.sub(rf"\b{term}\b", other, lower)) for kind in terms.values() for term in kind.split()
+                  if re.search(rf"\b{term}\b", lower) for other in kind.split() if other != term]
+        assert got == sorted(map(sorted, wanted))
+
+
+def test_counterfactual_slope_is_that_of_the_penalised_loss(monkeypatch):
+    """One step moves each weight against the slope of the written-out loss, taken by differences."""
+    rows, labels = _toxic_rows()
+    rows, labels = rows[:40], labels[:40]
+    monkeypatch.setattr(toxicity, "ROUNDS", 6)
+    sets, swaps, vocabulary, y, (w, bias) = _fit(rows, labels, 7.0)
+    monkeypatch.setattr(toxicity, "ROUNDS", 300)
+
+    def loss(w, bias, strength=7.0):
+        weight = {int(v): x for v, x in zip(vocabulary, w)}
+        total = toxicity.RIDGE / 2 * sum(x * x for x in w) / len(sets)
+        for own, others, label in zip(sets, swaps, y):
+            present = set(map(int, own))
+            z = 1 / (1 + math.exp(-bias - sum(weight[v] for v in present)))
+            half = 0.5 * len(y) / (y.sum() if label else len(y) - y.sum())
+            total -= half * (math.log(z) if label else math.log(1 - z)) / len(y)
+            for added, removed in others:
+                swapped = (present | set(map(int, added))) - set(map(int, removed))
+                other = 1 / (1 + math.exp(-bias - sum(weight[v] for v in swapped)))
+                total += strength * (z - other) ** 2 / len(others) / len(y)
+        return total
+
+    _, _, _, _, (best, best_bias) = _fit(rows, labels, 7.0)
+    assert loss(best, best_bias) < loss(w, bias)
+    for i in [*range(0, len(best), 97), *np.flatnonzero(np.isin(vocabulary, toxicity.Terms(toxicity.IDENTITY_TERMS).all_features()))[:12]]:
+        step = np.zeros(len(best))
+        step[i] = 1e-3
+        assert abs(loss(best + step, best_bias) - loss(best - step, best_bias)) / 2e-3 < 2e-2
+    assert loss(best, best_bias) < min(loss(_fit(rows, labels, 0.0)[4][0], best_bias), loss(np.zeros(len(best)), 0.0))
+
+
+def test_counterfactual_penalty_brings_scores_together():
     rows, labels = _toxic_rows()
-    doc, values = toxicity.text_features(pa.array([t for _, t in rows]))
-    sets = [values[doc == i] for i in range(len(rows))]
-    y = np.array([x for _, x in labels], dtype=float)
 
-    def gap(strength):
-        vocabulary, w, _ = toxicity.fitted(sets, y, strength)
+    def moved(strength):
+        sets, swaps, vocabulary, y, (w, bias) = _fit(rows, labels, strength)
         weight = dict(zip(vocabulary.tolist(), w))
-        terms = toxicity._term_features()
-        return sum(weight.get(v, 0) for v in terms["muslim"].tolist()) - sum(weight.get(v, 0) for v in terms["christian"].tolist())
+        total, n = 0.0, 0
+        for own, others in zip(sets, swaps):
+            z = bias + sum(weight[v] for v in own.tolist())
+            for added, removed in others:
+                other = z + sum(weight[v] for v in added.tolist()) - sum(weight[v] for v in removed.tolist())
+                total, n = total + abs(1 / (1 + math.exp(-z)) - 1 / (1 + math.exp(-other))), n + 1
+        return total / n
+
+    assert moved(toxicity.COUNTERFACTUAL) < 0.3 * moved(0.0)
+
+
+def test_terms_of_other_languages_are_a_parameter(spark, make_docs):
+    rows, labels = _toxic_rows()
+    rows = [(i, t.replace("muslim", "türkisch")) for i, t in rows]
+    probe = prose(9999, 30)
+    docs = make_docs([*rows, (1000, probe + " türkisch"), (1001, probe + " deutsch")])
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def gap(terms):
+        found = {r.doc_id: r.score for r in toxicity.score(docs, docs, marks, terms=terms).where("doc_id >= 1000").collect()}
+        return abs(found[1000] - found[1001])
 
-    assert abs(gap(5.0)) < 0.3 * abs(gap(0.0))
+    assert gap({"herkunft": "türkisch deutsch"}) < 0.5 * gap({})
 
 
 def test_toxicity_without_labels_or_documents(spark, make_docs):
