@@ -133,6 +133,63 @@ def test_license_template_survives_edits(make_docs):
     assert found[2].spans == [] and found[3].spans == []
 
 
+NOTICES = {
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+             "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+             "Licensed under the GNU Lesser General Public License."],
+    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+            "published by the Free Software Foundation, either version 2 of the License.", "This file is licensed under the GNU General Public License v2"],
+    "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+             "License as published by the Free Software Foundation", "licensed under the GNU Affero General Public License, version 3"],
+    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "cc-by-nc-sa": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "cc-by-nd": ["Licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.",
+              "licensed under a Creative Commons Attribution 3.0 Unported License"],
+}
+
+
+def test_each_license_gives_its_own_label_and_no_other(make_docs):
+    """Every template and notice, whole and with a word in twenty replaced, with prose around and alone."""
+    cases = [(label, text) for label, text, *_ in license_scan.TEMPLATES] + [(label, t) for label, texts in NOTICES.items() for t in texts]
+    rows, wanted = [], {}
+    for n, (label, text) in enumerate(cases):
+        forms = [text, f"{prose(n, 40)} {text} {prose(n + 1, 30)}"]
+        if len(text.split()) >= 60:
+            forms.append(prose(n, 40) + " " + " ".join(w if j % 20 != 7 else f"w{j}" for j, w in enumerate(text.split())))
+        for form in forms:
+            wanted[len(rows)] = label
+            rows.append((len(rows), form))
+    for r in license_scan.scan(make_docs(rows)).collect():
+        found = {s.label for s in r.spans if s.template >= len(license_scan.PHRASES)}
+        assert found == {wanted[r.doc_id]}, (wanted[r.doc_id], found, rows[r.doc_id][1])
+
+
+def test_licenses_side_by_side_all_stay(make_docs):
+    texts = [text for label, text, *_ in license_scan.TEMPLATES if len(text.split()) > 30]
+    rows = [(1, (" " + prose(7, 25) + " ").join(texts)), (2, " ".join(["all rights reserved"] * 300)), (3, " ".join(texts[0] for _ in range(40)))]
+    found = {r.doc_id: {s.label for s in r.spans} for r in license_scan.scan(make_docs(rows)).collect()}
+    assert {label for label, text, *_ in license_scan.TEMPLATES if len(text.split()) > 30} <= found[1]
+    assert found[2] == {"all-rights-reserved"} and found[3] == {"mit"}
+
+
+def test_best_spans_match_a_plain_choice():
+    rng = random.Random(3)
+    for _ in range(200):
+        spans = []
+        for n in range(rng.randrange(12)):
+            first = rng.randrange(40)
+            spans.append({"template": rng.randrange(4), "first": first, "last": first + rng.randrange(1, 12),
+                          "closeness": rng.randrange(4), "matched": rng.randrange(3)})
+        left, plain = list(spans), []
+        while left:
+            top = min(left, key=lambda s: (-s["closeness"], -s["matched"], s["first"], s["last"], s["template"]))
+            plain.append(top)
+            left = [s for s in left if s["last"] <= top["first"] or s["first"] >= top["last"]]
+        assert license_scan.best_spans(spans) == sorted(plain, key=lambda s: (s["template"], s["first"], s["last"]))
+
+
 def test_license_scan_of_an_empty_table(make_docs):
     assert license_scan.scan(make_docs([])).count() == 0
 
