@@ -204,30 +204,42 @@ def fitted(sets, labels: np.ndarray, swaps, vocabulary: np.ndarray, strength: fl
     return w, bias
 
 
+def _unsigned(values: pa.Array) -> np.ndarray:
+    return np.asarray(values, dtype=np.int64).view(np.uint64)
+
+
 def _known(vocabulary: np.ndarray):
     """Leaves the features of the vocabulary alone, so rows are bounded whatever their texts."""
-    def kept(value):
-        values = np.array(value, dtype=np.int64).view(np.uint64)
-        return values[np.isin(values, vocabulary)].view(np.int64)
+    def kept(lists: pa.ListArray) -> pa.ListArray:
+        values = _unsigned(lists.flatten())
+        at = np.minimum(np.searchsorted(vocabulary, values), len(vocabulary) - 1)
+        known = vocabulary[at] == values
+        before = np.concatenate([[0], np.cumsum(known)])
+        ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+        return pa.ListArray.from_arrays(pa.array(before[ends], type=pa.int32()), pa.array(values[known].view(np.int64)))
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                swaps = [{"added": kept(s["added"]), "removed": kept(s["removed"])} for s in row["swaps"]]
-                yield pa.RecordBatch.from_pylist([{"label": row["label"], "features": kept(row["features"]), "swaps": swaps}], schema=_FEATURES)
+            swaps = batch.column("swaps")
+            flat = swaps.flatten()
+            pairs = pa.StructArray.from_arrays([kept(flat.field(k)) for k in ("added", "removed")], ["added", "removed"])
+            ends = np.concatenate([[0], np.cumsum(np.asarray(swaps.value_lengths()))])
+            yield pa.RecordBatch.from_arrays([
+                batch.column("label"), kept(batch.column("features")),
+                pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pairs)], schema=_FEATURES)
 
     return run
 
 
 def _fitter(vocabulary: np.ndarray, strength: float):
-    def unsigned(value):
-        return np.array(value, dtype=np.int64).view(np.uint64)
-
     def fit(batches):
         rows = []
         for batch in batches:
-            for row in batch.to_pylist():
-                rows.append((row["label"], unsigned(row["features"]), [(unsigned(s["added"]), unsigned(s["removed"])) for s in row["swaps"]]))
+            features = batch.column("features")
+            flat, ends = _unsigned(features.flatten()), np.cumsum(np.asarray(features.value_lengths()))
+            swaps = batch.column("swaps").to_pylist()
+            for label, end, size, own in zip(batch.column("label").to_pylist(), ends, np.diff(ends, prepend=0), swaps):
+                rows.append((label, flat[end - size:end].copy(), [(_unsigned(s["added"]), _unsigned(s["removed"])) for s in own]))
         if rows and len(vocabulary):
             rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), len(r[2])))
             labels, sets, swaps = zip(*rows)
@@ -271,6 +283,8 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     known_terms = Terms(terms)
     features = materialize(chosen.mapInArrow(_featurizer(known_terms), _FEATURES_DDL), "features")
     vocabulary = _vocabulary(features, known_terms)
+    if not len(vocabulary):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0
     narrow = features.mapInArrow(_known(vocabulary), _FEATURES_DDL).repartition(1)
     found = narrow.mapInArrow(_fitter(vocabulary, strength), "feature long, weight double").toPandas()
     if found.empty:
