@@ -122,6 +122,7 @@ def grade_three_phase(
     resolved_method: str = MATH_VERIFY,
     keep: Sequence[str] = (),
     with_prompt: bool = False,
+    in_flight: int | None = None,
 ) -> DataFrame:
     """Regex first, judge for the rest, one row per response.
 
@@ -146,7 +147,7 @@ def grade_three_phase(
             F.col("is_mcq"), compat,
         )
         tasks = tasks.withColumn("judge_prompt", prompt)
-    return judge_stage(tasks, judge, max_workers=max_workers, compat=compat, only="needs_judge").select(*out)
+    return judge_stage(tasks, judge, max_workers=max_workers, compat=compat, only="needs_judge", in_flight=in_flight).select(*out)
 
 
 def grade_with_fallback(results: DataFrame, judge: Judge, max_workers: int = 40) -> DataFrame:

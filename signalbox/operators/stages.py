@@ -2,8 +2,8 @@
 
 Generator and judge wait on remote calls, so each task runs them on a small thread pool over
 one Arrow batch at a time. They see a row's values as Python ones, ``None`` for null and whole
-numbers whole; the columns themselves stay in Arrow and come out as they went in. The number of calls in flight is ``running tasks x max_workers``;
-choose the partition count accordingly. Every output row carries its key, so order within a
+numbers whole; the columns themselves stay in Arrow and come out as they went in. The number of calls in
+flight is ``running tasks x max_workers``; ``in_flight`` bounds it for the whole job. Every output row carries its key, so order within a
 batch does not matter and nothing is gathered on the driver.
 """
 
@@ -33,6 +33,20 @@ _JUDGE_FIELDS = [
 ]
 
 
+def _limited(rows: DataFrame, max_workers: int, in_flight: int | None) -> tuple[DataFrame, int]:
+    """Rows in so few partitions, and workers for each, that no more calls than ``in_flight`` run at a time.
+
+    Partitions are joined without a shuffle; they are streamed in batches, so their size needs no memory.
+    Only a speculative copy of a task would add calls; leave speculation off where the bound is strict.
+    """
+    if in_flight is None:
+        return rows, max_workers
+    if in_flight < 1:
+        raise ValueError("in_flight must be at least 1")
+    workers = min(max_workers, in_flight)
+    return rows.coalesce(in_flight // workers), workers
+
+
 def _verdict(judge: Judge, task: Mapping[str, Any], compat: bool) -> tuple[str, bool, str, str | None]:
     fallback = task["extracted_answer"]
     try:
@@ -50,7 +64,8 @@ def _verdict(judge: Judge, task: Mapping[str, Any], compat: bool) -> tuple[str,
 
 
 def judge_stage(
-    tasks: DataFrame, judge: Judge, max_workers: int = 40, compat: bool = False, only: str | None = None
+    tasks: DataFrame, judge: Judge, max_workers: int = 40, compat: bool = False, only: str | None = None,
+    in_flight: int | None = None,
 ) -> DataFrame:
     """Ask the judge about every row of ``tasks`` and replace its verdict columns.
 
@@ -58,8 +73,9 @@ def judge_stage(
     extracted_answer) and returns ``(final answer, match, explanation)``. An exception or
     ``None`` leaves the regex answer, marked ``regex_fallback``; with ``compat`` both are
     reported under ``llm_judge`` instead. With ``only``, a boolean column, the judge is asked about its
-    true rows and the others keep the verdict columns they have.
+    true rows and the others keep the verdict columns they have. At most ``in_flight`` calls run at a time.
     """
+    tasks, max_workers = _limited(tasks, max_workers, in_flight)
     replaced = {f.name for f in _JUDGE_FIELDS}
     passed = [f for f in tasks.schema.fields if f.name not in replaced]
     schema = T.StructType([*passed, *_JUDGE_FIELDS])
@@ -92,11 +108,15 @@ def _answer(generator: Generator, request: Mapping[str, Any]) -> str:
         return f"{GENERATION_ERROR_PREFIX} {error}"
 
 
-def generate_samples(prompts: DataFrame, generator: Generator, k: int = 1, max_workers: int = 30) -> DataFrame:
+def generate_samples(
+    prompts: DataFrame, generator: Generator, k: int = 1, max_workers: int = 30, in_flight: int | None = None
+) -> DataFrame:
     """``k`` responses per prompt, one row each: the input columns, ``response_idx``, ``full_response``.
 
     Samples of one prompt are spread like any other rows. A failed call becomes an error text.
+    At most ``in_flight`` calls run at a time.
     """
+    prompts, max_workers = _limited(prompts, max_workers, in_flight)
     slots = prompts.withColumn(
         "response_idx", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     )
@@ -111,11 +131,15 @@ def generate_samples(prompts: DataFrame, generator: Generator, k: int = 1, max_w
     return slots.mapInArrow(run, schema)
 
 
-def generate_nested(prompts: DataFrame, generator: Generator, k: int = 1, max_workers: int = 30) -> DataFrame:
+def generate_nested(
+    prompts: DataFrame, generator: Generator, k: int = 1, max_workers: int = 30, in_flight: int | None = None
+) -> DataFrame:
     """``k`` responses per prompt kept in one row: no explode and no regrouping shuffle.
 
-    Adds ``responses`` in sample order and ``success`` (false when every call failed).
+    Adds ``responses`` in sample order and ``success`` (false when every call failed). At most
+    ``in_flight`` calls run at a time.
     """
+    prompts, max_workers = _limited(prompts, max_workers, in_flight)
     fields = [*prompts.schema.fields, T.StructField("texts", T.ArrayType(T.StringType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,6 +79,7 @@ def _collect_batches(
     batches: list[int],
     max_workers: int,
     on_all_failed: str,
+    in_flight: int | None,
 ) -> DataFrame | None:
     """Generate and commit one batch after the other; finished batches are not repeated. None without any."""
     done = set(log.done())
@@ -86,7 +87,7 @@ def _collect_batches(
         if number in done:
             continue
         part = with_prompts(planned.filter(F.col("batch") == number).drop("batch"))
-        fresh = generate_nested(part, generator, k, max_workers)
+        fresh = generate_nested(part, generator, k, max_workers, in_flight)
         stored = log.commit(number, _stored_form(fresh))
         if on_all_failed == "stop" and all_failed(stored):
             break
@@ -110,6 +111,7 @@ def collect_job(
     on_all_failed: str = "stop",
     run_path: str | None = None,
     plan: DataFrame | None = None,
+    in_flight: int | None = None,
 ) -> DataFrame:
     """Collect ``k`` responses per open question and upsert them into the result store.
 
@@ -119,6 +121,7 @@ def collect_job(
     continues when called again with the same ``run_path``. It always merges into the responses of the
     version it started from, so calling it again, or after a partial merge, changes nothing that is
     already merged. With nothing to collect the store stays as it is; the result is empty if there is none.
+    At most ``in_flight`` calls run at a time over all tasks, if it is given.
     """
     spark: SparkSession = dataset.sparkSession
     store = ResultStore(spark, store_path)
@@ -141,7 +144,7 @@ def collect_job(
     log, merges = BatchLog(spark, run_path), VersionedTable(spark, f"{run_path}/merged")
     collected = None
     if batches:
-        collected = _collect_batches(plan_table.read(), log, generator, k, batches, max_workers, on_all_failed)
+        collected = _collect_batches(plan_table.read(), log, generator, k, batches, max_workers, on_all_failed, in_flight)
     finished = len(log.done())
     if collected is None or merges.version() == finished:
         current = store.read()

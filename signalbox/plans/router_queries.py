@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from signalbox.functions.scores import argmax, sigmoid, softmax
 from signalbox.operators import evaluation, metrics, routing
-from signalbox.operators.scorers import fit_text_heads
+from signalbox.operators.scorers import fit_count_heads, fit_text_heads
 from signalbox.operators.stages import score_with, win_rate_scores
 from signalbox.plans import views
 from signalbox.plans.registry import query, rounded
@@ -375,6 +375,50 @@ def score_prompts(spark, d):
     return rounded(scored.drop("text"), "think_probability", "no_think_probability")
 
 
+_COUNT_HEADS = """buckets as (
+  select doc_id, cast('0x' || substr(md5(w), 1, 3) as integer) as b
+  from (select doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as w from documents)),
+counted as (
+  select b, count(*) filter (quality = 1) as q1, count(*) filter (quality = 0) as q0,
+         count(*) filter (toxic = 1) as t1, count(*) filter (toxic = 0) as t0
+  from buckets join labels using (doc_id) group by b),
+filled as (
+  select r.b, coalesce(q1, 0) as q1, coalesce(q0, 0) as q0, coalesce(t1, 0) as t1, coalesce(t0, 0) as t0
+  from (select unnest(range(4096)) as b) r left join counted c on r.b = c.b),
+coefficients as (
+  select b, ln((q1 + 1) / (sum(q1) over () + 4096)) - ln((q0 + 1) / (sum(q0) over () + 4096)) as reasoning,
+         ln((t1 + 1) / (sum(t1) over () + 4096)) - ln((t0 + 1) / (sum(t0) over () + 4096)) as difficulty
+  from filled),
+heads as (
+  select doc_id, 1 / (1 + exp(-20 * coalesce(r, 0))) as reasoning_score, 1 / (1 + exp(-20 * coalesce(h, 0))) as difficulty_score
+  from documents left join (select doc_id, avg(reasoning) as r, avg(difficulty) as h
+                            from buckets join coefficients using (b) group by doc_id) using (doc_id))"""
+
+
+def _count_heads(spark, d):
+    train = views.table(spark, d, "documents").select("doc_id", "text").join(views.table(spark, d, "labels"), "doc_id")
+    return fit_count_heads(train, {"reasoning": "quality", "difficulty": "toxic"})
+
+
+@query("score_two_head_counts", with_views(_COUNT_HEADS) + f"""
+select doc_id, round(reasoning_score, 6) as reasoning_score, round(difficulty_score, 6) as difficulty_score,
+       reasoning_score >= 0.4 as reasoning_needed, difficulty_score >= 0.5 as high_difficulty,
+       {_TABLE_SQL.format(r='reasoning_score >= 0.4', h='difficulty_score >= 0.5')} as selected_model from heads""")
+def score_two_head_counts(spark, d):
+    """Both heads learned from word counts, whole texts scored in the row, then the two-threshold route."""
+    scored = _count_heads(spark, d).score(views.table(spark, d, "documents").select("doc_id", "text"))
+    return rounded(routing.route_two_head(scored.drop("text")), "reasoning_score", "difficulty_score")
+
+
+@query("score_prompts_counts", with_views(_COUNT_HEADS) + """
+select doc_id, round(1 - reasoning_score, 6) as no_think_probability, round(reasoning_score, 6) as think_probability from heads""")
+def score_prompts_counts(spark, d):
+    """Two-class probabilities of the head learned from word counts."""
+    docs = views.table(spark, d, "documents").select("doc_id", "text")
+    scored = _count_heads(spark, d).classify(docs, ("no_think", "think"), "reasoning")
+    return rounded(scored.drop("text"), "think_probability", "no_think_probability")
+
+
 def _log_loss(p, label):
     kept = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9)))
     return F.avg(-F.when(label == 1, F.log(kept)).otherwise(F.log(1 - kept)))

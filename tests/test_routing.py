@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signalbox.functions.scores import argmax, sigmoid, softmax
 from signalbox.operators import evaluation, prompts, routing
-from signalbox.operators.scorers import fit_text_heads
+from signalbox.operators.scorers import fit_count_heads, fit_text_heads
 from signalbox.plans.jobs import evaluate_job
 
 
@@ -141,3 +141,18 @@ def test_too_many_choices(spark):
     assert fits.select(prompts.format_choices(F.col("c")).alias("c")).first().c[25] == "Z. 25"
     with pytest.raises(Exception, match="more than 26"):
         exceeds.select(prompts.format_choices(F.col("c"))).collect()
+
+
+def test_count_heads_learn_and_take_odd_texts(spark):
+    rows = [(f"good fine {i} words", 1, None) for i in range(20)] + [(f"bad poor {i} words", 0, 1) for i in range(20)] + [(None, 1, 0), ("", 0, 0)]
+    train = spark.createDataFrame(rows, "text string, a int, b int")
+    heads = fit_count_heads(train, {"x": "a", "y": "b"})
+    probes = spark.createDataFrame([(1, "good fine"), (2, "bad poor " * 5000), (3, None), (4, " \n "), (5, "bad poor")], "id int, text string")
+    found = {r.id: r for r in heads.score(probes).collect()}
+    assert found[1].x_score > 0.9 and found[2].x_score < 0.1 and found[3].x_score == found[4].x_score == 0.5
+    assert abs(found[2].x_score - found[5].x_score) < 1e-9
+    classified = heads.classify(probes, ("no", "yes"), "x")
+    assert classified.columns == ["id", "text", "no_probability", "yes_probability"]
+    assert "Exchange" not in classified._jdf.queryExecution().toString()
+    nothing = fit_count_heads(train.limit(0), {"x": "a"})
+    assert {r.x_score for r in nothing.score(probes).collect()} == {0.5}

@@ -234,3 +234,35 @@ def test_scorers(spark):
         return 1 / len(text)
 
     assert {r.confidence for r in stages.win_rate_scores(texts, "text", fragile).collect()} == {1 / 9, 0.5}
+
+
+def _calls_at_a_time(folder, wait=0.02):
+    """A generator that notes in a shared folder how many calls run beside each of its own."""
+    def call(request):
+        import os
+        import time
+        import uuid
+
+        mark = os.path.join(folder, "running", uuid.uuid4().hex)
+        open(mark, "w").close()
+        seen = len(os.listdir(os.path.join(folder, "running")))
+        time.sleep(wait)
+        with open(os.path.join(folder, "seen", uuid.uuid4().hex), "w") as out:
+            out.write(str(seen))
+        os.remove(mark)
+        return "done"
+
+    return call
+
+
+@pytest.mark.parametrize("in_flight, max_workers", [(6, 2), (3, 30), (5, 2)])
+def test_calls_in_flight_are_bounded_over_all_tasks(spark, tmp_path, in_flight, max_workers):
+    for name in ("running", "seen"):
+        (tmp_path / name).mkdir()
+    prompts = spark.range(0, 60, 1, 8).selectExpr("cast(id as string) as unique_id")
+    made = stages.generate_nested(prompts, _calls_at_a_time(str(tmp_path)), 2, max_workers, in_flight)
+    assert made.where("success").count() == 60
+    seen = [int(p.read_text()) for p in (tmp_path / "seen").iterdir()]
+    assert len(seen) == 120 and 1 < max(seen) <= in_flight
+    with pytest.raises(ValueError):
+        stages.generate_samples(prompts, lambda r: "", in_flight=0)
