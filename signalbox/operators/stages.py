@@ -32,6 +32,8 @@ _JUDGE_FIELDS = [
     T.StructField("judge_explanation", T.StringType()),
 ]
 
+VERDICT_COLUMNS = [field.name for field in _JUDGE_FIELDS]
+
 
 def _limited(rows: DataFrame, max_workers: int, in_flight: int | None) -> tuple[DataFrame, int]:
     """Rows in so few partitions, and workers for each, that no more calls than ``in_flight`` run at a time.

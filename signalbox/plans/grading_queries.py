@@ -15,6 +15,7 @@ from signalbox.plans.sql_views import (
 from signalbox.schemas import RAW_RESULT
 from signalbox.session import fresh_dir, ship_package
 from signalbox.sources import jsonl
+from signalbox.sources.store import BatchLog
 
 _RATIO = "round(coalesce(count(*) filter (is_correct) / nullif(count(*), 0), 0), 6) as accuracy"
 
@@ -179,6 +180,40 @@ def judged_only(spark, d):
     )
 
 
+def _judge_tasks(spark, d):
+    checked = grading.grade_math_only(grading.explode_responses(views.raw_results(spark, d)))
+    return checked.filter("needs_judge").withColumn("correct_answer", grading.row_gold())
+
+
+@query("judge_job", with_views(*GRADED) + f"select * from ({_JUDGE_SQL}) where extraction_method <> 'math_verify'")
+def judged_from_log(spark, d):
+    """Verdicts of a run that finds part of its tasks answered by an earlier one."""
+    from signalbox.plans.jobs import judge_job
+
+    ship_package()
+    tasks, log = _judge_tasks(spark, d), fresh_dir(spark, "verdicts")
+    judge_job(tasks.filter("is_mcq"), log, containment_judge, batches=2, max_workers=4)
+    return judge_job(tasks, log, containment_judge, batches=2, max_workers=4)
+
+
+@query("judge_job_calls", with_views(*GRADED) + """
+select is_mcq, count(distinct (problem, full_response, gold, choices, extracted_answer)) as calls
+from graded where not is_correct group by is_mcq""")
+def judge_calls(spark, d):
+    """Calls of three runs over the same tasks: one for each distinct task, none by the last run."""
+    from signalbox.plans.jobs import judge_job
+
+    ship_package()
+    tasks, log = _judge_tasks(spark, d), fresh_dir(spark, "verdicts")
+    made = []
+    for part in ("is_mcq", "true", "true"):
+        judge_job(tasks.filter(part), log, containment_judge, batches=2, max_workers=4)
+        made.append(0 if BatchLog(spark, log).read() is None else BatchLog(spark, log).read().count())
+    first, both, again = made
+    calls = spark.createDataFrame([(True, first), (False, again - first)], "is_mcq boolean, calls long")
+    return calls.where(F.lit(again == both) & (F.col("calls") > 0))
+
+
 @query("overall_accuracy", with_views(*JUDGED) + f"""
 select count(*) filter (is_correct) as correct_responses, count(*) as total_responses, {_RATIO} from judged""")
 def overall(spark, d):

@@ -12,8 +12,9 @@ from signalbox.operators import evaluation, grading, metrics, resume
 from signalbox.operators.prompts import with_prompts
 from signalbox.operators.publish import publish_splits
 from signalbox.operators.splits import batch_index, dense_index
-from signalbox.operators.stages import Generator, Judge, all_failed, generate_nested
+from signalbox.operators.stages import VERDICT_COLUMNS, Generator, Judge, all_failed, generate_nested, judge_stage
 from signalbox.schemas import GRADED_RESULT, RAW_RESULT, RESULT_COLUMNS
+from signalbox.session import fresh_dir
 from signalbox.sources.jsonl import fill_defaults, model_collisions, read_results_directory, store_split_folder
 from signalbox.sources.store import BatchLog, ResultStore, VersionedTable, matching_paths
 
@@ -65,6 +66,60 @@ def grade_directory_job(
     return tables | {"collisions": model_collisions(tables["graded"])}
 
 
+#: What a judge sees of a task, and so what makes two tasks the same.
+TASK_COLUMNS = ("problem", "full_response", "correct_answer", "is_mcq", "choices", "extracted_answer")
+
+
+def judge_job(
+    tasks: DataFrame,
+    log_path: str,
+    judge: Judge,
+    batches: int = 16,
+    max_workers: int = 40,
+    retry_failed: bool = False,
+    in_flight: int | None = None,
+    keys: tuple[str, ...] = ("unique_id", "response_idx"),
+) -> DataFrame:
+    """Verdicts on ``tasks`` from a log at ``log_path``: each distinct task is asked once, over all runs.
+
+    Tasks are the same if all of ``TASK_COLUMNS`` are, by their SHA-256. Those without a verdict in the log are
+    written once, split by the hash into ``batches``, and each batch is committed when it is answered,
+    so a run that was stopped asks only what its finished batches leave. With ``retry_failed``, tasks whose
+    judge failed are asked again, and the later verdict counts. Returns ``keys`` and the verdict columns;
+    only these and the digest meet in a join, never the texts.
+    """
+    spark = tasks.sparkSession
+    log = BatchLog(spark, log_path)
+    digest = F.sha2(F.to_json(F.struct(*TASK_COLUMNS), {"ignoreNullFields": "false"}), 256)
+    keyed = tasks.withColumn("task", digest)
+    known = log.read()
+    if known is not None:
+        answered = known.where("extraction_method = 'llm_judge'") if retry_failed else known
+        open_tasks = keyed.join(answered.select("task").distinct(), "task", "left_anti")
+    else:
+        open_tasks = keyed
+    open_tasks = open_tasks.select("task", *TASK_COLUMNS).dropDuplicates(["task"])
+    part = F.pmod(F.xxhash64("task"), F.lit(batches)).alias("part")
+    plan = fresh_dir(spark, "judge-plan")
+    open_tasks.select("*", part).write.partitionBy("part").parquet(plan)
+    number = max(log.done(), default=-1)
+    for path in matching_paths(spark, f"{plan}/part=*"):
+        number += 1
+        asked = judge_stage(spark.read.schema(open_tasks.schema).parquet(path), judge, max_workers, in_flight=in_flight)
+        verdicts = asked.select("task", *VERDICT_COLUMNS).withColumn("number", F.lit(number))
+        log.commit(number, verdicts)
+    known = log.read()
+    if known is None:
+        empty = open_tasks.schema["task"].dataType
+        kinds = {"is_correct": "boolean"}
+        known = keyed.limit(0).select(
+            F.lit(None).cast(empty).alias("task"), *[F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in VERDICT_COLUMNS],
+            F.lit(0).alias("number"),
+        )
+    latest = known.groupBy("task").agg(F.max_by(F.struct(*VERDICT_COLUMNS), "number").alias("verdict"))
+    return keyed.select(*keys, "task").join(latest, "task", "left").select(*keys, "verdict.*")
+
+
 def _stored_form(results: DataFrame) -> DataFrame:
     """Stored columns of a collected question, defaults filled in."""
     kept = [c for c in RESULT_COLUMNS if c in results.columns]

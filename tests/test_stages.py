@@ -266,3 +266,54 @@ def test_calls_in_flight_are_bounded_over_all_tasks(spark, tmp_path, in_flight,
     assert len(seen) == 120 and 1 < max(seen) <= in_flight
     with pytest.raises(ValueError):
         stages.generate_samples(prompts, lambda r: "", in_flight=0)
+
+
+def _logged_judge(folder, broken=()):
+    def judge(task):
+        import os
+        import uuid
+
+        with open(os.path.join(folder, uuid.uuid4().hex), "w") as out:
+            out.write(task["full_response"])
+        if task["full_response"] in broken:
+            raise RuntimeError("down")
+        return "x", task["full_response"] == "b", "why"
+
+    return judge
+
+
+def test_verdict_log_asks_each_task_once_and_survives_a_stop(spark, tmp_path, monkeypatch):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    schema = "unique_id string, response_idx int, problem string, full_response string, correct_answer string, is_mcq boolean, choices array<string>, extracted_answer string"
+    rows = [(f"q{i}", i % 3, "p", "abcd"[i % 4], "x", False, None, None) for i in range(40)]
+    tasks, log = spark.createDataFrame(rows, schema), str(tmp_path / "log")
+
+    def asked():
+        return sorted(p.read_text() for p in calls.iterdir())
+
+    commit, done = jobs.BatchLog.commit, []
+
+    def stops(self, number, df):
+        if done:
+            raise KeyboardInterrupt
+        done.append(number)
+        return commit(self, number, df)
+
+    monkeypatch.setattr(jobs.BatchLog, "commit", stops)
+    with pytest.raises(KeyboardInterrupt):
+        jobs.judge_job(tasks, log, _logged_judge(str(calls)), batches=8)
+    monkeypatch.setattr(jobs.BatchLog, "commit", commit)
+    first = asked()
+    assert 1 <= len(first) < 4
+    found = jobs.judge_job(tasks, log, _logged_judge(str(calls), broken=("c", "d")), batches=8).collect()
+    assert asked() == list("abcd") and len(found) == 40
+    methods = {r[3]: f.extraction_method for r in rows for f in found if f.unique_id == r[0]}
+    failed = sorted(set("cd") - set(first))
+    assert all(methods[t] == ("regex_fallback" if t in failed else "llm_judge") for t in "abcd")
+    jobs.judge_job(tasks, log, _logged_judge(str(calls)))
+    assert asked() == list("abcd")
+    again = jobs.judge_job(tasks, log, _logged_judge(str(calls)), retry_failed=True).collect()
+    assert asked() == sorted([*"abcd", *failed]) and {r.extraction_method for r in again} == {"llm_judge"}
+    assert {r.unique_id for r in again if r.is_correct} == {r[0] for r in rows if r[3] == "b"}
+    assert jobs.judge_job(tasks.limit(0), str(tmp_path / "none"), _logged_judge(str(calls))).count() == 0
