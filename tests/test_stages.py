@@ -317,3 +317,23 @@ def test_verdict_log_asks_each_task_once_and_survives_a_stop(spark, tmp_path, mo
     assert asked() == sorted([*"abcd", *failed]) and {r.extraction_method for r in again} == {"llm_judge"}
     assert {r.unique_id for r in again if r.is_correct} == {r[0] for r in rows if r[3] == "b"}
     assert jobs.judge_job(tasks.limit(0), str(tmp_path / "none"), _logged_judge(str(calls))).count() == 0
+
+
+def test_a_large_batch_is_asked_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    held, at_once = [0], [0]
+    texts = pa.array([str(i) * 1000 for i in range(10)] * 300)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), texts], names=["n", "text"])
+
+    def rows(piece):
+        held[0] += piece.num_rows
+        at_once[0] = max(at_once[0], held[0])
+        return piece.to_pylist()
+
+    found = []
+    for piece, answers in stages._in_pieces(iter([batch, batch.slice(0, 0), batch]), 4, lambda row: row["n"], rows):
+        held[0] -= piece.num_rows
+        assert answers == piece.column("n").to_pylist()
+        found += answers
+    assert found == [*range(3000)] * 2 and at_once[0] * 1000 <= 2.1 * stages.PIECE_BYTES
