@@ -121,3 +121,24 @@ def test_rows_without_a_key_are_kept(spark):
     running = {(r.request_id, r.seq, r.content) for r in history.assemble_running(chunks).collect()}
     assert running == {("a", 1, "x"), ("a", None, "x"), (None, 1, "p"), (None, 5000, "pq"), (None, None, "pq")}
     assert {(r.request_id, r.content_length) for r in history.assemble_offsets(chunks).collect()} == {("a", 1), (None, 1), (None, 2)}
+
+
+def test_stream_assembly_stays_in_the_jvm_and_the_chunk_that_comes_last_counts(spark, tmp_path):
+    from signalbox.streaming.assembly import assemble_stream
+    from signalbox.streaming.sinks import latest_updates, run_updates
+
+    schema, source, out = "request_id long, seq long, content string, reasoning string", str(tmp_path / "in"), str(tmp_path / "out")
+    runs = [
+        [(1, 2, "b ", None), (1, 1, "a ", "r1 "), (2, 5, None, None)],
+        [(1, 1, "A ", "r1 "), (1, 3, "c ", "r3 "), (3, 9, "z", "")],
+        [(1, 3, "c ", "r3 ")],
+    ]
+    for rows in runs:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = assemble_stream(spark.readStream.schema(schema).parquet(source))
+        assert "InPandas" not in stream._jdf.queryExecution().logical().toString()
+        run_updates(stream, out, str(tmp_path / "checkpoint"))
+    batches = spark.read.parquet(out)
+    assert sorted((r.batch, r.request_id) for r in batches.collect()) == [(0, 1), (0, 2), (1, 1), (1, 3), (2, 1)]
+    assert {tuple(r) for r in latest_updates(batches, "request_id").collect()} == {
+        (1, 3, "A b c ", "r1 r3 ", True), (2, 5, "", "", False), (3, 9, "z", "", False)}
