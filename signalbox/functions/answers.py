@@ -228,11 +228,12 @@ def _operands(expected: Column, given: Column) -> tuple[Column, Column, Column]:
 def answers_match(expected: Column, given: Column) -> Column:
     """:func:`answers_equal`, or equal as arithmetic, linear expressions or systems of linear equations.
 
-    Only pairs that look like algebra reach Python. Not for use inside higher-order functions.
+    Only pairs that look like algebra reach Python, and only pairs that are not equal there are normalised
+    and compared by spelling. Not for use inside higher-order functions.
     """
     left, right, open_ = _operands(expected, given)
     solved = algebra.same_values(F.when(open_, left), F.when(open_, right))
-    return answers_equal(expected, given) | F.coalesce(solved, F.lit(False))
+    return F.coalesce(solved, F.lit(False)) | answers_equal(expected, given)
 
 
 def each_matches(expected: Column, given: Column) -> Column:

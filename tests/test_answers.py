@@ -259,3 +259,12 @@ def test_repeated_open_tags_take_linear_time(spark):
     found = run(spark, texts, answers.extract_answer)
     assert time.perf_counter() - start < 20
     assert found[0] == answers.NOT_FOUND and found[1].endswith("<answer>7") and found[2] == "a"
+
+
+def test_pairs_equal_as_algebra_are_not_normalised(spark):
+    """The comparison by spelling stands behind that by value, so it is worked out for the other pairs alone."""
+    rows = spark.createDataFrame([("1 + 2", "3"), ("1/2", "0.5"), ("a", "a"), ("2 + 2", "5"), (None, "1")], "e string, g string")
+    found = rows.withColumn("same", answers.answers_match(F.col("e"), F.col("g")))
+    assert [r.same for r in found.collect()] == [True, True, True, False, False]
+    top = found._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert top.index("coalesce(pythonUDF" if "pythonUDF" in top else "coalesce(_same") < top.index("transform(")
