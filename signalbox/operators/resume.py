@@ -67,14 +67,20 @@ def with_default_id(dataset: DataFrame, index: str = "idx") -> DataFrame:
 def resume_plan(dataset: DataFrame, status: DataFrame, retry_failed: bool, k: int = 1) -> DataFrame:
     """Questions to process now, with ``reason`` and the slots to regenerate.
 
-    New questions always run; failed ones only on retry; finished ones never. ``status`` is a
-    narrow frame, so AQE may broadcast it when its measured size is small and otherwise shuffles
-    both sides on the id.
+    New questions always run; failed ones only on retry; finished ones never. ``status`` is a narrow frame.
+    Questions that are certainly not in it are new without a join; of the others the ids are joined first, and
+    only those that run meet their status whole.
     """
     known = status.select("unique_id", "status", "failed_slots")
-    joined = dataset.join(known, "unique_id", "left")
     reason = F.coalesce("status", F.lit(NEW))
     wanted = [NEW, FULLY_FAILED, PARTIALLY_FAILED] if retry_failed else [NEW]
+    listed = with_membership(dataset, known)
+    ids = with_membership(dataset.select("unique_id"), known).where("_listed").select("unique_id")
+    ids = ids.join(known, "unique_id", "left").where(reason.isin(wanted)).select("unique_id").distinct()
+    open_rows = with_membership(listed.where("_listed").drop("_listed"), ids).where("_listed").drop("_listed")
+    no_status = [F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("status", "failed_slots")]
+    joined = open_rows.join(known, "unique_id", "left").unionByName(
+        listed.where("not _listed").drop("_listed").select("*", *no_status))
     every_slot = F.sequence(F.lit(0), F.lit(k - 1))
     return (
         joined.withColumn("reason", reason)
@@ -151,11 +157,17 @@ def retry_merge(existing: DataFrame, fresh: DataFrame, k: int) -> DataFrame:
 
 
 def untouched(existing: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Stored rows whose id is not in ``fresh``; only rows that may be among those are joined."""
+    """Stored rows whose id is not in ``fresh``; of the others only ids are joined.
+
+    Few ids share a bit with one of ``fresh`` without being one. These are found by their ids alone, and only
+    rows that share a bit with them are joined whole.
+    """
     ids = fresh.select("unique_id")
     listed = with_membership(existing, ids)
     kept = listed.where("not _listed").drop("_listed")
-    return kept.unionByName(listed.where("_listed").drop("_listed").join(ids, "unique_id", "left_anti"))
+    chance = with_membership(existing.select("unique_id"), ids).where("_listed").select("unique_id").join(ids, "unique_id", "left_anti").distinct()
+    back = with_membership(listed.where("_listed").drop("_listed"), chance).where("_listed").drop("_listed")
+    return kept.unionByName(back.join(chance, "unique_id", "left_semi"))
 
 
 def upsert(existing: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def _sorted_parts(df: DataFrame, order_col: str, parts: int, name: str) -> DataF
     hashed = F.xxhash64(*[f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
     order = [F.col(order_col).asc_nulls_last(), F.col("_hash").asc()]
     ranged = df.withColumn("_hash", hashed).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return materialize(ranged.drop("_hash").withColumn(name, F.monotonically_increasing_id()), "numbered")
+    return materialize(ranged.drop("_hash").withColumn(name, F.monotonically_increasing_id()), "numbered", compression="zstd")
 
 
 def dense_index(

@@ -204,9 +204,10 @@ def collect_job(
     if collected is None or merges.version() == finished:
         current = store.read()
         return _nothing_collected(plan, generator, k) if current is None else current
+    ids = collected.select("unique_id")
     if existing is not None:
-        collected = resume.retry_merge(store.read(base, store.touched(collected, base)), collected, k)
-    result = store.upsert(collected)
+        collected = resume.retry_merge(store.read(base, store.touched(ids, base)), collected, k)
+    result = store.upsert(collected, ids)
     spark.range(1).write.mode("overwrite").parquet(f"{run_path}/merged/v={finished}")
     return result
 

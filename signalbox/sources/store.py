@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalbox.operators.resume import upsert
+from signalbox.operators.resume import untouched
 from signalbox.session import fresh_dir
 
 
@@ -59,7 +59,7 @@ class VersionedTable:
         return None if self.version() is None else self.spark.read.parquet(self.path())
 
     def replace(self, df: DataFrame, partition_by: str | None = None) -> None:
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(self.path((self.version() or 0) + 1))
@@ -104,7 +104,7 @@ class ResultStore:
         """Write the buckets of ``df`` as version ``number``, and its state with the ``kept`` places."""
         path = f"{self.root}/data/v={number}"
         bucketed = df.withColumn(_BUCKET, self._bucket(state)).hint("rebalance", _BUCKET)
-        bucketed.write.mode("overwrite").partitionBy(_BUCKET).parquet(path)
+        bucketed.write.mode("overwrite").option("compression", "zstd").partitionBy(_BUCKET).parquet(path)
         made = {int(found.rsplit("=", 1)[1]): number for found in matching_paths(self.spark, f"{path}/{_BUCKET}=*")}
         buckets = state.buckets if state else self._buckets
         row = (df.schema.json(), buckets, sorted((kept | made).items()))
@@ -116,20 +116,21 @@ class ResultStore:
         current = self.version()
         return self._write(df, (current or 0) + 1, None if current is None else self._state(current), {})
 
-    def upsert(self, fresh: DataFrame) -> DataFrame:
+    def upsert(self, fresh: DataFrame, ids: DataFrame | None = None) -> DataFrame:
         """Keep stored rows whose id is not in ``fresh`` and add ``fresh``, as a new version.
 
         Only buckets of the fresh ids are read and written. Fresh rows are written first, so they are
-        worked out once.
+        worked out once; not if ``ids`` is given, a stored table whose ``unique_id`` are those of ``fresh``.
         """
         current = self.version()
         if current is None:
             return self.replace(fresh)
         state = self._state(current)
-        fresh = materialize(fresh, "fresh")
-        touched = self.touched(fresh, current)
+        if ids is None:
+            ids = fresh = materialize(fresh, "fresh")
+        touched = self.touched(ids, current)
         kept = {b: v for b, v in state.places if b not in touched}
-        return self._write(upsert(self.read(current, touched), fresh), current + 1, state, kept)
+        return self._write(untouched(self.read(current, touched), ids).unionByName(fresh), current + 1, state, kept)
 
 
 class BatchLog:
@@ -143,7 +144,7 @@ class BatchLog:
 
     def commit(self, number: int, df: DataFrame) -> DataFrame:
         path = f"{self.root}/batch={number}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.parquet(path)
 
     def read(self) -> DataFrame | None:
@@ -153,10 +154,10 @@ class BatchLog:
         return self.spark.read.parquet(*[f"{self.root}/batch={n}" for n in done])
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
     path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -144,3 +144,45 @@ def test_metrics_on_empty_input(spark):
     lone = spark.createDataFrame([("c", None, None, None)], empty.schema)
     assert tuple(metrics.accuracy_by_category(lone).first()) == ("c", 1, 0, 0, 0.0)
     assert metrics.accuracy_by_method(lone).count() == 0
+
+
+def test_upsert_joins_ids_alone_and_keeps_rows_that_share_a_bit(spark, tmp_path, monkeypatch):
+    from signalbox.operators import resume
+    from signalbox.sources import store as stores
+
+    monkeypatch.setattr(resume, "_ID_BITS", 16)
+    old = spark.createDataFrame([(f"q{i}", f"old {i}") for i in range(60)] + [("q7", "twice"), (None, "none")], "unique_id string, problem string")
+    new = spark.createDataFrame([(f"q{i}", f"new {i}") for i in range(0, 40, 5)] + [(None, "fresh")], old.schema)
+    stayed = [("new" if i < 40 and i % 5 == 0 else "old") + f" {i}" for i in range(60)] + ["twice", "none", "fresh"]
+    anti = resume.untouched(old, new)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in anti and "problem" not in anti[anti.index("LeftAnti"):].split("\n", 2)[1]
+    store = stores.ResultStore(spark, str(tmp_path / "store"))
+    spark.conf.set("spark.sql.parquet.compression.codec", "snappy")
+    try:
+        store.replace(old)
+        monkeypatch.setattr(stores, "materialize", None)  # fresh rows are not written aside when their ids are stored
+        found = store.upsert(new, new.select("unique_id")).collect()
+    finally:
+        spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
+    assert sorted(r.problem for r in found) == sorted(stayed)
+    assert {p.name.split(".", 1)[1] for p in (tmp_path / "store" / "data").rglob("part-*")} == {"c000.zstd.parquet"}
+
+
+def test_questions_without_a_status_are_planned_without_a_join(spark, monkeypatch):
+    from signalbox.operators import resume
+
+    monkeypatch.setattr(resume, "_ID_BITS", 16)
+    data = spark.createDataFrame([(f"q{i}", f"text {i}") for i in range(40)] + [("q3", "twice"), (None, "none")], "unique_id string, problem string")
+    kinds = [resume.OK, resume.FULLY_FAILED, resume.PARTIALLY_FAILED]
+    status = spark.createDataFrame([(f"q{i}", kinds[i % 3], [1] if i % 3 else []) for i in range(20)], "unique_id string, status string, failed_slots array<int>")
+    for retry in (True, False):
+        plan = resume.resume_plan(data, status, retry, 2)
+        assert plan.columns == ["unique_id", "problem", "reason", "retry_slots"]
+        found = sorted((r.problem, r.reason, r.retry_slots) for r in plan.collect())
+        ids = [*range(40), 3]
+        texts = [f"text {i}" for i in range(40)] + ["twice"]
+        wanted = [(t, kinds[i % 3] if i < 20 else resume.NEW, [1] if i < 20 and i % 3 == 2 else [0, 1]) for i, t in zip(ids, texts) if i >= 20 or retry and i % 3]
+        assert found == sorted([*wanted, ("none", resume.NEW, [0, 1])])
+    monkeypatch.undo()
+    tree = resume.resume_plan(data, status.limit(0), True, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.startswith("Union")
