@@ -5,22 +5,25 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.feature import IDF, IDFModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalbox.functions.terms import term_counts
 
-def _features(text_col: str, buckets: int) -> Pipeline:
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"\W+", minTokenLength=1),
-            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=buckets),
-            IDF(inputCol="_tf", outputCol="_features"),
-        ]
-    )
+#: Column of the word counts of a text, a sparse vector.
+COUNTS = "_tf"
+
+
+def with_word_counts(df: DataFrame, text_col: str = "text", buckets: int = 4096) -> DataFrame:
+    """Add the hashed word counts of whole texts; rows that have them, as stored ones, stay as they are.
+
+    Splitting and hashing texts is most of the work of fitting and scoring, and the counts are far smaller than
+    the texts: what fits or scores the same rows more than once can store them.
+    """
+    return df if COUNTS in df.columns else df.withColumn(COUNTS, term_counts(F.col(text_col), buckets))
 
 
 def _head(label: str, column: str, iterations: int) -> LogisticRegression:
@@ -34,18 +37,18 @@ def _head(label: str, column: str, iterations: int) -> LogisticRegression:
 class TextHeads:
     """Shared features and one independent sigmoid head per name.
 
-    Scoring is a JVM transformation: the fixed-size coefficients travel with the tasks and whole
-    texts are read, without a token limit.
+    Words are counted in Arrow batches, the rest of scoring is a JVM transformation: the fixed-size
+    coefficients travel with the tasks and whole texts are read, without a token limit.
     """
 
     text_col: str
-    features: PipelineModel
+    features: IDFModel
     heads: dict[str, LogisticRegressionModel]
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``{name}_score`` per head."""
         kept = df.columns
-        scored = self.features.transform(df)
+        scored = self.features.transform(with_word_counts(df, self.text_col, self.features.idf.size))
         for name, head in self.heads.items():
             scored = head.transform(scored).withColumn(
                 f"{name}_score", vector_to_array(f"_{name}")[1]
@@ -67,17 +70,18 @@ def fit_text_heads(
 ) -> TextHeads:
     """Fit one logistic head per ``{name: 0/1 label column}`` on shared features.
 
-    Features are computed once and kept (memory, then disk) while the heads iterate.
+    Words are counted once and kept (memory, then disk) while the features are fitted and the heads iterate.
     """
-    features = _features(text_col, buckets).fit(train)
-    ready = features.transform(train).select("_features", *targets.values()).persist()
+    counted = with_word_counts(train, text_col, buckets).select(COUNTS, *targets.values()).persist()
     try:
+        features = IDF(inputCol=COUNTS, outputCol="_features").fit(counted)
+        ready = features.transform(counted)
         heads = {
             name: _head(label, f"_{name}", iterations).fit(ready.filter(F.col(label).isNotNull()))
             for name, label in targets.items()
         }
     finally:
-        ready.unpersist()
+        counted.unpersist()
     return TextHeads(text_col, features, heads)
 
 

@@ -3,11 +3,14 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.sql import functions as F
 
 from signalbox.functions.scores import argmax, sigmoid, softmax
+from signalbox.functions.terms import term_counts
 from signalbox.operators import evaluation, prompts, routing
-from signalbox.operators.scorers import fit_count_heads, fit_text_heads
+from signalbox.operators.scorers import fit_count_heads, fit_text_heads, with_word_counts
+from signalbox.plans import router_queries
 from signalbox.plans.jobs import evaluate_job
 
 
@@ -107,6 +110,50 @@ def test_text_heads_learn_separable_words(spark):
     assert both.think_probability + both.no_think_probability == pytest.approx(1)
 
 
+ODD_TEXTS = [
+    "", " ", "a", "Ab_1 ab_1, AB!", "\u0130stanbul \u212a123 \u017f \u00c9t\u00e9", "\x00a\x00b", "\U0001f600a\U0001f600 \u65e5\u672c\u8a9eabc",
+    "x" * 100_003, "y" * 7 + " " + "z" * 65, "word " * 300_000, *[f"{'w' * i} {'v' * 2 * i}" for i in range(1, 70)],
+]
+
+
+@pytest.mark.parametrize("buckets", [4096, 1000])
+def test_term_counts_are_those_of_spark_ml(spark, buckets):
+    df = spark.createDataFrame([(t,) for t in ODD_TEXTS], "text string").repartition(2)
+    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+", minTokenLength=1).transform(df)
+    both = HashingTF(inputCol="words", outputCol="known", numFeatures=buckets).transform(words)
+    rows = both.select("known", term_counts(F.col("text"), buckets).alias("found")).collect()
+    assert len(rows) == len(ODD_TEXTS)
+    assert all(r.known == r.found and list(r.known.indices) == list(r.found.indices) for r in rows)
+
+
+def test_text_heads_score_stored_counts_and_null_texts(spark):
+    rows = [("prove the lemma now", 1), ("hello my friend", 0), ("", 0), (None, None)] * 5
+    df = spark.createDataFrame(rows, "text string, deep int")
+    heads = fit_text_heads(df, {"reasoning": "deep"}, buckets=256)
+    again = fit_text_heads(with_word_counts(df, buckets=256).drop("text"), {"reasoning": "deep"}, buckets=256)
+    for fitted in (heads, again):
+        scores = {r.text: r.reasoning_score for r in fitted.score(df).collect()}
+        assert scores["prove the lemma now"] > 0.5 > scores["hello my friend"] and scores[None] == scores[""]
+        counted = fitted.score(with_word_counts(df, buckets=256)).collect()
+        assert {r.text: r.reasoning_score for r in counted} == scores
+
+
+def test_prompt_checks_split_each_text_once(spark, tmp_path):
+    docs = [(i, f"{'prove the lemma' if i % 2 else 'hello my friend'} {i}") for i in range(40)] + [(40, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, i % 2, i % 3 % 2) for i in range(30)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    checks = router_queries.score_prompts_checks(spark, str(tmp_path))
+    plan = checks._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan and "Python" not in plan
+    assert tuple(checks.first()) == (41, 41, 41, True)
+    for query in (router_queries.score_prompts, router_queries.score_two_head, router_queries.score_two_head_checks):
+        found = query(spark, str(tmp_path))
+        assert "text" not in found._jdf.queryExecution().executedPlan().toString()
+    assert tuple(found.first()) == (41, 41, 41, True, True)
+    assert router_queries.score_prompts(spark, str(tmp_path)).columns == ["doc_id", "no_think_probability", "think_probability"]
+
+
 CHOICE_TAIL = "User: Q?\nOptions:\n\nA. x\n\nB. y\n\nAssistant:"
 
 
